@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certlake.llm.common import bounded_sample
+from certlake.llm.common import bounded_sample, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -155,48 +155,26 @@ def _ridge_fit(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, config: Toxici
     return float(w[k]), w[:k]
 
 
-def fit(words: list[list[str]], labels: np.ndarray, pairs: list[tuple[str, str]], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fits the model on the distinct words of each labelled row; one class alone gives a constant."""
+def counts_of(words: set[str], config: ToxicityConfig) -> Counter:
+    """How many distinct words of a text carry each feature."""
+    return Counter(f for w in words for f in features_of(w, config))
+
+
+def fit(names: list[str], x: np.ndarray, labels: np.ndarray, pairs: Counter, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """Fits the model: ``x`` has a row for each labelled text and a column for each feature of ``names``; one
+    class alone, or no feature, gives a constant."""
     y = np.asarray(labels, dtype=float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     constant = ToxicityModel(float(np.log(share / (1 - share))), {}, config)
-    if not len(y) or y.min() == y.max():
-        return constant
-    words_at: dict[str, int] = {}
-    word = np.array([words_at.setdefault(w, len(words_at)) for row in words for w in row], dtype=np.int64)
-    row = np.repeat(np.arange(len(words)), [len(r) for r in words])
-    ids: dict[str, int] = {}
-    carried = np.full((len(words_at), 1 + len(config.beginnings)), -1)
-    for w, i in words_at.items():
-        for k, f in enumerate(features_of(w, config)):
-            carried[i, k] = ids.setdefault(f, len(ids))
-    cells = [np.stack([row, f])[:, f >= 0] for k in range(carried.shape[1]) for f in [carried[word, k]]]
-    cell, times = np.unique(np.concatenate([r * len(ids) + f for r, f in cells]), return_counts=True) if len(word) else (word, word)
-    in_row, of = np.divmod(cell, max(1, len(ids)))
-    seen = np.bincount(of, minlength=len(ids))
-    expected = seen * y.mean()
-    clear = np.abs(np.bincount(of, weights=y[in_row], minlength=len(ids)) - expected) / np.sqrt(expected * (1 - y.mean()) + 1e-9)
-    clear[seen < config.min_rows] = 0
-    order = np.argsort(-clear, kind="stable")[: config.max_features]
-    order = order[clear[order] >= config.clear]
-    if not len(order):
+    if not len(y) or y.min() == y.max() or len(names) < 2:
         return constant
-    by_id = list(ids)
-    names = [*(by_id[i] for i in order), LENGTH]
     place = {f: i for i, f in enumerate(names)}
-    column = np.full(len(ids), -1)
-    column[order] = np.arange(len(order))
-    x = np.zeros((len(y), len(names)))
-    inside = column[of] >= 0
-    x[in_row[inside], column[of[inside]]] = np.log2(1 + times[inside])
-    x[:, -1] = np.log2([1 + len(r) for r in words])
-    different = Counter(pairs)
-    swapped = np.zeros((len(different), len(names)))
-    for i, ((term, other), n) in enumerate(different.items()):
+    swapped = np.zeros((len(pairs), len(names)))
+    for i, ((term, other), n) in enumerate(sorted(pairs.items())):
         for word, sign in ((term, 1.0), (other, -1.0)):
             for f in features_of(word, config):
                 if f in place:
-                    swapped[i, place[f]] += sign * math.sqrt(n / len(pairs))
+                    swapped[i, place[f]] += sign * math.sqrt(n / pairs.total())
     kept = np.flatnonzero(np.abs(_sparse_fit(x, y, swapped, config)) > 1e-6)
     if not len(kept):
         return constant
@@ -205,19 +183,53 @@ def fit(words: list[list[str]], labels: np.ndarray, pairs: list[tuple[str, str]]
 
 
 def train(docs: DataFrame, labelled: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fits on ``labelled`` (doc_id, toxic), at most ``max_train_rows`` of its rows; words are found on the
-    executors, and only these rows' distinct words and swaps come to the driver."""
+    """Fits on ``labelled`` (doc_id, toxic), at most ``max_train_rows`` of its rows.
+
+    Features are tallied by class on the executors; the driver gets the clearest ``max_features`` of them, and
+    then the sampled rows' counts of these alone.
+    """
     sample = bounded_sample(labelled.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"]), "doc_id", config.max_train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n_toxic in (0, n):
+        return fit([], np.zeros((n, 0)), np.repeat(n_toxic > 0, n), Counter(), config)
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "words": [sorted(set(WORD.findall(t.lower()))) for t in texts], "swaps": [[list(p) for p in swaps(t, config)] for t in texts]})
-
-    got = rows.mapInPandas(features, "toxic int, words array<string>, swaps array<array<string>>").limit(2 * config.max_train_rows).toPandas()
-    pairs = [tuple(p) for row in got["swaps"] for p in row]
-    return fit([list(w) for w in got["words"]], got["toxic"].to_numpy(), pairs, config)
+            for start in range(0, len(pdf), 500):
+                seen, bad = Counter(), Counter()
+                for text, toxic in zip(pdf["text"][start : start + 500], pdf["toxic"][start : start + 500], strict=True):
+                    found = counts_of(set(WORD.findall((text or "").lower())), config).keys()
+                    seen.update(found)
+                    if toxic:
+                        bad.update(found)
+                yield pd.DataFrame({"feature": list(seen), "n": list(seen.values()), "toxic": [bad[f] for f in seen]})
+
+    tallied = rows.select("text", "toxic").mapInPandas(tally, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    share = n_toxic / n
+    expected = F.col("n") * share
+    clear = F.abs(F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 1e-9)
+    best = tallied.where(F.col("n") >= config.min_rows).withColumn("clear", clear).where(F.col("clear") >= config.clear)
+    names = [r.feature for r in best.orderBy(F.desc("clear"), "feature").limit(config.max_features).collect()] + [LENGTH]
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, times, pairs, lengths = [], [], [], []
+            for text in pdf["text"]:
+                words = set(WORD.findall((text or "").lower()))
+                found = counts_of(words, config)
+                at.append([i for i, f in enumerate(names) if f in found])
+                times.append([found[names[i]] for i in at[-1]])
+                pairs.append([list(p) for p in swaps(text or "", config)])
+                lengths.append(len(words))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": at, "times": times, "swaps": pairs, "words": lengths})
+
+    got = rows.mapInPandas(reduce, "doc_id long, toxic int, at array<int>, times array<int>, swaps array<array<string>>, words int").toPandas().sort_values(["doc_id", "words"], kind="stable")
+    x = np.zeros((len(got), len(names)))
+    for i, (at, times) in enumerate(zip(got["at"], got["times"], strict=True)):
+        x[i, at] = np.log2(1 + np.asarray(times, dtype=float))
+    x[:, -1] = np.log2(1 + got["words"].to_numpy(dtype=float))
+    return fit(names, x, got["toxic"].to_numpy(), Counter(tuple(p) for row in got["swaps"] for p in row), config)
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> DataFrame:

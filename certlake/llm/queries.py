@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import quality, toxicity
+from certlake.llm import bpe, quality, toxicity
 from certlake.llm.common import fold
 
 
@@ -22,6 +22,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
+def word_bpe() -> str:
+    """The published vocabulary that encoding and packing use by default."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    return bpe.digest_table(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, learnt from labels of folds 1 to 4."""
     docs = table(spark, sf_dir, "documents")
@@ -31,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op4_quality_classifier, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {}

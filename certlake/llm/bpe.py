@@ -264,13 +264,12 @@ def digest_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     held = hold(docs.sparkSession, vocabulary)
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(held)
-        for pdf in batches:
-            rows = []
-            for ids in encoder.encode_all(pdf["text"]):
-                back = encoder.decode(ids).encode("utf-8", "surrogatepass")
-                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=pdf["doc_id"].array)
-
-    return docs.select("doc_id", "text").mapInPandas(digest, "n_tokens long, ids_sha256 string, decoded_sha256 string, doc_id long").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        encoder, rows = encoder_of(held), []
+        for ids in encoder.encode_all(texts):
+            back = encoder.decode(ids).encode("utf-8", "surrogatepass")
+            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", digest("text").alias("digest")).select("doc_id", "digest.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import bpe, quality, toxicity
+from certlake.llm import bpe, packing, quality, toxicity
 from certlake.llm.common import fold
 
 
@@ -29,6 +29,11 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     return bpe.digest_table(table(spark, sf_dir, "documents"), word_bpe())
@@ -43,5 +48,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op4_quality_classifier, op8_packing, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import bpe, line_dedup, packing, quality, toxicity
+from certlake.llm import bpe, line_dedup, ngram_join, packing, quality, toxicity
 from certlake.llm.common import fold
 
 
@@ -27,6 +27,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies, and its number of links."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def word_bpe() -> str:
     """The published vocabulary that encoding and packing use by default."""
     import public_tokenizers
@@ -53,5 +58,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op5_line_dedup, op8_packing, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op4_quality_classifier, op5_line_dedup, op6_ngram_join, op8_packing, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}

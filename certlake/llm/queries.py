@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import bpe, line_dedup, ngram_join, packing, quality, toxicity
+from certlake.llm import bpe, cap_join, line_dedup, ngram_join, packing, quality, toxicity
 from certlake.llm.common import fold
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component at cosine 0.9."""
+    return cap_join.join(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learnt from labels of folds 1 to 4."""
     docs = table(spark, sf_dir, "documents")
@@ -58,5 +63,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op5_line_dedup, op6_ngram_join, op8_packing, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_cap_join, op4_quality_classifier, op5_line_dedup, op6_ngram_join, op8_packing, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}

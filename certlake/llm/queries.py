@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import bpe, cap_join, line_dedup, ngram_join, packing, quality, toxicity
+from certlake.llm import bloom_lm, bpe, cap_join, line_dedup, ngram_join, packing, quality, toxicity
 from certlake.llm.common import fold
 
 
@@ -37,6 +37,14 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learnt from all folds but 2 of 7."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = bloom_lm.score(docs, bloom_lm.train(docs.where(~held_out).select("doc_id", "text")))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def word_bpe() -> str:
     """The published vocabulary that encoding and packing use by default."""
     import public_tokenizers
@@ -63,5 +71,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cap_join, op4_quality_classifier, op5_line_dedup, op6_ngram_join, op8_packing, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_cap_join, op4_quality_classifier, op5_line_dedup, op6_ngram_join, op7_bloom_lm, op8_packing, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}

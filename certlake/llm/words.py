@@ -38,9 +38,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` in order, and the number of words of each text."""
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order, and the number of words of each text;
+    ``lower`` lower-cases A-Z."""
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    buf = LOWER[buf] if lower else buf
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
     inside = ~SPACE[buf]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))

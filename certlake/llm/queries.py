@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import bloom_lm, bpe, cap_join, line_dedup, ngram_join, packing, quality, topk, toxicity
+from certlake.llm import bloom_lm, bpe, cap_join, line_dedup, ngram_join, packing, quality, style_tree, topk, toxicity
 from certlake.llm.common import fold
 
 
@@ -23,6 +23,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op3_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return style_tree.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learnt from labels of folds 1 to 4."""
     docs = table(spark, sf_dir, "documents")
@@ -76,5 +81,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cap_join, op2_topk, op4_quality_classifier, op5_line_dedup, op6_ngram_join, op7_bloom_lm, op8_packing, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_cap_join, op2_topk, op3_style_tree, op4_quality_classifier, op5_line_dedup, op6_ngram_join, op7_bloom_lm, op8_packing, op9_bpe, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op5_line_dedup": line_dedup.ORACLE}

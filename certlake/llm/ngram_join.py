@@ -38,8 +38,8 @@ class JoinConfig:
 
     words: int = 5
     similarity: tuple[int, int] = (4, 5)
-    rows: int = 6
-    recall: float = 0.99999
+    rows: int = 5
+    recall: float = 0.9999
     block: int = 512
     block_grams: int = 500_000
     seed: int = 29
@@ -204,7 +204,7 @@ def _classes(texts: DataFrame, signed: DataFrame, config: JoinConfig) -> DataFra
     placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     total, grams = clusters.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bundles = max(1, total // config.block, grams // config.block_grams)
-    members = placed.join(texts.select(F.col("doc_id").alias("rep"), F.lower("text").cast("binary").alias("text")), "rep")
+    members = placed.hint("merge").join(texts.select(F.col("doc_id").alias("rep"), F.lower("text").cast("binary").alias("text")), "rep")
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     paired = members.withColumn("other", meets).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     # Small clusters share a task; the blocks of a large one have a task for each pair.

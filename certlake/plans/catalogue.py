@@ -1,6 +1,401 @@
-"""All queries of the engine by name, and their SQL counterparts."""
+"""All queries of the engine by name, and their SQL counterparts.
+
+Queries read whole tables.  Scalar rules run on each distinct input text, with its number of rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from certlake.functions import numeric, text
+from certlake.operators import evaluate, resolve, select, shape, store, validate
+from certlake.plans import views
+from certlake.plans.views import CERTS, DATES, HEATS, LINES, NUMBERS, UNITS, pick, view
+from certlake.registries import GRADES, HEADERS, HEAT_LOOKALIKES, REVIEW_OUTCOMES, SPECS, alias_key, headers, values_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function as a query, with its SQL counterpart."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def counted(df: DataFrame, *columns: str) -> DataFrame:
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+# --- Scalar rules
+
+
+@query(f"""WITH r AS (SELECT raw, count(*) AS n FROM ({NUMBERS}) GROUP BY raw),
+d AS (SELECT raw, n, trim(raw) AS t, regexp_replace(regexp_replace(trim(raw), '\\s*(MPA|N/MM2|PSI|KSI|%|PCT|KG|MT|TONS|TON|PCS|MM|CM|M|FT)\\s*$', '', 'i'), '[^0-9.,-]', '', 'g') AS d FROM r),
+c AS (SELECT *, length(d) - length(replace(d, '.', '')) AS dots, length(d) - length(replace(d, ',', '')) AS commas, replace(replace(d, '.', ''), ',', '') AS bare FROM d),
+p AS (SELECT *, CASE WHEN dots = 0 AND commas = 0 THEN 'digits_only' WHEN dots + commas = 1 THEN 'decimal' WHEN dots > 0 AND commas > 0 AND strpos(reverse(d), '.') < strpos(reverse(d), ',') THEN 'dot_decimal_with_thousands'
+   WHEN dots > 0 AND commas > 0 THEN 'comma_decimal_with_thousands' ELSE 'thousands_grouped' END AS k FROM c),
+v AS (SELECT *, CASE k WHEN 'digits_only' THEN try_cast(d AS double) WHEN 'decimal' THEN try_cast(replace(d, ',', '.') AS double) WHEN 'dot_decimal_with_thousands' THEN try_cast(replace(d, ',', '') AS double)
+   WHEN 'comma_decimal_with_thousands' THEN try_cast(replace(replace(d, '.', ''), ',', '.') AS double) ELSE try_cast(bare AS double) END AS v1,
+   CASE WHEN k = 'decimal' AND regexp_full_match(d, '[^.,]+[.,][^.,]{{3}}') THEN try_cast(bare AS double) END AS v2 FROM p),
+g AS (SELECT *, v1 IS NOT NULL AND v1 BETWEEN 80 AND 1500 AS g1, v2 IS NOT NULL AND v2 BETWEEN 80 AND 1500 AS g2, coalesce(t, '') = '' AS blank, coalesce(t, '') = '' OR d = '' AS empty FROM v),
+o AS (SELECT *, CASE WHEN g1 THEN v1 WHEN g2 THEN v2 ELSE coalesce(v1, v2) END AS value, CASE WHEN g1 THEN k WHEN g2 THEN 'thousands' WHEN v1 IS NOT NULL THEN k WHEN v2 IS NOT NULL THEN 'thousands' END AS name FROM g)
+SELECT raw, n, CASE WHEN NOT empty THEN coalesce(value, cast(0 AS double)) END AS value,
+  CASE WHEN blank THEN false WHEN empty THEN true ELSE g1 = g2 OR name = 'decimal' AND regexp_full_match(d, '-?[0-9]+[.,][0-9]{{3}}') OR name IS NULL END AS uncertain,
+  NOT empty AND coalesce(name IN ('thousands', 'thousands_grouped'), false) AS promoted, CASE WHEN empty THEN 'empty' ELSE coalesce(name, 'empty') END AS reading FROM o""")
+def numeric_parse_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(view(spark, sf_dir, NUMBERS), "raw").withColumn("p", numeric.parse_locale(F.col("raw"), "yield_mpa")).select("raw", "n", "p.*")
+
+
+FIRST_NUMBER = """r AS (SELECT raw, count(*) AS n FROM ({view}) GROUP BY raw),
+k AS (SELECT raw, n, replace(trim(regexp_extract(raw, '[-+]?[0-9][0-9,.\\s]*')), ' ', '') AS k FROM r),
+x AS (SELECT raw, n, try_cast(CASE WHEN k LIKE '%.%' AND k LIKE '%,%' AND strpos(reverse(k), ',') < strpos(reverse(k), '.') THEN replace(replace(k, '.', ''), ',', '.')
+   WHEN k NOT LIKE '%.%' AND length(k) - length(replace(k, ',', '')) = 1 AND strpos(reverse(k), ',') <= 3 THEN replace(k, ',', '.') ELSE replace(k, ',', '') END AS double) AS value FROM k)"""
+
+
+@query(f"WITH {FIRST_NUMBER.format(view=NUMBERS)} SELECT raw, n, value FROM x")
+def numeric_parse_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(view(spark, sf_dir, NUMBERS), "raw").withColumn("value", numeric.parse_first(F.col("raw")))
+
+
+@query(f"""WITH {FIRST_NUMBER.format(view=UNITS)},
+u AS (SELECT *, lower(regexp_extract(trim(raw), '\\s*(kilograms|kilogram|kgs|kg|grams|gram|g|tonnes|tonne|tons|ton|t|mt|mm|cm|m)\\s*\\.?$', 1, 'i')) AS u FROM x),
+c AS (SELECT *, CASE WHEN u IN ('kg', 'kgs', 'kilogram', 'kilograms') THEN 'kg' WHEN u IN ('g', 'gram', 'grams') THEN 'g' WHEN u IN ('t', 'ton', 'tons', 'tonne', 'tonnes', 'mt') THEN 't' ELSE u END AS unit FROM u)
+SELECT raw, n, value, unit, CASE unit WHEN 'kg' THEN value WHEN 'g' THEN value * cast(0.001 AS double) WHEN 't' THEN value * 1000 END AS kg FROM c""")
+def unit_to_kg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(view(spark, sf_dir, UNITS), "raw").withColumn("u", numeric.parse_unit(F.col("raw"))).select("raw", "n", "u.*")
+
+
+@query(f"""WITH r AS (SELECT raw, count(*) AS n FROM ({DATES}) GROUP BY raw)
+SELECT raw, n, strftime(CASE WHEN regexp_full_match(raw, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN try_cast(raw AS date)
+  WHEN regexp_full_match(raw, '[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-]([0-9]{{4}}|[0-9]{{2}})') THEN try_cast(
+    (CASE WHEN length(regexp_extract(raw, '[0-9]+$')) = 4 THEN regexp_extract(raw, '[0-9]+$') WHEN cast(regexp_extract(raw, '[0-9]+$') AS int) < 70 THEN '20' || regexp_extract(raw, '[0-9]+$') ELSE '19' || regexp_extract(raw, '[0-9]+$') END)
+    || '-' || lpad(regexp_extract(raw, '^[0-9]+[./-]([0-9]+)', 1), 2, '0') || '-' || lpad(regexp_extract(raw, '^[0-9]+'), 2, '0') AS date) END, '%Y-%m-%d') AS iso FROM r""")
+def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(view(spark, sf_dir, DATES), "raw").withColumn("iso", text.parse_date(F.col("raw")))
+
+
+SIZES = f"SELECT cast(p_size AS string) || {pick('p_partkey', (' x ', 'mm x ', '×', ' by '))} || cast(p_size * 3 AS string) || {pick('p_partkey', (' mm', 'mm', '', ' cm'))} AS raw FROM part"
+
+
+@query(f"""WITH r AS (SELECT raw, count(*) AS n FROM ({SIZES}) GROUP BY raw),
+c AS (SELECT raw, n, list_filter(regexp_split_to_array(trim(raw), '\\s*(?:x|×|\\*|/|by)\\s*'), lambda x: trim(x) <> '') AS c FROM r)
+SELECT raw, n, array_to_string(list_transform(c, lambda x: cast(cast(regexp_extract(x, '[0-9]+') AS bigint) * 1000000 AS string)), 'x') || ' ' || lower(regexp_extract(raw, '(mm|cm|m)$', 1)) AS signature FROM c""")
+def dimension_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(view(spark, sf_dir, SIZES), "raw").withColumn("signature", numeric.dimension_signature(F.col("raw")))
+
+
+@query(f"""SELECT category, count(*) AS n, cast(count(*) FILTER (WHERE yield_mpa < 80 OR yield_mpa > 1500) AS bigint) AS odd_yield,
+cast(count(*) FILTER (WHERE tensile_mpa < 120 OR tensile_mpa > 1800) AS bigint) AS odd_tensile, cast(count(*) FILTER (WHERE elongation_pct < 1 OR elongation_pct > 80) AS bigint) AS odd_elongation FROM ({CERTS}) GROUP BY category""")
+def suspicious_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = [F.count_if(numeric.suspicious(F.col(k), numeric.BANDS[k])).alias(f"odd_{k.split('_')[0]}") for k in shape.PROPERTIES]
+    return view(spark, sf_dir, CERTS).groupBy("category").agg(F.count("*").alias("n"), *odd)
+
+
+SHAPES = f"SELECT {pick('l_partkey', ('07/10/2024', 'AB-12', 'HEAT', '12 34', '2024-10-07', 'X9', '7.10', 'C' , '', 'LS210612G8'))} || CASE WHEN l_linenumber = 1 THEN cast(l_suppkey % 7 AS string) ELSE '' END AS raw FROM lineitem"
+
+
+@query(f"""WITH r AS (SELECT raw, count(*) AS n FROM ({SHAPES}) GROUP BY raw),
+s AS (SELECT *, regexp_full_match(trim(raw), '([0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}|[0-9]{{4}}[./-][0-9]{{1,2}}[./-][0-9]{{1,2}}|[0-9]{{1,2}}[./-][0-9]{{1,2}})') AS is_date, regexp_replace(upper(trim(raw)), '[^A-Z0-9]', '', 'g') AS k FROM r)
+SELECT raw, n, is_date, NOT is_date AND trim(raw) NOT LIKE '% %' AND regexp_matches(k, '[0-9]') AND length(k) >= 3 AS is_identifier FROM s""")
+def identifier_shape_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("raw")
+    return counted(view(spark, sf_dir, SHAPES), "raw").withColumn("is_date", text.looks_like_date(raw)).withColumn("is_identifier", text.looks_like_identifier(raw))
+
+
+NAMES = f"SELECT s_suppkey, s_name, s_name || {pick('s_suppkey', (' S.p.A.', ' GmbH', ' Ltd.', ' s.r.l', ', Inc.', ' Co', ''))} AS raw FROM supplier"
+
+
+@query(f"""WITH r AS (SELECT s_suppkey, trim(raw) AS t FROM ({NAMES})),
+n AS (SELECT s_suppkey, lower(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\bs\\.?\\s*p\\.?\\s*a\\.?\\b', ' spa ', 'gi'), '\\bs\\.?\\s*r\\.?\\s*l\\.?\\b', ' srl ', 'gi'), '\\bltd\\.?\\b', ' ltd ', 'gi'), '\\binc\\.?\\b', ' inc ', 'gi'), '\\bcorp\\.?\\b', ' corp ', 'gi'), '\\bgmbh\\b', ' gmbh ', 'gi'), '\\bco\\.?\\b', ' co ', 'gi'),
+  '[^\\w\\s./+-]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM r) SELECT s_suppkey, name FROM n""")
+def supplier_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, NAMES).select("s_suppkey", text.normalize_supplier(F.col("raw")).alias("name"))
+
+
+@query(f"""SELECT header, field, sum(n) AS n FROM (SELECT upper(regexp_replace(trim(regexp_replace(raw, '[/:;|_-]+', ' ', 'g')), '\\s+', ' ', 'g')) AS header, count(*) AS n FROM (SELECT {pick('p_partkey', ('heat_no', 'Grade:', ' yield  strength', 'A%', 'Rm', 'colour', 'Date/of/issue', 'CAST-NO'))} AS raw FROM part) GROUP BY 1)
+LEFT JOIN {values_sql([(h, f) for f, names in HEADERS.items() for h in dict.fromkeys((*names, f.upper().replace('_', ' ')))], 'h, field')} ON h = header GROUP BY header, field""".replace("sum(n) AS n", "cast(sum(n) AS bigint) AS n"))
+def header_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = view(spark, sf_dir, f"SELECT {pick('p_partkey', ('heat_no', 'Grade:', ' yield  strength', 'A%', 'Rm', 'colour', 'Date/of/issue', 'CAST-NO'))} AS raw FROM part")
+    named = counted(raw, "raw").withColumn("header", text.normalize_header(F.col("raw"))).groupBy("header").agg(F.sum("n").alias("n"))
+    return named.join(F.broadcast(headers(spark)), "header", "left").select("header", "field", "n")
+
+
+@query("""SELECT lang, count(*) AS n, cast(count(*) FILTER (WHERE length(text) >= 40 AND (length(regexp_replace(text, '[^A-Za-z0-9\\s.,;:/()%+-]', '', 'g')) * 100 < length(text) * 92 OR contains(text, chr(65533)))) AS bigint) AS noisy FROM documents GROUP BY lang""")
+def noisy_text_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(text.noisy_text(F.col("text"))).alias("noisy"))
+
+
+# --- Grades, specifications and rows
+
+ALIASES = [(k, c, g, i) for i, (k, (c, g)) in enumerate({alias_key(a): (c, g) for c, g, names in GRADES for a in (c, *names)}.items())]
+RESOLVED = f"""reg AS (SELECT * FROM {values_sql(ALIASES, 'k, canonical, grp, ord')}),
+raws AS (SELECT DISTINCT grade AS raw FROM ({CERTS})),
+norm AS (SELECT raw, trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(raw)), '[_;:|]+', ' ', 'g'), '-+', '-', 'g'), '\\s+', ' ', 'g')) AS t FROM raws),
+toks AS (SELECT raw, unnest(list_filter(list_transform(regexp_split_to_array(t, '[/,]'), lambda x: trim(x)), lambda x: x <> '')) AS tok, generate_subscripts(list_filter(list_transform(regexp_split_to_array(t, '[/,]'), lambda x: trim(x)), lambda x: x <> ''), 1) AS pos FROM norm),
+ways AS (SELECT raw, pos, tok, unnest([tok, regexp_replace(tok, '\\+(N|M|AR|QT|Q)\\b', '', 'i'), regexp_replace(tok, '^(?:ASTM\\s+)?A[0-9]{{3}}\\s+', '', 'i'), regexp_replace(regexp_replace(tok, '^(?:ASTM\\s+)?A[0-9]{{3}}\\s+', '', 'i'), '\\+(N|M|AR|QT|Q)\\b', '', 'i')]) AS w, unnest([1, 2, 3, 4]) AS way FROM toks),
+exact AS (SELECT raw, pos, min_by(canonical, way) AS canonical, min_by(grp, way) AS grp FROM ways JOIN reg ON regexp_replace(upper(trim(w)), '[\\s_-]+', '', 'g') = k GROUP BY raw, pos),
+inside AS (SELECT t.raw, t.pos, r.canonical, r.grp, r.ord FROM toks t JOIN reg r ON contains(regexp_replace(upper(trim(t.tok)), '[\\s_-]+', '', 'g'), r.k) AND length(r.k) >= 3 WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.raw = t.raw AND e.pos = t.pos)),
+hits AS (SELECT raw, pos, 0 AS ord, canonical, grp FROM exact UNION ALL SELECT raw, pos, ord, canonical, grp FROM inside),
+firsts AS (SELECT raw, canonical, min(pos * 10000 + ord) AS place FROM hits GROUP BY raw, canonical),
+agg AS (SELECT h.raw, count(DISTINCT h.canonical) AS nc, count(DISTINCT h.grp) AS ng FROM hits h GROUP BY h.raw),
+cands AS (SELECT raw, list(canonical ORDER BY place) AS cands FROM firsts GROUP BY raw),
+shapes AS (SELECT raws.raw, count(tok) AS n, min(regexp_replace(upper(trim(tok)), '[\\s_-]+', '', 'g')) AS only FROM raws LEFT JOIN toks ON raws.raw = toks.raw GROUP BY raws.raw),
+resolved AS (SELECT s.raw AS grade, CASE WHEN s.n = 0 THEN 'empty' WHEN s.n = 1 AND s.only = 'S355' THEN 'ambiguous' WHEN a.nc IS NULL THEN 'unknown' WHEN a.nc = 1 THEN 'resolved' WHEN a.ng = 1 THEN 'resolved_dual' ELSE 'ambiguous' END AS status,
+  CASE WHEN s.n = 1 AND s.only = 'S355' THEN ['S355JR', 'S355J2'] ELSE coalesce(c.cands, []) END AS cands FROM shapes s LEFT JOIN agg a ON s.raw = a.raw LEFT JOIN cands c ON s.raw = c.raw),
+spec AS (SELECT * FROM {values_sql(SPECS, 'spec, min_yield, min_tensile, max_tensile, min_elongation')}),
+pairs AS (SELECT grade, unnest(cands) AS cand, generate_subscripts(cands, 1) AS pos FROM resolved WHERE status LIKE 'resolved%'),
+specs AS (SELECT r.grade, r.status, r.cands, x.spec, s.min_yield, s.min_tensile, s.max_tensile, s.min_elongation,
+  CASE WHEN r.status = 'empty' THEN 'empty' WHEN r.status = 'unknown' THEN 'unknown_grade' WHEN r.status = 'ambiguous' THEN 'ambiguous_grade' WHEN x.spec IS NOT NULL THEN 'resolved' ELSE 'unsupported_spec_family' END AS spec_status
+  FROM resolved r LEFT JOIN (SELECT grade, min_by(cand, pos) AS spec FROM pairs WHERE cand IN (SELECT spec FROM spec) GROUP BY grade) x ON r.grade = x.grade LEFT JOIN spec s ON s.spec = x.spec)"""
+
+
+@query(f"WITH {RESOLVED} SELECT grade, status, array_to_string(cands, '|') AS candidates, CASE WHEN status LIKE 'resolved%' THEN cands[1] END AS canonical FROM resolved")
+def grade_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve_grades(view(spark, sf_dir, CERTS)).withColumn("candidates", F.array_join("candidates", "|"))
+
+
+@query(f"WITH {RESOLVED} SELECT grade, spec_status, spec, min_yield, min_tensile, max_tensile, min_elongation FROM specs")
+def spec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve_specs(resolve.resolve_grades(view(spark, sf_dir, CERTS))).select("grade", "spec_status", "spec", "min_yield", "min_tensile", "max_tensile", "min_elongation")
+
+
+VALIDATED = f"""WITH {RESOLVED},
+b AS (SELECT c.*, s.spec_status, s.spec, s.cands, c.yield_mpa IS NULL AND c.tensile_mpa IS NULL AND c.elongation_pct IS NULL AS nothing,
+  coalesce(c.yield_mpa < s.min_yield, false) OR coalesce(c.tensile_mpa < s.min_tensile, false) OR coalesce(c.tensile_mpa > s.max_tensile, false) OR coalesce(s.min_elongation > 0 AND c.elongation_pct < s.min_elongation, false)
+  OR coalesce(s.spec = 'SRCDRW02' AND c.yield_mpa > 700, false) OR coalesce(s.spec = 'SRCDRW02' AND c.tensile_mpa < c.yield_mpa, false) AS breached,
+  CASE WHEN c.yield_mpa < 80 OR c.yield_mpa > 1500 THEN 18 ELSE 0 END + CASE WHEN c.tensile_mpa < 120 OR c.tensile_mpa > 1800 THEN 18 ELSE 0 END + CASE WHEN c.elongation_pct < 1 OR c.elongation_pct > 80 THEN 18 ELSE 0 END
+  + CASE WHEN c.yield_mpa IS NULL THEN 4 ELSE 0 END + CASE WHEN c.tensile_mpa IS NULL THEN 4 ELSE 0 END + CASE WHEN c.elongation_pct IS NULL AND s.min_elongation > 0 THEN 4 ELSE 0 END AS pen
+  FROM ({CERTS}) c LEFT JOIN specs s ON c.grade = s.grade),
+val AS (SELECT *, CASE WHEN nothing THEN 'NOT_VALIDATED' WHEN category = 'WIRE_ROPE' THEN 'COMPLIANT' WHEN spec_status = 'empty' THEN 'MISSING_CRITICAL_FIELD_GRADE'
+  WHEN spec_status = 'unknown_grade' THEN CASE WHEN explicit_grade THEN 'EXPLICIT_UNMAPPED_GRADE' ELSE 'NEEDS_REVIEW' END WHEN spec_status = 'ambiguous_grade' THEN 'NEEDS_REVIEW'
+  WHEN spec_status = 'unsupported_spec_family' THEN 'UNSUPPORTED_SPEC_FAMILY' WHEN breached THEN 'NON_COMPLIANT' ELSE 'COMPLIANT' END AS outcome,
+  CASE WHEN nothing THEN 0 WHEN category = 'WIRE_ROPE' THEN CASE WHEN tensile_mpa IS NULL THEN 4 WHEN tensile_mpa < 1200 OR tensile_mpa > 2500 THEN 18 ELSE 0 END
+  WHEN spec_status = 'empty' THEN 20 WHEN spec_status = 'unknown_grade' THEN CASE WHEN explicit_grade THEN 10 ELSE 20 END WHEN spec_status = 'ambiguous_grade' THEN 15 WHEN spec_status = 'unsupported_spec_family' THEN 10 ELSE pen END AS penalty FROM b)"""
+
+
+@query(VALIDATED + " SELECT coalesce(CASE WHEN spec_status IN ('resolved', 'unsupported_spec_family') THEN cands[1] END, '-') AS family, outcome, count(*) AS n FROM val GROUP BY ALL")
+def row_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by grade family and outcome."""
+    rows = validate.validate_rows(view(spark, sf_dir, CERTS))
+    return rows.groupBy(F.coalesce("canonical", F.lit("-")).alias("family"), "outcome").agg(F.count("*").alias("n"))
+
+
+@query(VALIDATED + " SELECT outcome, cast(greatest(5, 100 - penalty) AS bigint) AS confidence_pct, count(*) AS n FROM val GROUP BY ALL")
+def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = validate.validate_rows(view(spark, sf_dir, CERTS))
+    return rows.groupBy("outcome", F.round(F.col("confidence") * 100).cast("long").alias("confidence_pct")).agg(F.count("*").alias("n"))
+
+
+REVIEWS = ", ".join(f"'{o}'" for o in REVIEW_OUTCOMES)
+
+
+@query(VALIDATED + f""" SELECT doc_id, CASE WHEN bool_or(outcome = 'NON_COMPLIANT') THEN 'NON_COMPLIANT' WHEN bool_or(outcome IN ({REVIEWS})) THEN 'NEEDS_REVIEW' WHEN bool_or(outcome = 'COMPLIANT') THEN 'COMPLIANT' ELSE 'NOT_VALIDATED' END AS doc_outcome, count(*) AS n_rows FROM val GROUP BY doc_id""")
+def document_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.document_outcomes(validate.validate_rows(view(spark, sf_dir, CERTS)))
+
+
+@query(VALIDATED + f""", d AS (SELECT doc_id, bool_or(outcome = 'NON_COMPLIANT' OR outcome IN ({REVIEWS})) AS blocked, min(100 - penalty) AS least, cast(count(*) FILTER (WHERE penalty >= 18) AS bigint) AS doubtful, count(*) AS n FROM val GROUP BY doc_id)
+SELECT CASE WHEN blocked THEN 'review_blocking' WHEN least < 80 THEN 'review_confidence' WHEN n >= 2 AND doubtful * 100 >= n * 35 THEN 'review_suspicious' ELSE 'auto_accept' END AS decision, count(*) AS n_docs FROM d GROUP BY 1""")
+def review_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(store.review_decisions(validate.validate_rows(view(spark, sf_dir, CERTS))), "decision").withColumnRenamed("n", "n_docs")
+
+
+@query(f"""WITH h AS (SELECT doc_id, regexp_replace(upper(heat), '[^A-Z0-9]', '', 'g') AS c FROM ({HEATS}) WHERE heat <> ''), x AS (SELECT doc_id, length(c) AS l, length(regexp_replace(c, '[^0-9]', '', 'g')) AS d FROM h),
+l AS (SELECT doc_id, l, count(*) AS n FROM x GROUP BY ALL), d AS (SELECT doc_id, d, count(*) AS n FROM x GROUP BY ALL)
+SELECT a.doc_id, cast(a.l AS bigint) AS length, cast(b.d AS bigint) AS digits FROM (SELECT doc_id, arg_min(l, (-n, l)) AS l, sum(n) AS t FROM l GROUP BY doc_id) a JOIN (SELECT doc_id, arg_min(d, (-n, d)) AS d FROM d GROUP BY doc_id) b USING (doc_id) WHERE t >= 2""")
+def heat_pattern_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.heat_patterns(view(spark, sf_dir, HEATS))
+
+
+SAME = " OR ".join(f"contains('{g}', a[i]) AND contains('{g}', b[i])" for g in HEAT_LOOKALIKES)
+
+
+@query(f"""WITH h AS (SELECT DISTINCT doc_id, regexp_replace(upper(heat), '[^A-Z0-9]', '', 'g') AS c FROM ({HEATS}) WHERE heat <> ''),
+p AS (SELECT x.doc_id, x.c AS a, y.c AS b FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.c < y.c AND length(x.c) = length(y.c))
+SELECT doc_id, a AS heat, b AS other FROM p WHERE len(list_filter(range(1, length(a) + 1), lambda i: NOT (a[i] = b[i] OR {SAME}))) = 0""")
+def confusable_heats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document's heat numbers that a scan may confuse."""
+    heats = view(spark, sf_dir, HEATS).where("heat <> ''").select("doc_id", text.canonical_identifier(F.col("heat")).alias("heat")).distinct()
+    pairs = heats.join(heats.withColumnRenamed("heat", "other"), "doc_id").where((F.col("heat") < F.col("other")) & (F.length("heat") == F.length("other")))
+    return pairs.where(text.confusable_heats(F.col("heat"), F.col("other")))
+
+
+# --- Row shapes
+
+LONG = f"SELECT doc_id, row_index, cast(s % 3 AS bigint) AS grp, {pick('row_index', shape.PROPERTIES)} AS property, cast(100 + (p * 7 + q) % 500 AS double) AS value FROM ({LINES}) AS x"
+
+
+@query(f"""WITH l AS (SELECT * FROM ({LONG})), g AS (SELECT doc_id, grp, min(row_index) AS place, {', '.join(f"min_by(value, row_index) FILTER (WHERE property = '{p}') AS {p}" for p in shape.PROPERTIES)} FROM l GROUP BY doc_id, grp),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, grp) AS n FROM g WHERE {' AND '.join(f'{p} IS NOT NULL' for p in shape.PROPERTIES)}) SELECT doc_id, grp, {', '.join(shape.PROPERTIES)} FROM r WHERE n = 1""")
+def vertical_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.collapse_vertical(view(spark, sf_dir, LONG))
+
+
+@query(f"SELECT property, count(*) AS n, sum(cast(value AS bigint))::bigint AS total FROM (UNPIVOT (SELECT doc_id, yield_mpa, tensile_mpa, elongation_pct FROM ({CERTS})) ON yield_mpa, tensile_mpa, elongation_pct INTO NAME property VALUE value) GROUP BY property")
+def mechanical_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.unpivot_properties(view(spark, sf_dir, CERTS), ["doc_id"]).groupBy("property").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, trim(heat) AS h FROM ({HEATS})) SELECT doc_id, CASE WHEN count(DISTINCT h) FILTER (WHERE h <> '') = 1 THEN min(h) FILTER (WHERE h <> '') END AS promoted, count(DISTINCT h) FILTER (WHERE h <> '') AS n_values FROM r GROUP BY doc_id""")
+def promote_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.promote_unique(view(spark, sf_dir, HEATS), "heat")
+
+
+CANDIDATES = f"""SELECT doc_id, CASE WHEN l % 2 = 0 THEN 'heat_number' ELSE 'grade' END AS field, cast(s % 4 AS bigint) AS rank, row_index AS ordinal, {pick('p', ('A1', 'a1', 'B2', 'C3'))} AS value FROM ({LINES}) AS x"""
+
+
+@query(f"""WITH c AS (SELECT * FROM ({CANDIDATES})), b AS (SELECT doc_id, field, rank, min_by(value, ordinal) AS value, count(DISTINCT lower(value)) AS n FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY rank) AS k FROM b)
+SELECT doc_id, field, rank, CASE WHEN n = 1 THEN value END AS value, n > 1 AS conflict FROM r WHERE k = 1""")
+def candidate_rank_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.choose_ranked(view(spark, sf_dir, CANDIDATES))
+
+
+@query(f"""WITH r AS (SELECT h.doc_id, h.row_index, h.heat, g.value AS grade FROM ({HEATS}) h JOIN ({CANDIDATES}) g ON h.doc_id = g.doc_id AND h.row_index = g.ordinal), l AS (SELECT doc_id, row_index, 'heat' AS field, heat AS value FROM r UNION ALL SELECT doc_id, row_index, 'grade', grade FROM r)
+SELECT doc_id, value, count(DISTINCT row_index) AS n_rows, string_agg(DISTINCT field, '|' ORDER BY field) AS fields FROM l WHERE trim(value) <> '' GROUP BY doc_id, value""")
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = view(spark, sf_dir, CANDIDATES).select("doc_id", F.col("ordinal").alias("row_index"), F.col("value").alias("grade"))
+    return shape.inverted_index(view(spark, sf_dir, HEATS).join(values, ["doc_id", "row_index"]), ["heat", "grade"])
+
+
+HEADS = f"SELECT o_orderkey AS doc_id, {pick('o_custkey', ('G1', 'G2', '', 'odd'))} AS value FROM orders"
+FILLED = f"SELECT l_orderkey AS doc_id, {pick('l_partkey', ('G1', '', 'G2', 'other'))} AS grade FROM lineitem"
+
+
+@query(f"""WITH r AS (SELECT f.*, h.value AS head, h.doc_id IS NOT NULL AS has FROM ({FILLED}) f LEFT JOIN ({HEADS}) h ON f.doc_id = h.doc_id)
+SELECT CASE WHEN trim(coalesce(grade, '')) = '' AND head LIKE 'G%' THEN head ELSE grade END AS filled, coalesce(trim(grade) <> '' AND grade LIKE 'G%' AND head LIKE 'G%' AND grade <> head, false) AS conflict, count(*) AS n FROM r GROUP BY ALL""")
+def header_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = lambda c: F.when(F.col(c).startswith("G"), F.col(c)).alias("canonical")
+    rows, heads = view(spark, sf_dir, FILLED).select("*", known("grade")), view(spark, sf_dir, HEADS).select("*", known("value"))
+    return counted(shape.propagate_header(rows, heads, "grade", "canonical"), "filled", "conflict")
+
+
+# --- Selection
+
+PAGES = "SELECT conv_id AS doc_id, turn AS page, cast((length(text) % 97) + CASE WHEN turn % 3 = 0 THEN 80 ELSE 0 END AS bigint) AS score, cast(length(text) AS bigint) AS size FROM conversations"
+
+
+@query(f"SELECT doc_id, page, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN page = 0 THEN 0 ELSE 1 END, score DESC, page) AS n FROM ({PAGES})) WHERE n <= 3")
+def page_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.pages_top_k(view(spark, sf_dir, PAGES), 3).select("doc_id", "page", "score")
+
+
+STRATA = "SELECT doc_id, lang, CASE WHEN n_chars < 1000 THEN 'single' WHEN n_chars < 4000 THEN 'short' ELSE 'long' END AS bucket FROM documents"
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang, bucket ORDER BY doc_id) AS k FROM ({STRATA})) SELECT cast(row_number() OVER (ORDER BY k, lang, CASE bucket WHEN 'single' THEN 0 WHEN 'short' THEN 1 ELSE 2 END) AS bigint) AS pick, doc_id, lang, bucket FROM r QUALIFY pick <= 60""")
+def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty documents, from each language and length in turn; a report of fixed size."""
+    order = F.when(F.col("bucket") == "single", 0).when(F.col("bucket") == "short", 1).otherwise(2)
+    return select.round_robin(view(spark, sf_dir, STRATA), ["lang", "bucket"], [F.col("doc_id")], [F.col("lang"), order], 60).withColumn("pick", F.col("pick").cast("long"))
+
+
+TICKS = "SELECT DISTINCT user_id, cast(event_id % 5000 AS bigint) AS pos FROM events"
+
+
+@query(f"""WITH d AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 40 THEN 0 ELSE 1 END AS f FROM ({TICKS}) WINDOW w AS (PARTITION BY user_id ORDER BY pos)), g AS (SELECT *, cast(sum(f) OVER (PARTITION BY user_id ORDER BY pos) AS bigint) AS island FROM d)
+SELECT user_id, island, cast(floor(sum(pos) / count(*)) AS bigint) AS centre, count(*) AS size FROM g GROUP BY user_id, island""")
+def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.islands(view(spark, sf_dir, TICKS), ["user_id"], "pos", 40)
+
+
+@query(f"""WITH d AS (SELECT user_id, pos AS low, lead(pos) OVER (PARTITION BY user_id ORDER BY pos) AS high FROM ({TICKS})) SELECT user_id, low, high, cast(row_number() OVER (PARTITION BY user_id ORDER BY low, high) - 1 AS bigint) AS band FROM d WHERE high - low >= 8""")
+def band_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.bands(view(spark, sf_dir, TICKS), ["user_id"], "pos", 8).withColumn("band", F.col("band").cast("long"))
+
+
+COSTS = "SELECT o_custkey, o_orderkey, cast(round(o_totalprice) AS bigint) AS cost FROM orders"
+
+
+@query(f"""WITH b AS (SELECT *, coalesce(cast(sum(cost) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bigint), 0) AS spent_before FROM ({COSTS})) SELECT *, spent_before < 500000 AS live FROM b""")
+def budget_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders up to a spend of 500,000."""
+    return select.budget_cutoff(view(spark, sf_dir, COSTS), ["o_custkey"], [F.col("o_orderkey")], "cost", 500_000)
+
+
+@query()
+def evidence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy packing of a conversation's turns into 600 characters; a fold, so without SQL."""
+    return select.pack_greedy(view(spark, sf_dir, PAGES), "doc_id", ["page"], "size", 600, ["score"])
+
+
+# --- Evaluation
+
+EVAL = f"""SELECT doc_id, lang, 'quality' AS field, CASE WHEN doc_id % 5 = 0 THEN 'YES' ELSE {pick('doc_id', ('yes', 'no', 'true', ' Y '))} END AS gold, {pick('n_chars', ('yes', '1', 'false', 'No', ''))} AS pred FROM documents"""
+YES, NO = ("yes", "y", "true", "1"), ("no", "n", "false", "0")
+MATCHED = f"""m AS (SELECT *, lower(trim(gold)) AS g, lower(trim(pred)) AS p FROM ({EVAL})), k AS (SELECT *, CASE WHEN g IN {YES} THEN 'yes' WHEN g IN {NO} THEN 'no' ELSE g END AS gb, CASE WHEN p IN {YES} THEN 'yes' WHEN p IN {NO} THEN 'no' ELSE p END AS pb FROM m),
+x AS (SELECT *, gold = pred AS raw, CASE WHEN p = '' THEN false ELSE gb = pb END AS match, CASE WHEN p = '' THEN 'one_missing' WHEN g = p THEN 'exact' ELSE 'semantic' END AS matcher FROM k)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, EVAL).withColumn("m", evaluate.chain(F.col("gold"), F.col("pred"), ["exact", "semantic"]))
+    return rows.select("doc_id", "lang", "field", (F.col("gold") == F.col("pred")).alias("raw"), "m.match", "m.matcher", F.lit(True).alias("critical"))
+
+
+@query(f"WITH {MATCHED} SELECT matcher, match, count(*) AS n FROM x GROUP BY ALL")
+def eval_field_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(_results(spark, sf_dir), "matcher", "match")
+
+
+@query(f"WITH {MATCHED} SELECT lang, count(*) AS n, cast(count(*) FILTER (WHERE raw) AS bigint) AS raw_hits, cast(count(*) FILTER (WHERE match) AS bigint) AS hits, cast(count(*) FILTER (WHERE NOT raw AND match) AS bigint) AS harmless, cast(count(*) FILTER (WHERE NOT match) AS bigint) AS critical_misses FROM x GROUP BY GROUPING SETS ((lang), ())")
+def eval_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by language, and over all (null)."""
+    results = _results(spark, sf_dir)
+    return evaluate.metrics(results, ["lang"]).unionByName(evaluate.metrics(results, []).withColumn("lang", F.lit(None).cast("string")))
+
+
+@query("""SELECT event_type, count(*) AS n, list_sort(list(cast(value * 100 AS bigint)))[1 + cast(round_even(0.95::double * (count(*) - 1), 0) AS bigint)] AS p95 FROM events GROUP BY event_type""")
+def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95th percentile by nearest rank, from counts of distinct values: no group is collected."""
+    cents = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v"))
+    return store.nearest_rank(cents, ["event_type"], "v", 0.95).select("event_type", "n", F.col("value").alias("p95"))
+
+
+# --- Store
+
+RUNS = "SELECT user_id, event_id, event_type, ts FROM events"
+
+
+@query(f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM ({RUNS})) WHERE n <= 5")
+def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's five newest runs."""
+    return store.newest(view(spark, sf_dir, RUNS), "user_id", ["ts", "event_id"], 5).select("user_id", "event_id", "event_type")
+
+
+@query(f"SELECT user_id, max_by(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM ({RUNS}) GROUP BY user_id")
+def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest_state(view(spark, sf_dir, RUNS), "user_id", "event_type", ["ts", "event_id"])
+
+
+@query("SELECT source, sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS n_uploads FROM documents GROUP BY source, sha256(text)")
+def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored document for each owner and content, the first that came."""
+    return store.upsert(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source", "text", "doc_id")
+
+
+@query("SELECT cast(date_trunc('hour', ts) AS timestamp) AS hour, event_type, count(*) AS n, cast(sum(cast(value * 100 AS bigint)) AS bigint) AS cents FROM events GROUP BY ALL".replace("cast(value * 100 AS bigint)", "cast(round(value * 100) AS bigint)").replace("cast(date_trunc('hour', ts) AS timestamp)", "strftime(ts, '%Y-%m-%d %H')"))
+def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+
+@query("""SELECT 'missing' AS side, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""")
+def missing_extra_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select("doc_id") for t in ("documents", "labels"))
+    return store.missing_and_extra(docs, labels)
+
+
+@query("""SELECT d.doc_id, d.source, CASE WHEN n_chars < 1000 THEN 'single' WHEN n_chars <= 4000 THEN 'short' ELSE 'long' END AS page_bucket, CASE WHEN n_chars < 800 THEN 'tiny' WHEN n_chars < 2000 THEN 'small' WHEN n_chars < 8000 THEN 'medium' ELSE 'large' END AS size_bucket, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return store.manifest(docs.drop("text"), labels.select("doc_id", "quality"))

@@ -118,3 +118,9 @@ def dimension_signature(raw: Column, ordered: bool = True) -> Column:
     """Parts to six places, and the unit of the last part that has one, as text."""
     parts = F.transform(dimension_parts(raw), lambda p: F.round(p * 1000000).cast("long"))
     return F.concat_ws(" ", F.array_join(F.transform(parts if ordered else F.array_sort(parts), lambda p: p.cast("string")), "x"), unit_of(raw))
+
+
+def parse_chemistry(raw: Column) -> Column:
+    """A share in percent; null for what is no finite number."""
+    value = F.regexp_replace(F.replace(raw, F.lit(","), F.lit(".")), r"[%\s]", "").try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)

@@ -59,3 +59,21 @@ def review_decisions(rows: DataFrame, least: int = 80, share: int = 35) -> DataF
     )
     decision = F.when(F.col("blocked"), "review_blocking").when(F.col("least") < least, "review_confidence").when((F.col("n") >= 2) & (F.col("doubtful") * 100 >= F.col("n") * share), "review_suspicious").otherwise("auto_accept")
     return docs.select("doc_id", decision.alias("decision"))
+
+
+def route(profiles: DataFrame) -> DataFrame:
+    """Adds quality_class and route from blur, noise and whether a page has text."""
+    severe = (F.col("blur") < 25) | (F.col("noise") >= 45)
+    noisy = (F.col("blur") < 80) | (F.col("noise") >= 25)
+    quality = F.when(F.col("has_text") & (F.col("noise") < 25), "digital_clean").when(severe, "severe_scan").when(noisy, "noisy_scan").otherwise("scan_clean")
+    routes = {"digital_clean": "path_a", "scan_clean": "path_b", "noisy_scan": "path_c", "severe_scan": "path_d"}
+    return profiles.withColumn("quality_class", quality).withColumn("route", F.element_at(F.create_map(*(F.lit(x) for p in routes.items() for x in p)), F.col("quality_class")))
+
+
+def trace(rows: DataFrame, least: int) -> DataFrame:
+    """Per document: are its rows' identifiers verified, the one that all share, the least verified confidence,
+    and how many unverified ones are suppressed."""
+    ok = F.coalesce(F.col("heat").isNotNull() & (F.col("pct") >= least), F.lit(False))
+    status = F.when(F.bool_and(ok), "VERIFIED").when(F.bool_or(ok), "PARTIAL").otherwise("UNVERIFIED")
+    one = F.when(F.bool_and(ok) & (F.min("heat") == F.max("heat")), F.min("heat"))
+    return rows.groupBy("doc_id").agg(status.alias("status"), one.alias("heat"), F.min(F.when(ok, F.col("pct"))).alias("least_pct"), F.count_if(F.col("heat").isNotNull() & ~ok).alias("suppressed"))

@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.functions import numeric, text
+from certlake.functions import labels, numeric, text
 from certlake.operators import evaluate, resolve, select, shape, store, validate
-from certlake.plans import views
 from certlake.plans.views import CERTS, DATES, HEATS, LINES, NUMBERS, UNITS, pick, view
 from certlake.registries import GRADES, HEADERS, HEAT_LOOKALIKES, REVIEW_OUTCOMES, SPECS, alias_key, headers, values_sql
+from certlake.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -391,11 +391,99 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'missing' AS side, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""")
 def missing_extra_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select("doc_id") for t in ("documents", "labels"))
-    return store.missing_and_extra(docs, labels)
+    docs, known = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select("doc_id") for t in ("documents", "labels"))
+    return store.missing_and_extra(docs, known)
 
 
 @query("""SELECT d.doc_id, d.source, CASE WHEN n_chars < 1000 THEN 'single' WHEN n_chars <= 4000 THEN 'short' ELSE 'long' END AS page_bucket, CASE WHEN n_chars < 800 THEN 'tiny' WHEN n_chars < 2000 THEN 'small' WHEN n_chars < 8000 THEN 'medium' ELSE 'large' END AS size_bucket, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return store.manifest(docs.drop("text"), labels.select("doc_id", "quality"))
+    docs, known = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return store.manifest(docs.drop("text"), known.select("doc_id", "quality"))
+
+
+# --- Texts and streams
+
+
+@query()
+def labeled_identifier_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled identifiers of every conversation turn, after lines that carry labels; a Python table function,
+    so without SQL."""
+    lines = view(spark, sf_dir, f"SELECT doc_id * 1000 + page AS doc_id, t FROM (SELECT conv_id AS doc_id, turn AS page, {pick('conv_id + turn', ('Heat No: H', 'batch B', 'Lot: L', 'Order No. O', 'Grade: S355J2 Heat: '))} || cast(conv_id AS string) || '. ' || text AS t FROM conversations) AS x")
+    return labels.first_without_conflict(labels.labelled_identifiers(lines, "doc_id", "t"), "doc_id")
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_filter(string_split(l, '. '), lambda s: NOT regexp_matches(s, 'token|(^|[^a-z])the([^a-z]|$)', 'i')), '. ')), chr(10)) AS text FROM conversations""")
+def remarks_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that a pattern suppresses go; lines stay."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.select("conv_id", "turn", text.drop_sentences(F.col("text"), r"(?i)token|(^|[^a-z])the([^a-z]|$)").alias("text"))
+
+
+TOKENS = f"SELECT p_partkey, {pick('p_partkey', ('EN 10025-2 / A5', 'EN ISO 15614|a5; A5', 'ASTM A312, G46', 'DIN 1.4301 ; din 1.4301', ''))} AS raw FROM part"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(raw, '[/,;|]'), lambda x: trim(x)), lambda x: x <> '') AS t FROM ({TOKENS})),
+d AS (SELECT p_partkey, list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i) AS t FROM t)
+SELECT p_partkey, array_to_string(list_filter(t, lambda x: regexp_matches(x, '\\b(EN\\s*ISO|EN\\s+[0-9]{{4,}}|AWS|ASTM|ISO|DIN|BS)\\b', 'i')), '|') AS standards, array_to_string(list_filter(t, lambda x: NOT regexp_matches(x, '\\b(EN\\s*ISO|EN\\s+[0-9]{{4,}}|AWS|ASTM|ISO|DIN|BS)\\b', 'i')), '|') AS classifications FROM d""")
+def split_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, TOKENS).withColumn("s", text.split_standards(F.col("raw"))).select("p_partkey", F.array_join("s.standards", "|").alias("standards"), F.array_join("s.classifications", "|").alias("classifications"))
+
+
+REPAIRS = f"SELECT {pick('p_partkey', ('I2,S', 'O 4.5', 'l0', 'abc', '12,345', 'Z9'))} AS raw, p_partkey % 10 >= 3 AS sure FROM part"
+
+
+@query(f"""WITH r AS (SELECT raw, sure, count(*) AS n FROM ({REPAIRS}) GROUP BY ALL), s AS (SELECT *, replace(raw, ' ', '') AS a FROM r), c AS (SELECT *, CASE WHEN a LIKE '%.%' THEN a ELSE replace(a, ',', '.') END AS b FROM s), t AS (SELECT *, translate(b, 'OoIlSs', '001155') AS t FROM c)
+SELECT raw, sure, n, CASE WHEN sure AND regexp_full_match(t, '[0-9.]+') THEN t ELSE b END AS repaired FROM t""")
+def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(view(spark, sf_dir, REPAIRS), "raw", "sure").withColumn("repaired", text.repair_number(F.col("raw"), F.col("sure")))
+
+
+QUALITY = """SELECT doc_id, cast(n_chars % 170 AS double) AS blur, cast(n_chars % 50 AS double) AS noise, n_chars % 4 <> 0 AS has_text FROM documents"""
+
+
+@query(f"""SELECT quality_class, route, count(*) AS n FROM (SELECT CASE WHEN has_text AND noise < 25 THEN 'digital_clean' WHEN blur < 25 OR noise >= 45 THEN 'severe_scan' WHEN blur < 80 OR noise >= 25 THEN 'noisy_scan' ELSE 'scan_clean' END AS quality_class,
+CASE WHEN has_text AND noise < 25 THEN 'path_a' WHEN blur < 25 OR noise >= 45 THEN 'path_d' WHEN blur < 80 OR noise >= 25 THEN 'path_c' ELSE 'path_b' END AS route FROM ({QUALITY})) GROUP BY ALL""")
+def quality_class_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(store.route(view(spark, sf_dir, QUALITY)), "quality_class", "route")
+
+
+@query(f"""WITH d AS (SELECT d.doc_id, lang, d.n_chars % 97 AS score FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS k FROM d)
+SELECT cast(row_number() OVER (ORDER BY k, lang) AS bigint) AS pick, doc_id, lang, score FROM r QUALIFY pick <= 40""")
+def score_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty next documents without labels, from each language in turn, best score first."""
+    docs, known = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rest = docs.select("doc_id", "lang", (F.col("n_chars") % 97).alias("score")).join(known.select("doc_id"), "doc_id", "left_anti")
+    return select.round_robin(rest, ["lang"], [F.desc("score"), F.col("doc_id")], [F.col("lang")], 40).withColumn("pick", F.col("pick").cast("long"))
+
+
+IDENTIFIERS = f"SELECT doc_id, row_index, {pick('p', ('H1', 'H2', None, 'B7'))} AS heat, cast((s * 7 + q) % 100 AS bigint) AS pct FROM ({LINES}) AS x"
+
+
+@query(f"""WITH r AS (SELECT *, heat IS NOT NULL AND pct >= 80 AS ok FROM ({IDENTIFIERS})) SELECT doc_id, CASE WHEN bool_and(ok) THEN 'VERIFIED' WHEN bool_or(ok) THEN 'PARTIAL' ELSE 'UNVERIFIED' END AS status, CASE WHEN bool_and(ok) AND count(DISTINCT heat) = 1 THEN min(heat) END AS heat, min(pct) FILTER (WHERE ok) AS least_pct, cast(count(*) FILTER (WHERE heat IS NOT NULL AND NOT ok) AS bigint) AS suppressed FROM r GROUP BY doc_id""")
+def traceability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.trace(view(spark, sf_dir, IDENTIFIERS), 80)
+
+
+ELEMENT_NAMES = {"C": ("C", "CARBON"), "SI": ("SI", "SILICON"), "MN": ("MN", "MANGANESE"), "CR": ("CR", "CHROMIUM", "CHROME"), "NI": ("NI", "NICKEL"), "MO": ("MO", "MOLYBDENUM"), "P": ("P", "PHOSPHORUS"), "S": ("S", "SULFUR", "SULPHUR")}
+CHEMISTRY = f"SELECT p_partkey % 200 AS item, {pick('p_partkey', ('Carbon', 'si', 'Mn ', 'Chrome', 'Ni.', 'gold', 'P'))} AS name, {pick('p_size', ('0,12 %', '1.5', 'n/a', '.3', ''))} AS raw FROM part"
+
+
+@query(f"""WITH r AS (SELECT item, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS k, try_cast(replace(replace(replace(raw, '%', ''), ' ', ''), ',', '.') AS double) AS v FROM ({CHEMISTRY})),
+m AS (SELECT item, symbol, max(v) AS v FROM r JOIN {values_sql([(n, s) for s, names in ELEMENT_NAMES.items() for n in names], 'name, symbol')} ON k = t.name WHERE v IS NOT NULL GROUP BY item, symbol)
+SELECT item, string_agg(symbol || '=' || cast(cast(round(v * 1000) AS bigint) AS string), ',' ORDER BY symbol) AS composition FROM m GROUP BY item""")
+def chemical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element values of each item, in thousandths."""
+    names = spark.createDataFrame([(n, s) for s, ns in ELEMENT_NAMES.items() for n in ns], "k string, symbol string")
+    rows = view(spark, sf_dir, CHEMISTRY).withColumn("k", text.canonical_identifier(F.col("name"))).withColumn("v", numeric.parse_chemistry(F.col("raw"))).where("v IS NOT NULL")
+    best = rows.join(F.broadcast(names), "k").groupBy("item", "symbol").agg(F.max("v").alias("v"))
+    pair = F.concat_ws("=", "symbol", F.round(F.col("v") * 1000).cast("long").cast("string"))
+    return best.groupBy("item").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("composition"))
+
+
+@query()
+def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job states from the events as a stream of files, read once until it is used up; without SQL."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = jobs.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    states = jobs.job_states(events.select(F.col("user_id").alias("job_id"), F.when(F.col("event_id") % 97 == 0, "succeeded").otherwise(F.col("event_type")).alias("status"), "ts", "event_id"))
+    return jobs.drain(states, "job_id")

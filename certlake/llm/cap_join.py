@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from certlake.llm.common import components, materialize
 
 
+LEAST_DIM = 32  # shorter vectors get zeros behind, so that a turn spreads them over both halves
+
+
 @dataclass(frozen=True)
 class CapConfig:
     """Pairs of cosine ``similarity`` or more are links.  The threshold is set so that a pair at the similarity
@@ -106,13 +109,14 @@ def _filters(classes: DataFrame, dim: int, threshold: float, words: int, config:
     """(rep, copies, vector, filters): each class with its filters in ascending order."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = make_codes(dim, words, config)
+        codes = make_codes(max(dim, LEAST_DIM), words, config)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 plain = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 unit = plain / np.abs(plain).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = np.pad(unit, ((0, 0), (0, max(0, LEAST_DIM - dim))))
                 got = [(r, f + k * words * words) for k, code in enumerate(codes) for r, f in [code.decode(unit, threshold)]]
                 row, found = (np.concatenate(x) for x in zip(*got, strict=True))
                 order = np.lexsort((found, row))
@@ -214,7 +218,7 @@ def _links(classes: DataFrame, dim: int, config: CapConfig) -> DataFrame:
     n = classes.count()
     per_vector = 30 * config.shared
     words = int(min(config.max_words, max(8, np.ceil(np.sqrt(n * per_vector / (config.codes * config.load))))))
-    threshold = calibrate(dim, words, config)
+    threshold = calibrate(max(dim, LEAST_DIM), words, config)
     filtered = materialize(_filters(classes, dim, threshold, words, config), "filters")
     listed = filtered.select("rep", F.explode("filters").alias("filter"))
     buckets = listed.groupBy("filter").agg(F.count("*").alias("members")).where("members > 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +34,18 @@ def parse_locale(raw: Column, kind: str, locale: str = "auto") -> Column:
     """
     text = F.trim(raw)
     digits = F.regexp_replace(F.regexp_replace(text, UNIT, ""), r"[^0-9.,\-]", "")
+    return let(digits, lambda d: let(_readings(d, locale), lambda r: _choose(text, d, r, kind)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _readings(digits: Column, locale: str) -> Column:
+    """array<struct<value, name>> of the readings that are numbers."""
     dots, commas = _count(digits, "."), _count(digits, ",")
-    bare = F.regexp_replace(digits, "[.,]", "")
-    point = F.replace(digits, F.lit(","), F.lit("."))
+    bare, point = F.translate(digits, ".,", ""), F.replace(digits, F.lit(","), F.lit("."))
     grouped = F.regexp_like(digits, F.lit(r"^[^.,]+[.,][^.,]{3}$"))
     last_dot, last_comma = F.length(F.substring_index(digits, ".", -1)), F.length(F.substring_index(digits, ",", -1))
     none = F.lit(None).cast("struct<value:double,name:string>")
@@ -50,19 +61,26 @@ def parse_locale(raw: Column, kind: str, locale: str = "auto") -> Column:
         .otherwise(as_read(bare, "thousands_grouped"))
     )
     second = F.when(single & grouped & F.lit(locale == "auto"), as_read(bare, "thousands")).otherwise(none)
-    readings = F.filter(F.array(first, second), lambda r: r["value"].isNotNull())
+    return F.filter(F.array(first, second), lambda r: r["value"].isNotNull())
+
+
+def _choose(text: Column, digits: Column, readings: Column, kind: str) -> Column:
+    """The first plausible reading, else the first; certain if exactly one is plausible."""
     good = F.filter(readings, lambda r: plausible(r["value"], kind))
-    chosen = F.coalesce(F.get(good, F.lit(0)), F.get(readings, F.lit(0)))
-    three = F.regexp_like(digits, F.lit(r"^-?[0-9]+[.,][0-9]{3}$"))
-    doubt = (F.size(good) != 1) | ((chosen["name"] == "decimal") & three & F.lit(kind in BANDS))
     blank = F.coalesce(text, F.lit("")) == ""
     empty = blank | (digits == "")
-    return F.struct(
-        F.when(~empty, F.coalesce(chosen["value"], F.lit(0.0))).alias("value"),
-        F.when(blank, False).when(empty, True).otherwise(F.coalesce(doubt, F.lit(True))).alias("uncertain"),
-        (~empty & F.coalesce(chosen["name"].isin("thousands", "thousands_grouped"), F.lit(False))).alias("promoted"),
-        F.when(empty, "empty").otherwise(F.coalesce(chosen["name"], F.lit("empty"))).alias("reading"),
-    )
+    three = F.regexp_like(digits, F.lit(r"^-?[0-9]+[.,][0-9]{3}$"))
+
+    def result(chosen: Column) -> Column:
+        doubt = (F.size(good) != 1) | ((chosen["name"] == "decimal") & three & F.lit(kind in BANDS))
+        return F.struct(
+            F.when(~empty, F.coalesce(chosen["value"], F.lit(0.0))).alias("value"),
+            F.when(blank, False).when(empty, True).otherwise(F.coalesce(doubt, F.lit(True))).alias("uncertain"),
+            (~empty & F.coalesce(chosen["name"].isin("thousands", "thousands_grouped"), F.lit(False))).alias("promoted"),
+            F.when(empty, "empty").otherwise(F.coalesce(chosen["name"], F.lit("empty"))).alias("reading"),
+        )
+
+    return let(F.coalesce(F.get(good, F.lit(0)), F.get(readings, F.lit(0))), result)
 
 
 def promote_float(value: Column, kind: str) -> Column:

@@ -3,7 +3,7 @@ an explicit column."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROPERTIES = ("yield_mpa", "tensile_mpa", "elongation_pct")
@@ -53,3 +53,35 @@ def inverted_index(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(doc_id, value, n_rows, fields): where each value of a document stands."""
     long = rows.select("doc_id", "row_index", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("c")).select("doc_id", "row_index", "c.*")
     return long.where("trim(value) <> ''").groupBy("doc_id", "value").agg(F.count_distinct("row_index").alias("n_rows"), F.array_join(F.sort_array(F.collect_set("field")), "|").alias("fields"))
+
+
+def sequential_ids(rows: DataFrame, column: str = "item_id") -> DataFrame:
+    """Missing and placeholder ids become the row's position from 1."""
+    blank = F.coalesce(F.lower(F.trim(column)), F.lit("")).isin("", "-", "n/a", "none", "null", "unknown")
+    return rows.withColumn(column, F.when(blank, (F.col("row_index") + 1).cast("string")).otherwise(F.col(column)))
+
+
+def heat_alias(aliases: list[str]) -> Column:
+    """The first present value of a list of columns that can stand for the heat number."""
+    return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in aliases))
+
+
+def backfill_single(rows: DataFrame, headers: DataFrame, fields: list[str]) -> DataFrame:
+    """Documents of exactly one row take missing fields from their header (doc_id, fields)."""
+    lone = rows.groupBy("doc_id").agg(F.count("*").alias("__rows")).where("__rows = 1").select("doc_id")
+    head = headers.join(lone, "doc_id", "left_semi").select("doc_id", *(F.col(f).alias(f"__{f}") for f in fields))
+    out = rows.join(head, "doc_id", "left")
+    return out.select(*(F.coalesce(F.when(F.trim(c) != "", F.col(c)), F.col(f"__{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns))
+
+
+def resolve_date(dates: DataFrame, priorities: dict[str, int]) -> DataFrame:
+    """(doc_id, value): the labelled date of the best priority, the first on a tie; labels without one are left
+    out."""
+    rank = F.element_at(F.create_map(*(F.lit(x) for p in priorities.items() for x in p)), F.lower(F.trim("label")))
+    return dates.withColumn("__rank", rank).where("__rank IS NOT NULL").groupBy("doc_id").agg(F.min_by("value", F.struct("__rank", "ordinal")).alias("value"))
+
+
+def document_summary(rows: DataFrame) -> DataFrame:
+    """(doc_id, rows, missing values, reasons): one line for each document."""
+    missing = [F.count_if(F.col(p).isNull()).alias(f"missing_{p}") for p in PROPERTIES]
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), *missing, F.array_join(F.sort_array(F.collect_set("outcome")), "|").alias("outcomes"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlake.functions import labels, numeric, text
-from certlake.operators import evaluate, resolve, select, shape, store, validate
+from certlake.operators import confidence, evaluate, resolve, select, shape, store, validate
 from certlake.plans.views import CERTS, DATES, HEATS, LINES, NUMBERS, UNITS, pick, view
 from certlake.registries import GRADES, HEADERS, HEAT_LOOKALIKES, REVIEW_OUTCOMES, SPECS, alias_key, headers, values_sql
 from certlake.streaming import jobs
@@ -487,3 +487,74 @@ def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = jobs.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
     states = jobs.job_states(events.select(F.col("user_id").alias("job_id"), F.when(F.col("event_id") % 97 == 0, "succeeded").otherwise(F.col("event_type")).alias("status"), "ts", "event_id"))
     return jobs.drain(states, "job_id")
+
+
+# --- Confidence, dates and summaries
+
+DOCS = f"""SELECT doc_id, cast(n_chars % 101 AS bigint) AS raw_pct, cast(90 AS bigint) AS score_pct, cast(n_chars % 200 AS double) AS blur, cast(n_chars % 40 AS double) AS noise, cast(n_chars % 99 AS bigint) AS missing_pct,
+  cast(doc_id % 5 AS bigint) AS n_suspicious, cast(doc_id % 7 AS bigint) AS n_items, {pick('doc_id', ('numeric_uncertain:yield', 'header_conflict', 'low_confidence', 'document_quality:ocr', 'other'))} AS t1, {pick('n_chars', ('numeric_promoted_thousands:rm', '', 'header_conflict:2'))} AS t2 FROM documents"""
+TOKEN = "CASE WHEN {0} LIKE 'numeric_uncertain%' THEN 10 WHEN {0} LIKE 'numeric_promoted_thousands%' THEN 5 WHEN {0} LIKE 'header_conflict%' THEN 8 ELSE 0 END"
+
+
+@query(f"""SELECT doc_id, cast(greatest(0, least(100, CASE WHEN raw_pct <> 0 THEN raw_pct ELSE score_pct END) - CASE WHEN n_items = 0 THEN 18 ELSE 0 END - CASE WHEN blur < 30 THEN 15 WHEN blur < 80 THEN 8 WHEN blur < 150 THEN 4 ELSE 0 END
+- CASE WHEN noise >= 25 THEN 12 WHEN noise >= 14 THEN 6 ELSE 0 END - CASE WHEN missing_pct >= 80 THEN 12 WHEN missing_pct >= 50 THEN 6 ELSE 0 END - least(24, 7 * n_suspicious) - least(45, {TOKEN.format('t1')} + {TOKEN.format('t2')})) AS bigint) AS confidence_pct FROM ({DOCS})""")
+def document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = view(spark, sf_dir, DOCS).withColumn("tokens", F.filter(F.array("t1", "t2"), lambda t: t != ""))
+    return confidence.document_confidence(docs).select("doc_id", "confidence_pct")
+
+
+@query(f"""WITH t AS (SELECT unnest([t1, t2]) AS t FROM ({DOCS})) SELECT CASE WHEN t = 'low_confidence' THEN 'confidence_only' WHEN t LIKE 'document_quality:%' OR t LIKE 'numeric_promoted_thousands%' THEN 'soft' ELSE 'blocking' END AS kind, count(*) AS n FROM t WHERE t <> '' GROUP BY 1""")
+def reason_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = view(spark, sf_dir, DOCS).select(confidence.classify_tokens(F.filter(F.array("t1", "t2"), lambda t: t != "")).alias("k"))
+    sizes = kinds.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.size(f"k.{k}").cast("long").alias("n")) for k in ("confidence_only", "soft", "blocking")))).alias("s"))
+    return sizes.groupBy("s.kind").agg(F.sum("s.n").alias("n"))
+
+
+@query(f"""SELECT doc_id, concat_ws('|', CASE WHEN NOT n_items > 0 THEN 'items' END, CASE WHEN NOT n_suspicious < 2 THEN 'plausible' END, CASE WHEN NOT blur >= 30 THEN 'readable' END, CASE WHEN NOT missing_pct < 50 THEN 'complete' END) AS missing,
+CASE WHEN n_items > 0 AND n_suspicious < 2 AND blur >= 30 AND missing_pct < 50 THEN 'AUTO_ACCEPT' ELSE 'NEEDS_REVIEW' END AS decision FROM ({DOCS})""")
+def auto_accept_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    criteria = {"items": F.col("n_items") > 0, "plausible": F.col("n_suspicious") < 2, "readable": F.col("blur") >= 30, "complete": F.col("missing_pct") < 50}
+    return confidence.auto_accept(view(spark, sf_dir, DOCS), criteria).select("doc_id", F.array_join("missing_evidence", "|").alias("missing"), "decision")
+
+
+LABELLED = f"SELECT doc_id, row_index AS ordinal, {pick('p', ('Date of issue', 'inspection date', ' DATE', 'print date'))} AS label, cast(2000 + s % 20 AS string) || '-01-0' || cast(1 + l AS string) AS value FROM ({LINES}) AS x"
+
+
+@query(f"""SELECT doc_id, min_by(value, (k, ordinal)) AS value FROM (SELECT *, CASE lower(trim(label)) WHEN 'date of issue' THEN 0 WHEN 'date' THEN 1 WHEN 'inspection date' THEN 2 END AS k FROM ({LABELLED})) WHERE k IS NOT NULL GROUP BY doc_id""")
+def certificate_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's labelled date of the best label."""
+    return shape.resolve_date(view(spark, sf_dir, LABELLED), {"date of issue": 0, "date": 1, "inspection date": 2})
+
+
+ITEMS = f"SELECT doc_id, row_index, {pick('p', ('7', '', 'N/A', None))} AS item_id, {pick('s', ('', 'B1', None))} AS batch, {pick('q', ('', 'C9', 'C8'))} AS charge FROM ({LINES}) AS x"
+
+
+@query(f"""SELECT doc_id, row_index, CASE WHEN coalesce(lower(trim(item_id)), '') IN ('', '-', 'n/a', 'none', 'null', 'unknown') THEN cast(row_index + 1 AS string) ELSE item_id END AS item_id, coalesce(nullif(trim(batch), ''), nullif(trim(charge), '')) AS heat FROM ({ITEMS})""")
+def item_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shape.sequential_ids(view(spark, sf_dir, ITEMS))
+    return rows.select("doc_id", "row_index", "item_id", shape.heat_alias(["batch", "charge"]).alias("heat"))
+
+
+HEADER = f"SELECT o_orderkey AS doc_id, {pick('o_custkey', ('H9', ''))} AS batch FROM orders"
+
+
+@query(f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({ITEMS})) SELECT r.doc_id, row_index, CASE WHEN trim(coalesce(r.batch, '')) = '' AND n = 1 THEN coalesce(h.batch, r.batch) ELSE r.batch END AS batch FROM r LEFT JOIN ({HEADER}) h ON r.doc_id = h.doc_id""")
+def backfill_single_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.backfill_single(view(spark, sf_dir, ITEMS), view(spark, sf_dir, HEADER), ["batch"]).select("doc_id", "row_index", "batch")
+
+
+@query(VALIDATED + """ SELECT doc_id, count(*) AS n_rows, count(*) FILTER (WHERE yield_mpa IS NULL) AS missing_yield_mpa, count(*) FILTER (WHERE tensile_mpa IS NULL) AS missing_tensile_mpa, count(*) FILTER (WHERE elongation_pct IS NULL) AS missing_elongation_pct, string_agg(DISTINCT outcome, '|' ORDER BY outcome) AS outcomes FROM val GROUP BY doc_id""")
+def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.document_summary(validate.validate_rows(view(spark, sf_dir, CERTS)))
+
+
+FILES = f"SELECT page_id, lower(url) AS name, {pick('page_id', ('S355 - DIAM 5', 'WIRE 12 mm spool', 'ROD', 'No 12345 07/10/2024', '1/2/24 and 3/2/24'))} AS raw FROM pages"
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(name, 'blog') THEN 'blog' WHEN regexp_matches(name, '^https') THEN 'secure' WHEN regexp_matches(name, 'www') THEN 'www' ELSE 'unknown' END AS hint,
+{pick('page_id', ('S355', 'WIRE', 'ROD', 'No 12345 07/10/2024', '1/2/24 and 3/2/24'))} AS product, {pick('page_id', (None, None, None, '12345', None))} AS identifier, {pick('page_id', (None, None, None, '07/10/2024', None))} AS day, page_id % 5 = 4 AS conflict FROM ({FILES})""".replace("WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN '12345'", "WHEN 0 THEN 'S355' WHEN 3 THEN '12345'"))
+def supplier_hint_and_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of ordered hints in a name, a product without its details, and an identifier beside a date."""
+    rows = view(spark, sf_dir, FILES).withColumn("s", text.split_identifier_and_date(F.col("raw")))
+    hint = text.first_match(F.col("name"), [("blog", "blog"), ("^https", "secure"), ("www", "www")])
+    return rows.select("page_id", hint.alias("hint"), text.split_details(F.col("raw"))["product"].alias("product"), "s.identifier", F.col("s.date").alias("day"), "s.conflict")

@@ -78,3 +78,14 @@ def test_labels_in_text():
     found = list(labels.find_labels("Heat No: 410537, Lot: L-22 and Grade: S355J2. The order was late. Heat number 9"))
     assert [(f, v) for f, _, v, _ in found] == [("heat_number", "410537"), ("lot_number", "L-22"), ("grade", "S355J2"), ("heat_number", "9")]
     assert list(labels.find_labels(None)) == []
+
+
+def test_details_days_and_substitutions(spark):
+    got = one(spark, text.split_details(F.lit("NOVOFIL SG2 DIAM. 1.2 mm")))
+    assert (got["product"], got["details"]) == ("NOVOFIL SG2", "DIAM. 1.2 mm")
+    assert one(spark, text.normalize_day(F.lit("7.1.24"))) == "07/01/24" and one(spark, text.normalize_day(F.lit("soon"))) == "soon"
+    both = one(spark, text.split_identifier_and_date(F.lit("No A-123 07/10/2024")))
+    assert (both.identifier, both.date, both.conflict) == ("A-123", "07/10/2024", False)
+    assert one(spark, text.single_substitution(F.lit("A105"), F.lit("AI05"))) is True
+    assert one(spark, text.single_substitution(F.lit("A105"), F.lit("A106"))) is True and one(spark, text.single_substitution(F.lit("AX05"), F.lit("AY05"))) is False
+    assert one(spark, text.dimension_fragment(F.lit("rod 12,5 mm"))) == "12,5 mm" and one(spark, text.dimension_fragment(F.lit("rod"))) is None

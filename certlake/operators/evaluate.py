@@ -100,3 +100,50 @@ def metrics(results: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n"), yes(F.col("raw")).alias("raw_hits"), yes(F.col("match")).alias("hits"),
         yes(~F.col("raw") & F.col("match")).alias("harmless"), yes(~F.col("match") & F.col("critical")).alias("critical_misses"),
     )
+
+
+def alias_sets(value: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+    """The value and, where it is a canonical grade or an alias, all names of that grade."""
+    text = normalize_exact(value)
+    known = F.lit(None).cast("array<string>")
+    for canonical, names in aliases.items():
+        family = sorted({canonical.lower(), *(n.lower() for n in names)})
+        known = F.when(text.isin(*family), F.array(*map(F.lit, family))).otherwise(known)
+    return F.array_distinct(F.concat(F.array(text), F.coalesce(known, F.array().cast("array<string>"))))
+
+
+def grade_alias(gold: Column, pred: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+    a, b = normalize_exact(gold), normalize_exact(pred)
+    return (a != "") & (b != "") & F.arrays_overlap(alias_sets(gold, aliases), alias_sets(pred, aliases))
+
+
+def safe_decision(gold: Column, pred: Column) -> Column:
+    """A gold review must never be accepted automatically; otherwise the texts decide."""
+    return F.coalesce(~((bucket(gold) == "review") & (bucket(pred) == "auto_accept")) & exact(gold, pred), F.lit(False))
+
+
+def lists_by_place(gold: Column, pred: Column, matcher=exact) -> Column:
+    """Equal length and every pair accepted, place by place."""
+    return F.coalesce((F.size(gold) == F.size(pred)) & F.forall(F.zip_with(gold, pred, matcher), lambda x: x), F.lit(False))
+
+
+def lists_sorted(gold: Column, pred: Column, tolerance: float = 1.0) -> Column:
+    """Equal length; numbers in order within the tolerance if all are numbers, else normalised texts in order."""
+    numbers = [F.array_sort(F.transform(v, lambda x: x.try_cast("double"))) for v in (gold, pred)]
+    numeric_ = F.forall(numbers[0], lambda x: x.isNotNull()) & F.forall(numbers[1], lambda x: x.isNotNull())
+    near = F.forall(F.zip_with(*numbers, lambda a, b: F.abs(a - b) <= tolerance), lambda x: x)
+    same = F.array_sort(F.transform(gold, normalize_exact)) == F.array_sort(F.transform(pred, normalize_exact))
+    return F.coalesce((F.size(gold) == F.size(pred)) & F.when(numeric_, near).otherwise(same), F.lit(False))
+
+
+def review_flags(gold_review: Column, pred_review: Column) -> Column:
+    """struct<unsafe, fail_closed>: a missed review, and one too many."""
+    return F.struct((gold_review & ~pred_review).alias("unsafe"), (~gold_review & pred_review).alias("fail_closed"))
+
+
+def batch_summary(runs: DataFrame) -> DataFrame:
+    """Counts by status and review, mean latency over finished runs, by bucket and over all (null bucket)."""
+    ok = F.col("status") == "ok"
+    cells = [F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if(ok & F.col("review")).alias("n_review"), F.sum(F.when(ok, F.col("latency_ms"))).alias("latency_sum"), F.max(F.when(ok, F.col("latency_ms"))).alias("latency_max")]
+    named = runs.withColumn("bucket", F.coalesce(F.when(F.trim("bucket") != "", F.col("bucket")), F.lit("unknown")))
+    return named.groupBy("bucket").agg(*cells).unionByName(named.agg(*cells).withColumn("bucket", F.lit(None).cast("string")))

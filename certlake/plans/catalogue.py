@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlake.functions import labels, numeric, text
-from certlake.operators import confidence, evaluate, resolve, select, shape, store, validate
+from certlake.operators import confidence, evaluate, profile, resolve, select, shape, store, validate
 from certlake.plans.views import CERTS, DATES, HEATS, LINES, NUMBERS, UNITS, pick, view
 from certlake.registries import GRADES, HEADERS, HEAT_LOOKALIKES, REVIEW_OUTCOMES, SPECS, alias_key, headers, values_sql
 from certlake.streaming import jobs
@@ -558,3 +558,74 @@ def supplier_hint_and_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, FILES).withColumn("s", text.split_identifier_and_date(F.col("raw")))
     hint = text.first_match(F.col("name"), [("blog", "blog"), ("^https", "secure"), ("www", "www")])
     return rows.select("page_id", hint.alias("hint"), text.split_details(F.col("raw"))["product"].alias("product"), "s.identifier", F.col("s.date").alias("day"), "s.conflict")
+
+
+# --- Profiles, lists and batches
+
+SCANS = """SELECT conv_id AS doc_id, turn AS page, cast(length(text) % 160 AS double) AS blur, cast(length(text) % 30 AS double) AS noise, turn % 2 = 0 AS has_table, cast(length(text) AS bigint) AS size FROM conversations"""
+STATE = "CASE WHEN blur < 80 AND noise >= 14 THEN 'both' WHEN blur < 80 THEN 'blurry' WHEN noise >= 14 THEN 'noisy' ELSE 'clean' END"
+
+
+@query(f"""SELECT doc_id, page, cast(round((CASE WHEN page = 0 THEN 100 ELSE 0 END + CASE WHEN has_table THEN 80 ELSE 0 END + least(blur / 10, 20) + 10 - 2 * page) * 10) AS bigint) AS score_tenths, {STATE} AS state,
+CASE {STATE} WHEN 'noisy' THEN 'original' WHEN 'clean' THEN 'original' ELSE 'sharpened' END AS variant, cast(floor((size * 4 + 2) / 3.0) AS bigint) + 182 AS bytes FROM ({SCANS})""")
+def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's score, condition, variant (none is denoised) and encoded size."""
+    state = profile.condition(F.col("blur"), F.col("noise"))
+    score = profile.page_score(F.col("page"), F.col("has_table"), F.col("blur"), F.lit(1))
+    variant = profile.primary_variant(F.col("state"), F.array(F.lit("original"), F.lit("sharpened")))
+    return view(spark, sf_dir, SCANS).withColumn("state", state).select("doc_id", "page", F.round(score * 10).cast("long").alias("score_tenths"), "state", variant.alias("variant"), profile.request_bytes(F.col("size")).cast("long").alias("bytes"))
+
+
+@query(f"""WITH s AS (SELECT *, {STATE} AS state FROM ({SCANS})), w AS (SELECT doc_id, min(blur) AS blur, max(noise) AS noise, bool_or(has_table) AS has_table FROM s WHERE page < 2 GROUP BY doc_id),
+c AS (SELECT doc_id, state, count(*) AS n FROM s GROUP BY ALL), d AS (SELECT doc_id, arg_max(state, (n, -list_position(['clean', 'noisy', 'blurry', 'both'], state))) AS state FROM c GROUP BY doc_id) SELECT d.doc_id, blur, noise, has_table, state FROM d LEFT JOIN w ON d.doc_id = w.doc_id""")
+def document_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst of the first pages, and the commonest condition of all."""
+    pages = view(spark, sf_dir, SCANS).withColumn("state", profile.condition(F.col("blur"), F.col("noise")))
+    return profile.dominant(pages, "state", ("clean", "noisy", "blurry", "both")).join(profile.worst_pages(pages), "doc_id", "left").select("doc_id", "blur", "noise", "has_table", "state")
+
+
+GATED = f"SELECT {pick('p', ('H1', '', 'H2', None))} AS heat, CASE cast(s % 4 AS int) WHEN 0 THEN NULL ELSE cast(s % 100 AS double) / 100 END AS sure, q % 2 = 0 AS degraded FROM ({LINES}) AS x"
+
+
+@query(f"""SELECT CASE WHEN sure < cast(0.8 AS double) OR sure IS NULL AND degraded THEN NULL ELSE heat END AS value, CASE WHEN trim(heat) <> '' THEN CASE WHEN sure < cast(0.8 AS double) THEN 'low_confidence' WHEN sure IS NULL AND degraded THEN 'missing_confidence' END END AS event, count(*) AS n FROM ({GATED}) GROUP BY ALL""")
+def identifier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(view(spark, sf_dir, GATED).select(profile.identifier_gate(F.col("heat"), F.col("sure"), F.col("degraded")).alias("g")).select("g.*"), "value", "event")
+
+
+@query(f"""WITH c AS (SELECT doc_id, count(*) AS n_rows, count(*) FILTER (WHERE p % 3 = 0) AS n_suspicious FROM ({LINES}) GROUP BY doc_id) SELECT *, CASE WHEN n_rows >= 2 AND n_suspicious * 100 >= n_rows * 35 THEN 'suspicious_rows' END AS token FROM c""")
+def suspicious_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.suspicious_share(view(spark, sf_dir, LINES).withColumn("needs_review", F.col("p") % 3 == 0))
+
+
+@query(f"""SELECT doc_id, cast(round(n_in * cast(0.16 AS double) + n_out * cast(0.48 AS double)) AS bigint) AS usd_millionths FROM (SELECT doc_id, n_chars * 3 AS n_in, n_chars % 1000 AS n_out FROM documents)""")
+def estimated_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", profile.spend_usd_millionths(F.col("n_chars") * 3, F.col("n_chars") % 1000).alias("usd_millionths"))
+
+
+PAIRS = f"SELECT p_partkey, {pick('p_partkey', ('S355', 'NOVOFIL SG2', 's195', '', 'X65'))} AS gold, {pick('p_size', ('s355', 'SG2', 'S195T', 'L450', ''))} AS pred, {pick('p_partkey', ('1|2', 'a|b', '3', ''))} AS gold_list, {pick('p_size', ('2|1', '1|2', 'B|a', '3.5'))} AS pred_list, p_partkey % 3 = 0 AS gold_review, p_size % 2 = 0 AS pred_review FROM part"
+EVAL_ALIASES = {"SG2": ("NOVOFIL SG2", "NOVOBRONZE SG2"), "S195": ("S195T",), "API 5L X65": ("X65", "L450")}
+FAMILY = "CASE " + " ".join(f"WHEN {{0}} IN ({', '.join(repr(n.lower()) for n in (c, *a))}) THEN '{c}'" for c, a in EVAL_ALIASES.items()) + " ELSE {0} END"
+
+
+@query(f"""WITH p AS (SELECT *, lower(trim(gold)) AS g, lower(trim(pred)) AS q, string_split(gold_list, '|') AS gl, string_split(pred_list, '|') AS pl FROM ({PAIRS})),
+n AS (SELECT *, list_sort(list_transform(gl, lambda x: try_cast(x AS double))) AS gn, list_sort(list_transform(pl, lambda x: try_cast(x AS double))) AS pn FROM p)
+SELECT g <> '' AND q <> '' AND ({FAMILY.format('g')}) = ({FAMILY.format('q')}) AS grade_match, list_transform(gl, lambda x: lower(trim(x))) = list_transform(pl, lambda x: lower(trim(x))) AS by_place,
+len(gl) = len(pl) AND CASE WHEN len(list_filter(gn, lambda x: x IS NULL)) + len(list_filter(pn, lambda x: x IS NULL)) = 0 THEN len(list_filter(list_zip(gn, pn), lambda z: abs(z[1] - z[2]) > 1)) = 0
+  ELSE list_sort(list_transform(gl, lambda x: lower(trim(x)))) = list_sort(list_transform(pl, lambda x: lower(trim(x)))) END AS sorted_match,
+gold_review AND NOT pred_review AS unsafe, NOT gold_review AND pred_review AS fail_closed, count(*) AS n FROM n GROUP BY ALL""")
+def eval_lists_and_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades by alias sets, lists by place and in order, and review flags."""
+    rows = view(spark, sf_dir, PAIRS).withColumn("gl", F.split("gold_list", r"\|")).withColumn("pl", F.split("pred_list", r"\|"))
+    gold, pred, gl, pl = (F.col(c) for c in ("gold", "pred", "gl", "pl"))
+    flags = evaluate.review_flags(F.col("gold_review"), F.col("pred_review"))
+    out = rows.select(evaluate.grade_alias(gold, pred, EVAL_ALIASES).alias("grade_match"), evaluate.lists_by_place(gl, pl).alias("by_place"), evaluate.lists_sorted(gl, pl).alias("sorted_match"), flags.alias("f"))
+    return counted(out.select("grade_match", "by_place", "sorted_match", "f.unsafe", "f.fail_closed"), "grade_match", "by_place", "sorted_match", "unsafe", "fail_closed")
+
+
+BATCH = f"SELECT {pick('event_id', ('ok', 'ok', 'error', 'ok', 'dry'))} AS status, {pick('user_id', ('digital', '', 'scan'))} AS bucket, event_id % 3 = 0 AS review, cast(round(value * 10) AS bigint) AS latency_ms FROM events"
+
+
+@query(f"""SELECT bucket, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'error') AS n_error, count(*) FILTER (WHERE status = 'ok' AND review) AS n_review,
+cast(sum(latency_ms) FILTER (WHERE status = 'ok') AS bigint) AS latency_sum, max(latency_ms) FILTER (WHERE status = 'ok') AS latency_max FROM (SELECT *, CASE WHEN trim(bucket) <> '' THEN bucket ELSE 'unknown' END AS bucket FROM (SELECT status, bucket AS b, review, latency_ms FROM ({BATCH})) AS y(status, bucket, review, latency_ms)) GROUP BY GROUPING SETS ((bucket), ())""".replace("SELECT *, CASE WHEN trim(bucket) <> '' THEN bucket ELSE 'unknown' END AS bucket", "SELECT status, review, latency_ms, CASE WHEN trim(bucket) <> '' THEN bucket ELSE 'unknown' END AS bucket"))
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.batch_summary(view(spark, sf_dir, BATCH))

@@ -7,16 +7,19 @@
    the site style tree.  A node's importance is a mean of two entropies over its pages: that of its styles (the
    sequences of its children), and that of the texts below it.  A branch that looks and reads alike on all
    pages has importance 0, one that differs everywhere 1.
-3. Branches of low importance are removed from each page, and so are branches of mere links.  If the page has an
-   article or main element with text, its text is the answer, otherwise what is left of the body.
+3. Branches of low importance are removed from each page, and so are branches of mere links outside articles.
+   What is left is the answer.
 
 Step 1 goes beyond entropies, because the menus and adverts of one site may differ from page to page.  Article
-and main elements are not removed in step 3, so that copies of one article on a site are not taken for a frame.
+and main elements are a prior on importance: branches inside them get ``prior`` of what they lack, those beside
+them keep ``beside`` of what they have, and where the tree does not know a branch it counts as half important,
+so what is inside stays and what is beside goes.  Pages of one host with the same article text count once for
+each style and text, so that copies of one article on a site are not taken for a frame.
 The merged counts are sums by host, node and text, so a host with most of all pages is spread like others.
 
 A null or empty html gives the empty text.  A null url is the host of the empty name.  Pages of a host with fewer
-than ``min_pages`` pages rely on steps 1 and 3 alone.  Repeated rows count as pages.  Very long pages are read
-whole.
+than ``min_pages`` pages rely on step 1 and the prior alone.  Repeated rows without an article count as pages.
+Very long pages are read whole.
 """
 
 from __future__ import annotations
@@ -58,10 +61,13 @@ MAIN = frozenset(("article", "main"))
 @dataclass(frozen=True)
 class TreeConfig:
     """Branches below ``threshold`` on ``min_pages`` pages or more are removed; ``style`` is the weight of the
-    styles' entropy.  Up to ``broadcast_nodes`` removed branches are broadcast, more are joined by host."""
+    styles' entropy, ``prior`` and ``beside`` are those of articles.  Up to ``broadcast_nodes`` branches are
+    broadcast, more are joined by host."""
 
     threshold: float = 0.25
     style: float = 0.2
+    prior: float = 0.1
+    beside: float = 0.4
     min_pages: int = 5
     links: float = 0.8
     broadcast_nodes: int = 500_000
@@ -199,67 +205,84 @@ def _up(element: Element) -> Iterable[Element]:
         element = element.parent
 
 
-def tree_rows(page: str | None) -> list[tuple[int, int, int]]:
-    """(node, kind, feature) of a page for the site style tree, each once: kind 0 has the node's style, kind 1
-    its texts.  Nodes of articles, and those around them, are never removed and give no rows."""
+def tree_rows(page: str | None) -> list[tuple[int, int, int, int, int]]:
+    """(node, kind, feature, article, place) of a page for the site style tree, each once: kind 0 has the node's
+    style, kind 1 its texts.  ``article`` is the hash of the article's text, 0 without one; ``place`` is 1 inside
+    an article, 2 beside one and 0 elsewhere."""
     blocks = read_page(page)
-    spared = {id(x) for e, _ in blocks if e.main for x in _up(e)}
-    rows: dict[tuple[int, int, int], None] = {}
-    styles: dict[int, set[str]] = {}
+    inside = [words for e, words in blocks if e.main]
+    article = _hash("\n".join(inside)) or 1 if inside else 0
+    around = {id(x) for e, _ in blocks if e.main for x in _up(e)}
+    rows: dict[tuple[int, int, int, int, int], None] = {}
+    styles: dict[tuple[int, int], set[str]] = {}
     for e, words in blocks:
         feature = _hash(words)
         for x in _up(e):
-            if id(x) not in spared and x.parent and x.tag != "body":
-                rows[x.key, 1, feature] = None
-                styles.setdefault(x.key, set()).add(" ".join(x.children))
-    return [*rows, *((k, 0, _hash("|".join(sorted(s)))) for k, s in styles.items())]
+            if x.parent and x.tag != "body":
+                place = 1 if x.main else 2 if article and id(x) not in around else 0
+                rows[x.key, 1, feature, article, place] = None
+                styles.setdefault((x.key, place), set()).add(" ".join(x.children))
+    return [*rows, *((k, 0, _hash("|".join(sorted(s))), article, place) for (k, place), s in styles.items())]
 
 
-def main_text(page: str | None, removed: Iterable[int] = (), links: float = TreeConfig.links) -> str:
-    """The page's text without noise, ``removed`` nodes and branches of mere links."""
-    blocks, removed = read_page(page), frozenset(removed if removed is not None else ())
-    inside = [words for e, words in blocks if e.main]
-    if inside:
-        return " ".join(inside)
-    kept = [words for e, words in blocks if not any(x.key in removed or (x.parent and x.tag not in ("body", "p") and x.linked >= links * x.chars and x.chars) for x in _up(e))]
-    return " ".join(kept)
+def main_text(page: str | None, removed: Iterable[int] = (), links: float = TreeConfig.links, kept: Iterable[int] = ()) -> str:
+    """The page's text without noise, ``removed`` nodes and branches of mere links; beside an article, only
+    ``kept`` nodes have text."""
+    blocks, removed, kept = read_page(page), frozenset(removed if removed is not None else ()), frozenset(kept if kept is not None else ())
+    article = any(e.main for e, _ in blocks)
+
+    def stays(e: Element) -> bool:
+        if any(x.key in removed for x in _up(e)):
+            return False
+        if e.main:
+            return True
+        return not (article and e.key not in kept) and not any(x.parent and x.tag not in ("body", "p") and x.linked >= links * x.chars and x.chars for x in _up(e))
+
+    return " ".join(words for e, words in blocks if stays(e))
 
 
 def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def low_branches(pages: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
-    """(host, removed): each host's nodes of low importance.
+def branches(pages: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
+    """(host, removed, kept): each host's nodes of low importance, and those beside articles of high importance.
 
-    A node must stand on ``min_pages`` pages and read alike there, so a host has few of them.
+    A node must stand on ``min_pages`` pages and read alike there, or stand beside articles, so a host has few.
     """
 
-    @F.pandas_udf("array<struct<node long, kind int, feature long>>")
+    @F.pandas_udf("array<struct<node long, kind int, feature long, article long, place int>>")
     def rows(pages: pd.Series) -> pd.Series:
-        return pd.Series([[{"node": n, "kind": k, "feature": f} for n, k, f in tree_rows(p)] for p in pages], dtype=object)
+        return pd.Series([[dict(zip(("node", "kind", "feature", "article", "place"), r, strict=True)) for r in tree_rows(p)] for p in pages], dtype=object)
 
-    each = pages.select(host_of().alias("host"), F.explode(rows("html")).alias("r")).select("host", "r.node", "r.kind", "r.feature")
-    counted = each.groupBy("host", "node", "kind", "feature").agg(F.count("*").cast("double").alias("c"))
+    each = pages.select(host_of().alias("host"), F.explode(rows("html")).alias("r")).select("host", "r.*")
+    key = ("host", "node", "kind", "feature")
+    once = each.groupBy(*key, "article").agg(F.count("*").alias("c"), F.max(F.col("place") == 1).alias("inside"), F.max(F.col("place") == 2).alias("beside"))
+    once = once.withColumn("c", F.when(F.col("article") == 0, F.col("c")).otherwise(1).cast("double"))
+    counted = once.groupBy(*key).agg(F.sum("c").alias("c"), F.max("inside").alias("inside"), F.max("beside").alias("beside"))
     style, text = F.col("kind") == 0, F.col("kind") == 1
     nodes = counted.groupBy("host", "node").agg(
-        F.sum(F.when(style, F.col("c"))).alias("m"), F.sum(F.when(style, F.col("c") * F.log("c"))).alias("styles"), F.avg(F.when(text, F.log("c"))).alias("texts")
-    ).where(F.col("m") >= config.min_pages)
+        F.sum(F.when(style, F.col("c"))).alias("m"), F.sum(F.when(style, F.col("c") * F.log("c"))).alias("styles"), F.avg(F.when(text, F.log("c"))).alias("texts"),
+        F.max("inside").alias("inside"), F.max("beside").alias("beside"),
+    ).where(F.col("m") >= config.min_pages)
     importance = F.lit(config.style) * (1 - F.col("styles") / (F.col("m") * F.log("m"))) + F.lit(1 - config.style) * (1 - F.col("texts") / F.log("m"))
-    return nodes.where(importance < config.threshold).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("removed"))
+    known = nodes.withColumn("low", F.when(F.col("inside"), importance + config.prior * (1 - importance)).otherwise(importance) < config.threshold)
+    known = known.withColumn("high", F.col("beside") & ~F.col("inside") & (importance * config.beside >= config.threshold))
+    lists = (F.sort_array(F.collect_list(F.when(F.col(c), F.col("node")))).alias(name) for c, name in (("low", "removed"), ("high", "kept")))
+    return known.where("low or high").groupBy("host").agg(*lists)
 
 
 def extract(pages: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
     """``pages`` (url, html and any other columns) with ``text`` and ``n_chars``."""
-    low = materialize(low_branches(pages, config), "branches")
-    size = low.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
-    low = low.select(F.col("host").alias("__host"), F.col("removed").alias("__removed"))
+    known = materialize(branches(pages, config), "branches")
+    size = known.agg(F.coalesce(F.sum(F.size("removed") + F.size("kept")), F.lit(0))).first()[0]
+    known = known.select(F.col("host").alias("__host"), F.col("removed").alias("__removed"), F.col("kept").alias("__kept"))
 
     @F.pandas_udf("string")
-    def text(pages: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, r, config.links) for p, r in zip(pages, removed, strict=True)], dtype=object)
+    def text(pages: pd.Series, removed: pd.Series, kept: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, r, config.links, k) for p, r, k in zip(pages, removed, kept, strict=True)], dtype=object)
 
     # Beyond the bound a merge join, in which Spark splits the partitions of hot hosts.
-    low = F.broadcast(low) if size <= config.broadcast_nodes else low.hint("merge")
-    out = pages.drop("text", "n_chars").withColumn("__host", host_of()).join(low, "__host", "left")
-    return out.withColumn("text", text("html", "__removed")).withColumn("n_chars", F.length("text").cast("long")).drop("__host", "__removed")
+    known = F.broadcast(known) if size <= config.broadcast_nodes else known.hint("merge")
+    out = pages.drop("text", "n_chars").withColumn("__host", host_of()).join(known, "__host", "left")
+    return out.withColumn("text", text("html", "__removed", "__kept")).withColumn("n_chars", F.length("text").cast("long")).drop("__host", "__removed", "__kept")

@@ -11,9 +11,11 @@ with counts from the filter.  m depends on how often h occurs and on whether the
 it is fitted by expectation maximisation, each token left out of its own counts, on a bounded sample of texts.
 
 Counts move as sorted hash arrays, cut in slices by hash; the number of slices follows the corpus, so a slice
-stays as large as it is.  Every slice builds its own segment of the filter.  The filter is broadcast, at most
-``filter_bytes``: where pairs need more room, the least count of a pair that is held rises from 2.  Exact word
-counts, for the base score, are broadcast up to ``exact_words`` words, and are joined by word beyond that.
+stays as large as it is.  Every slice builds its own segment of the filter, which holds every word and pair.
+Segments are broadcast in groups of slices of at most ``filter_bytes``.  A filter of one group is looked up while
+texts are scored.  Otherwise every group is a pass over the texts, which finds the levels of the words and pairs
+in its slices; the levels of all passes are put together by row before the probabilities.  Exact word counts, for
+the base score, are broadcast up to ``exact_words`` words, and are joined by word beyond that.
 
 Lower-case A-Z; tokens are runs of bytes other than white space (0x20, 0x09-0x0D), then one end for each text.
 Null and empty texts are the one end.  Rows with a null id are in training.  Texts are read whole.
@@ -35,14 +37,13 @@ from certlake.llm.words import in_rounds, mix, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)
 PAIR = np.uint64(0xA0761D6478BD642F)
-LEAST = (2, 3, 4, 6, 8, 12, 16, 32, 64, 1 << 62)
 STATES = 36
 
 
 @dataclass(frozen=True)
 class LmConfig:
     """``base`` of the logarithmic scale; ``bits`` and ``probes`` of the filter for each entry; bounds of what is
-    broadcast; ``sample_rows`` texts fit the mixture; ``slice_bytes`` of text make a slice."""
+    broadcast at once; ``sample_rows`` texts fit the mixture; ``slice_bytes`` of text make a slice."""
 
     base: float = 1.5
     bits: int = 8
@@ -87,8 +88,9 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 PART = "slice int, keys binary, counts binary"
 
 
-def _count(texts: DataFrame, slices: int, base: float) -> DataFrame:
-    """(slice, keys, counts): distinct keys of all texts with their counts, by slices of the key's range."""
+def _count(texts: DataFrame, slices: int, config: LmConfig) -> DataFrame:
+    """By slices of the key's range: the words of all texts with their counts, and the segment of words and pairs
+    with its size in bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -117,14 +119,12 @@ def _count(texts: DataFrame, slices: int, base: float) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         key, n = _merge([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()], [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
-        single = ((key & np.uint64(1)) == 1) & (n < LEAST[0])
         word = (key & np.uint64(1)) == 0
-        inserts = [int(level(n[~word & (n >= least)], base).sum()) for least in LEAST]
-        key, n, word = key[~single], n[~single], word[~single]
-        cells = [[table["slice"][0].as_py()], [key[word].tobytes()], [n[word].astype(np.uint32).tobytes()], [key[~word].tobytes()], [n[~word].astype(np.uint32).tobytes()], [int(word.sum())], [int(n[word].sum())], [int(level(n[word], base).sum())], [inserts]]
-        return pa.table(dict(zip(("slice", "words", "word_counts", "pairs", "pair_counts", "n_words", "n_tokens", "word_inserts", "pair_inserts"), cells, strict=True)), schema=pa.schema([("slice", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts")), *((c, pa.int64()) for c in ("n_words", "n_tokens", "word_inserts")), ("pair_inserts", pa.list_(pa.int64()))]))
+        size, segment = max(64, int(level(n, config.base).sum()) * config.bits), _segment(key, n, config)
+        cells = [[table["slice"][0].as_py()], [key[word].tobytes()], [n[word].astype(np.uint32).tobytes()], [int(word.sum())], [int(n[word].sum())], [size], [segment]]
+        return pa.table(dict(zip(("slice", "words", "word_counts", "n_words", "n_tokens", "size", "segment"), cells, strict=True)), schema=pa.schema([("slice", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("size", pa.int64()), ("segment", pa.binary())]))
 
-    counted = "slice int, words binary, word_counts binary, pairs binary, pair_counts binary, n_words long, n_tokens long, word_inserts long, pair_inserts array<long>"
+    counted = "slice int, words binary, word_counts binary, n_words long, n_tokens long, size long, segment binary"
     return texts.mapInArrow(count, PART).groupBy("slice").applyInArrow(add, counted)
 
 
@@ -149,7 +149,7 @@ def _segment(keys: np.ndarray, counts: np.ndarray, config: LmConfig) -> bytes:
 
 @dataclass
 class LmModel:
-    """The filter's segments, laid out one after another."""
+    """Segments of the filter, laid out one after another; slices that are not among them have no size."""
 
     config: LmConfig
     n_tokens: int
@@ -159,11 +159,14 @@ class LmModel:
     starts: np.ndarray
     sizes: np.ndarray
 
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts: levels are probed until one is missing."""
-        slice_of = (keys >> np.uint64(32)).astype(np.int64) * len(self.sizes) >> 32
+    def slice_of(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(32)).astype(np.int64) * len(self.sizes) >> 32
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels are probed until one is missing."""
+        slice_of = self.slice_of(keys)
         start, size = self.starts[slice_of], self.sizes[slice_of]
-        found, alive, q = np.zeros(len(keys), dtype=np.int64), np.flatnonzero(size > 0), 1
+        found, alive, q = np.zeros(len(keys), dtype=np.uint8), np.flatnonzero(size > 0), 1
         while len(alive) and q < 120:
             there = np.ones(len(alive), dtype=bool)
             for place in _places(keys[alive], q, size[alive], self.config.probes):
@@ -172,32 +175,35 @@ class LmModel:
             alive = alive[there]
             found[alive] = q
             q += 1
-        return level_counts(self.config.base)[found]
-
-    def parts(self, words: np.ndarray, pairs: np.ndarray, counts: np.ndarray, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(state, pair's share, word's share) of every token; ``left_out`` is taken from each count."""
-        key, at = np.unique(words, return_inverse=True)
-        c_word = self.lookup(key)[at]
-        key, at = np.unique(pairs, return_inverse=True)
-        c_pair = self.lookup(key)[at]
-        first = np.cumsum(counts) - counts
-        c_before = np.roll(c_word, 1)
-        c_before[first] = self.lookup(np.array([END & ~np.uint64(1)]))[0]
-        known = c_pair > 0
-        run = np.roll(known, 1).astype(np.int64) + (np.roll(known, 1) & np.roll(known, 2))
-        run[first] = 0
-        second = first[counts > 1] + 1
-        run[second] = np.minimum(run[second], 1)
-        state = np.minimum(11, np.floor(np.log2(np.maximum(c_before, 1))).astype(np.int64)) * 3 + run
-        pair_share = np.minimum(1.0, np.maximum(c_pair - left_out, 0) / np.maximum(c_before - left_out, 1))
-        return state, pair_share, (np.maximum(c_word - left_out, 0) + 1) / (self.n_tokens + self.n_words + 1)
-
-    def scores(self, texts: list[bytes], mixture: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; ``mixture`` is m by state."""
-        words, pairs, counts = tokens(texts)
-        state, pair_share, word_share = self.parts(words, pairs, counts)
-        m = mixture[state]
-        return np.add.reduceat(np.log10(m * pair_share + (1 - m) * word_share), np.cumsum(counts) - counts)
+        return found
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts."""
+        return level_counts(self.config.base)[self.levels(keys)]
+
+    def each(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of keys of which many are equal."""
+        key, at = np.unique(keys, return_inverse=True)
+        return self.levels(key)[at]
+
+
+def shares(q_word: np.ndarray, q_pair: np.ndarray, counts: np.ndarray, size: int, base: float, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state, pair's share, word's share) of every token from its levels; ``left_out`` is taken from each count,
+    ``size`` is that of the add-one share."""
+    middle = level_counts(base)
+    c_word, c_pair = middle[q_word], middle[q_pair]
+    last = np.cumsum(counts) - 1
+    first = last + 1 - counts
+    c_before = np.roll(c_word, 1)
+    c_before[first] = c_word[last]  # an end stands before each text, and closes it
+    known = c_pair > 0
+    run = np.roll(known, 1).astype(np.int64) + (np.roll(known, 1) & np.roll(known, 2))
+    run[first] = 0
+    second = first[counts > 1] + 1
+    run[second] = np.minimum(run[second], 1)
+    state = np.minimum(11, np.floor(np.log2(np.maximum(c_before, 1))).astype(np.int64)) * 3 + run
+    pair_share = np.minimum(1.0, np.maximum(c_pair - left_out, 0) / np.maximum(c_before - left_out, 1))
+    return state, pair_share, (np.maximum(c_word - left_out, 0) + 1) / size
 
 
 def fit_mixture(state: np.ndarray, pair_share: np.ndarray, word_share: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -212,87 +218,172 @@ def fit_mixture(state: np.ndarray, pair_share: np.ndarray, word_share: np.ndarra
 
 @dataclass
 class Trained:
-    """The model and its broadcast, the mixture by state, and the table of counts."""
+    """Numbers of tokens and words, the sizes in bits of all slices, their groups (first slice, end), the mixture
+    by state, and the table of counts and segments.  ``held`` is the broadcast filter if it is one group."""
 
-    model: LmModel
-    held: object
+    config: LmConfig
+    n_tokens: int
+    n_words: int
+    sizes: np.ndarray
+    groups: list[tuple[int, int]]
     mixture: np.ndarray
     counted: DataFrame
+    held: object = None
+
+    @property
+    def size(self) -> int:
+        return self.n_tokens + self.n_words + 1
+
+    def group(self, at: int) -> LmModel:
+        """The segments of a group of slices."""
+        low, end = self.groups[at]
+        parts = {r.slice: bytes(r.segment) for r in self.counted.where(F.col("slice").between(low, end - 1)).select("slice", "segment").toLocalIterator()}
+        sizes, starts = np.zeros_like(self.sizes), np.zeros_like(self.sizes)
+        sizes[low:end] = self.sizes[low:end]
+        starts[low:end] = 8 * np.cumsum([0, *(len(parts.get(i, b"")) for i in range(low, end))])[:-1]
+        return LmModel(self.config, self.n_tokens, self.n_words, 1, np.frombuffer(b"".join(parts.get(i, b"") for i in range(low, end)), dtype=np.uint8), starts, sizes)
+
+
+def _groups(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of slices whose segments have at most ``most`` bytes together; one slice at least."""
+    out, low, total = [], 0, 0
+    for i, n in enumerate((sizes + 7) // 8):
+        if i > low and total + n > most:
+            out.append((low, i))
+            low, total = i, 0
+        total += int(n)
+    return [*out, (low, len(sizes))]
+
+
+def _levelled(rows: DataFrame, trained: Trained) -> DataFrame:
+    """(__row, __levels) of ``rows`` (__row, __text): the levels of word and pair of each token in turn, one pass
+    over the texts for each group of slices."""
+    ends = np.array([end for _, end in trained.groups])
+    kind = np.uint8 if len(ends) < 256 else np.uint16
+    spark, found = rows.sparkSession, []
+    for at in range(len(ends)):
+        held = spark.sparkContext.broadcast(trained.group(at))
+
+        def look(batches: Iterator[pa.RecordBatch], at: int = at, held: object = held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = 0
+                for some in in_rounds((x.as_py() for x in batch.column(1)), 250_000):  # small, beside the filter
+                    words, pairs, counts = tokens(some)
+                    keys = np.stack([words, pairs], axis=1).ravel()
+                    group = np.searchsorted(ends, held.value.slice_of(keys), side="right").astype(kind)
+                    mine = group == at
+                    q = held.value.each(keys[mine])
+                    begin = np.cumsum(2 * counts) - 2 * counts
+                    upto = np.cumsum(np.add.reduceat(mine.astype(np.int64), begin))
+                    rows_of = batch.column(0).slice(done, len(some))
+                    parts = [x.tobytes() for x in np.split(q, upto[:-1])]
+                    yield pa.RecordBatch.from_arrays([rows_of, pa.array([at] * len(some), pa.int32()), pa.array(parts, pa.binary())], names=["__row", "pass", "part"])
+                    if at == 0:
+                        parts = [x.tobytes() for x in np.split(group, begin[1:])]
+                        yield pa.RecordBatch.from_arrays([rows_of, pa.array([-1] * len(some), pa.int32()), pa.array(parts, pa.binary())], names=["__row", "pass", "part"])
+                    done += len(some)
+
+        found.append(materialize(rows.select("__row", "__text").mapInArrow(look, "__row long, pass int, part binary").where("length(part) > 0"), "levels"))
+        held.destroy()
+    every = found[0]
+    for one in found[1:]:
+        every = every.union(one)
+
+    @F.pandas_udf("binary")
+    def together(parts: pd.Series) -> pd.Series:
+        out = []
+        for some in parts:
+            group = np.frombuffer(some[0]["part"], kind)
+            q = np.zeros(len(group), dtype=np.uint8)
+            for x in some[1:]:
+                q[group == x["pass"]] = np.frombuffer(x["part"], np.uint8)
+            out.append(q.tobytes())
+        return pd.Series(out, dtype=object)
+
+    return every.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pass", "part"))).alias("parts")).select("__row", together("parts").alias("__levels"))
+
+
+def _read(levels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level of the word, level of the pair, tokens of each text) from rows of ``_levelled``."""
+    q = np.frombuffer(b"".join(map(bytes, levels)), np.uint8)
+    return q[::2], q[1::2], np.array([len(x) // 2 for x in levels])
 
 
 def train(texts: DataFrame, config: LmConfig = LmConfig()) -> Trained:
     """Counts all of ``texts`` (doc_id, text) and builds the filter."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(64, -(-size // config.slice_bytes))
-    raw = texts.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    counted = materialize(_count(raw, slices, config.base), "counted")
-    n_words, n_tokens, word_inserts = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_tokens", "word_inserts"))).first()
-    inserts = counted.agg(*(F.coalesce(F.sum(F.element_at("pair_inserts", i + 1)), F.lit(0)) for i in range(len(LEAST)))).first()
-    least = next(least for least, n in zip(LEAST, inserts, strict=True) if (n + word_inserts) * config.bits <= 8 * config.filter_bytes or least == LEAST[-1])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                pairs, n = np.frombuffer(row["pairs"], np.uint64), np.frombuffer(row["pair_counts"], np.uint32)
-                keys = np.concatenate([np.frombuffer(row["words"], np.uint64), pairs[n >= least]])
-                counts = np.concatenate([np.frombuffer(row["word_counts"], np.uint32), n[n >= least]])
-                size = max(64, int(level(counts, config.base).sum()) * config.bits)
-                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]], pa.int32()), pa.array([size], pa.int64()), pa.array([_segment(keys, counts, config)], pa.binary())], names=["slice", "size", "segment"])
-
-    sizes, segments = np.zeros(slices, dtype=np.int64), [b""] * slices
-    for slice_, bits, segment in counted.select("slice", "words", "word_counts", "pairs", "pair_counts").mapInArrow(build, "slice int, size long, segment binary").toLocalIterator():
-        sizes[slice_], segments[slice_] = bits, bytes(segment)
-    starts = 8 * np.cumsum([0, *map(len, segments)])[:-1].astype(np.int64)
-    bits = np.frombuffer(b"".join(segments), dtype=np.uint8)
-    segments.clear()
-    model = LmModel(config, n_tokens, n_words, least, bits, starts, sizes)
-    held = texts.sparkSession.sparkContext.broadcast(model)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in in_rounds(batch.column(0).to_pylist()):
-                state, pair, word = held.value.parts(*tokens(some), left_out=1.0)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (state.astype(np.uint8), pair.astype(np.float32), word.astype(np.float32))], names=["state", "pair", "word"])
-
-    sample = bounded_sample(texts.where("doc_id is not null"), "doc_id", config.sample_rows, config.seed)
-    got = sample.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(parts, "state binary, pair binary, word binary").toPandas()
-    mixture = np.full(STATES, 0.3)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    counted = materialize(_count(texts.select(text.alias("text")), slices, config), "counted")
+    n_words, n_tokens = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_tokens"))).first()
+
+    sizes = np.zeros(slices, dtype=np.int64)
+    for slice_, bits in counted.select("slice", "size").toLocalIterator():
+        sizes[slice_] = bits
+    trained = Trained(config, n_tokens, n_words, sizes, _groups(sizes, config.filter_bytes), np.full(STATES, 0.3), counted)
+    sample = bounded_sample(texts.where("doc_id is not null"), "doc_id", config.sample_rows, config.seed).select(text.alias("__text"))
+    if len(trained.groups) == 1:
+        held = trained.held = texts.sparkSession.sparkContext.broadcast(trained.group(0))
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in in_rounds(batch.column(0).to_pylist()):
+                    words, pairs, counts = tokens(some)
+                    q = np.stack([held.value.each(words), held.value.each(pairs)], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(q, np.cumsum(counts)[:-1])], pa.binary())], names=["__levels"])
+
+        got = sample.mapInArrow(found, "__levels binary").toPandas()
+    else:
+        got = _levelled(materialize(sample.withColumn("__row", F.monotonically_increasing_id()), "sample"), trained).toPandas()
     if len(got):
-        mixture = fit_mixture(*(np.frombuffer(b"".join(map(bytes, got[c])), dtype=t).astype(np.int64 if c == "state" else np.float64) for c, t in (("state", np.uint8), ("pair", np.float32), ("word", np.float32))))
-    return Trained(model, held, mixture, counted)
+        trained.mixture = fit_mixture(*shares(*_read(list(got["__levels"])), trained.size, config.base, left_out=1.0))
+    return trained
 
 
 def score(docs: DataFrame, trained: Trained, config: LmConfig = LmConfig()) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score of each whole text."""
-    model, held, mixture = trained.model, trained.held, trained.mixture
+    held, mixture, size, base = trained.held, trained.mixture, trained.size, config.base
+    columns = docs.columns
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     known = None
-    if model.n_words <= config.exact_words:
+    if trained.n_words <= config.exact_words:
         parts = {r.slice: (np.frombuffer(r.words, np.uint64), np.frombuffer(r.word_counts, np.uint32)) for r in trained.counted.select("slice", "words", "word_counts").toLocalIterator()}
         known = docs.sparkSession.sparkContext.broadcast(tuple(np.concatenate([np.zeros(0, t), *(parts[s][i] for s in sorted(parts))]) for i, t in enumerate((np.uint64, np.uint32))))
         del parts
 
+    def scores(q_word: np.ndarray, q_pair: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        state, pair_share, word_share = shares(q_word, q_pair, counts, size, base)
+        m = mixture[state]
+        return np.add.reduceat(np.log10(m * pair_share + (1 - m) * word_share), np.cumsum(counts) - counts)
+
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
     def scored(texts: pd.Series) -> pd.DataFrame:
         out = []
         for some in in_rounds(texts):
-            words, _, counts = tokens(some)
-            first = np.cumsum(counts) - counts
+            words, pairs, counts = tokens(some)
             if known is None:
-                n_known, base = np.zeros(len(some), dtype=np.int64), np.zeros(len(some))
+                n_known, base_score = np.zeros(len(some), dtype=np.int64), np.zeros(len(some))
             else:
-                n_known, base = _base(words, first, *known.value, model_size)
-            out.append(np.stack([counts, n_known, base, held.value.scores(some, mixture)]))
+                n_known, base_score = _base(words, np.cumsum(counts) - counts, *known.value, size)
+            out.append(np.stack([counts, n_known, base_score, np.zeros(len(some)) if held is None else scores(held.value.each(words), held.value.each(pairs), counts)]))
         table = np.concatenate(out, axis=1) if out else np.zeros((4, 0))
         return pd.DataFrame({"n_tokens": table[0].astype(np.int64), "n_known": table[1].astype(np.int64), "base_score": table[2], "score": table[3]})
 
-    model_size = model.n_tokens + model.n_words + 1
-    if known is not None:
-        found = docs.withColumn("__lm", scored(raw))
-    else:
-        found = _joined_base(docs, trained, model_size).withColumn("__lm", scored(raw)).withColumn("__lm", F.struct("__lm.n_tokens", "__base.n_known", "__base.base_score", "__lm.score")).drop("__base")
-    names = [c for c in docs.columns if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    return found.select(*(F.col(f"`{c}`") for c in names), "__lm.n_tokens", "__lm.n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "__lm.base_score", "__lm.score")
+    @F.pandas_udf("double")
+    def of_levels(levels: pd.Series) -> pd.Series:
+        return pd.Series(scores(*_read(list(levels))) if len(levels) else [], dtype=float)
+
+    if held is None or known is None:
+        docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = docs.withColumn("__lm", scored(raw))
+    score_of, n_known, base_score = F.col("__lm.score"), F.col("__lm.n_known"), F.col("__lm.base_score")
+    if held is None:
+        passes = _levelled(docs.select("__row", raw.alias("__text")), trained)
+        found, score_of = found.join(passes.select("__row", of_levels("__levels").alias("__score")), "__row"), F.col("__score")
+    if known is None:
+        found, n_known, base_score = found.join(_joined_base(docs, trained, size), "__row"), F.col("__base.n_known"), F.col("__base.base_score")
+    names = [c for c in columns if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    return found.select(*(F.col(f"`{c}`") for c in names), "__lm.n_tokens", n_known.alias("n_known"), F.lit(trained.n_tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), score_of.alias("score"))
 
 
 def _base(words: np.ndarray, first: np.ndarray, keys: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,10 +394,9 @@ def _base(words: np.ndarray, first: np.ndarray, keys: np.ndarray, counts: np.nda
     return np.add.reduceat((n > 0)[at].astype(np.int64), first), np.add.reduceat(np.log10((n + 1) / size)[at], first)
 
 
-def _joined_base(docs: DataFrame, trained: Trained, size: int) -> DataFrame:
-    """``docs`` with ``__base`` (n_known, base_score), where the word counts are too many to broadcast: words of
-    each text are joined with them."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+def _joined_base(rows: DataFrame, trained: Trained, size: int) -> DataFrame:
+    """(__row, ``__base`` (n_known, base_score)) of ``rows``, where the word counts are too many to broadcast: words
+    of each text are joined with them."""
 
     @F.pandas_udf("array<struct<word long, n long>>")
     def distinct(texts: pd.Series) -> pd.Series:
@@ -325,5 +415,4 @@ def _joined_base(docs: DataFrame, trained: Trained, size: int) -> DataFrame:
     of = rows.select("__row", F.explode(distinct(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("w")).select("__row", "w.word", "w.n")
     counts = trained.counted.select(F.explode(table("words", "word_counts")).alias("t")).select("t.word", "t.c")
     share = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 1) / F.lit(float(size)))
-    base = of.join(counts, "word", "left").groupBy("__row").agg(F.struct(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * share).alias("base_score")).alias("__base"))
-    return rows.join(base, "__row").drop("__row")
+    return of.join(counts, "word", "left").groupBy("__row").agg(F.struct(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * share).alias("base_score")).alias("__base"))

@@ -30,7 +30,8 @@ from certlake.llm.common import bounded_sample, materialize
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
-# Identity terms by group; terms of a group are swapped for each other.
+# Identity terms by group, in the languages of the corpus; terms of a group have one form and are
+# swapped for each other.
 IDENTITY_GROUPS = (
     ("man", "woman", "men", "women", "boy", "girl", "male", "female", "transgender", "nonbinary"),
     ("gay", "straight", "lesbian", "bisexual", "queer", "heterosexual", "homosexual"),
@@ -39,18 +40,46 @@ IDENTITY_GROUPS = (
     ("american", "mexican", "chinese", "indian", "german", "french", "spanish", "russian", "turkish", "immigrant"),
     ("young", "old", "elderly", "teenage"),
     ("blind", "deaf", "disabled", "autistic"),
+    # English plurals
+    ("boys", "girls", "males", "females"),
+    ("gays", "lesbians", "bisexuals", "heterosexuals", "homosexuals"),
+    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "sikhs", "catholics", "protestants"),
+    ("blacks", "whites", "asians", "latinos", "hispanics", "arabs", "africans", "europeans"),
+    ("americans", "mexicans", "indians", "germans", "russians", "turks", "immigrants", "refugees", "foreigners"),
+    # French, by number and gender
+    ("homme", "femme", "garçon", "fille"), ("hommes", "femmes", "garçons", "filles"),
+    ("homosexuel", "hétérosexuel", "bisexuel"), ("homosexuels", "hétérosexuels", "bisexuels"), ("homosexuelle", "lesbienne", "hétérosexuelle", "bisexuelle"), ("homosexuelles", "lesbiennes", "hétérosexuelles", "bisexuelles"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"), ("chrétienne", "musulmane", "juive", "hindoue"), ("chrétiennes", "juives", "hindoues"),
+    ("noir", "blanc", "asiatique", "arabe", "africain", "européen"), ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"), ("noire", "blanche", "africaine", "européenne"), ("noires", "blanches", "africaines", "européennes"),
+    ("américain", "mexicain", "chinois", "indien", "allemand", "français", "espagnol", "russe", "turc", "immigré", "étranger"), ("américains", "mexicains", "indiens", "allemands", "espagnols", "russes", "turcs", "immigrés", "étrangers", "réfugiés"),
+    ("américaine", "mexicaine", "chinoise", "indienne", "allemande", "française", "espagnole", "turque", "immigrée", "étrangère"), ("américaines", "mexicaines", "chinoises", "indiennes", "allemandes", "françaises", "espagnoles", "turques", "immigrées", "étrangères", "réfugiées"),
+    ("jeune", "vieux", "âgé"), ("jeunes", "âgés"), ("vieille", "âgée"), ("vieilles", "âgées"),
+    ("aveugle", "sourd", "handicapé", "autiste"), ("aveugles", "sourds", "handicapés", "autistes"), ("sourde", "handicapée"), ("sourdes", "handicapées"),
+    # German, by number and gender; adjectives by ending
+    ("mann", "frau", "junge", "mädchen"), ("männer", "frauen", "jungen"), ("schwuler", "hetero"), ("schwule", "lesbische"), ("schwulen", "lesben", "homosexuellen", "heterosexuellen"),
+    ("christ", "moslem", "jude", "katholik"), ("christen", "muslimen", "juden", "buddhisten", "atheisten", "katholiken", "protestanten"), ("christin", "muslimin", "jüdin", "katholikin"), ("christinnen", "musliminnen", "jüdinnen", "katholikinnen"),
+    ("christliche", "muslimische", "jüdische", "katholische"), ("christlichen", "muslimischen", "jüdischen", "katholischen"),
+    ("schwarzer", "weißer", "asiate", "araber", "afrikaner", "europäer"), ("schwarze", "weiße", "asiatische", "arabische", "afrikanische", "europäische"), ("schwarzen", "weißen", "asiaten", "arabern", "afrikanern", "europäern"),
+    ("amerikaner", "mexikaner", "chinesischer", "inder", "deutscher", "franzose", "spanier", "russischer", "türke", "einwanderer", "ausländer", "flüchtling"), ("deutsche", "türken", "franzosen", "ausländern", "einwanderern", "flüchtlinge", "migranten"), ("amerikanerin", "mexikanerin", "chinesin", "inderin", "französin", "spanierin", "russin", "türkin", "ausländerin", "migrantin"),
+    ("alter", "junger"), ("blinder", "gehörloser", "behinderter", "autist"), ("blinde", "gehörlose", "behinderte", "autistische"), ("blinden", "gehörlosen", "behinderten", "autisten"),
+    # Spanish, by number and gender
+    ("hombre", "mujer", "chico", "chica"), ("hombres", "mujeres", "chicos", "chicas"), ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("cristiano", "musulmán", "judío", "budista", "ateo", "católico"), ("cristianos", "musulmanes", "judíos", "budistas", "ateos", "católicos"), ("cristiana", "musulmana", "judía", "católica"), ("cristianas", "musulmanas", "judías", "católicas"),
+    ("negro", "blanco", "asiático", "árabe", "africano", "europeo"), ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"), ("negra", "blanca", "asiática", "africana", "europea"), ("negras", "blancas", "asiáticas", "africanas", "europeas"),
+    ("americano", "mexicano", "chino", "indio", "alemán", "francés", "español", "ruso", "turco", "inmigrante", "extranjero"), ("americanos", "mexicanos", "chinos", "indios", "alemanes", "franceses", "españoles", "rusos", "turcos", "inmigrantes", "extranjeros", "refugiados"),
+    ("americana", "mexicana", "china", "india", "alemana", "francesa", "española", "rusa", "turca", "extranjera"), ("americanas", "mexicanas", "chinas", "indias", "alemanas", "francesas", "españolas", "rusas", "turcas", "extranjeras", "refugiadas"),
+    ("joven", "viejo", "anciano"), ("jóvenes", "viejos", "ancianos"), ("vieja", "anciana"), ("viejas", "ancianas"),
+    ("ciego", "sordo", "discapacitado", "autista"), ("ciegos", "sordos", "discapacitados", "autistas"), ("ciega", "sorda", "discapacitada"), ("ciegas", "sordas", "discapacitadas"),
 )
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """max_train_rows bounds the labelled rows used to fit, max_features the features weighed, max_swaps the
-    counterfactual pairs made of one labelled row; clear is the least difference between the classes, in
+    """max_train_rows bounds the labelled rows used to fit, max_features the features weighed; clear is the least difference between the classes, in
     standard errors, that makes a word or word beginning a feature."""
 
     max_train_rows: int = 8192
     max_features: int = 768
-    max_swaps: int = 64
     min_rows: int = 3
     clear: float = 4.0
     beginnings: tuple[int, ...] = (3, 4, 5, 6, 7)
@@ -98,7 +127,7 @@ class ToxicityModel:
 
 def swaps(text: str, config: ToxicityConfig) -> list[tuple[str, str]]:
     """(term, its stand-in) for each identity term in each sentence of a text, the stand-in chosen by a hash
-    of the sentence among the other terms of the group; at most ``max_swaps`` distinct ones."""
+    of the sentence among the other terms of the group; all distinct ones."""
     group_of = {t: g for g in config.groups for t in g}
     found: dict[tuple[str, str], None] = {}
     for sentence in SENTENCE.split(text.lower()):
@@ -106,7 +135,7 @@ def swaps(text: str, config: ToxicityConfig) -> list[tuple[str, str]]:
             others = [t for t in group_of[term] if t != term]
             if others:
                 found[term, others[zlib.crc32(sentence.encode("utf-8", "surrogatepass")) % len(others)]] = None
-    return sorted(found)[: config.max_swaps]
+    return sorted(found)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

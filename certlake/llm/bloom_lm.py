@@ -1,58 +1,64 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts words and word pairs of all training texts.  Counts are quantised on a logarithmic scale, and an
-n-gram of level q is put q times into a Bloom filter, once for each level up to its own.  A lookup probes levels
-one after another until one is missing, which gives the quantised count back.  The model's probability of a word
-mixes the pair's share of its first word with the add-one share of the word:
+Training counts words and word pairs of all training texts, those seen once included.  Counts are quantised on a
+logarithmic scale, and an n-gram of level q is put q times into a Bloom filter, once for each level up to its own.
+A lookup probes levels one after another until one is missing, which gives the quantised count back.  The model's
+probability of a word mixes the pair's share of its first word with the add-one share of the word:
 
-    p(w | h) = m * c(hw) / c(h) + (1 - m) * (c(w) + 1) / (N + V + 1)
+    p(w | h) = m * low(hw) / high(h) + (1 - m) * (low(w) + 1) / (N + V + 1)
 
-with counts from the filter.  m depends on how often h occurs and on whether the pairs just before were known;
-it is fitted by expectation maximisation, each token left out of its own counts, on a bounded sample of texts.
+``low`` and ``high`` are the least and the largest count of a level, so that the next words' shares sum to one at
+most, but for false positives of the filter.  m depends on how often h occurs and on whether the pairs just before
+were known; it is fitted by expectation maximisation over all training tokens, each left out of its own counts.
+The tokens are first summed by levels, a table whose size depends on the number of levels alone.
 
-Counts move as sorted hash arrays, cut in slices by hash; the number of slices follows the corpus, so a slice
-stays as large as it is.  Every slice builds its own segment of the filter, which holds every word and pair.
-Segments are broadcast in groups of slices of at most ``filter_bytes``.  A filter of one group is looked up while
-texts are scored.  Otherwise every group is a pass over the texts, which finds the levels of the words and pairs
-in its slices; the levels of all passes are put together by row before the probabilities.  Exact word counts, for
-the base score, are broadcast up to ``exact_words`` words, and are joined by word beyond that.
+Counts move as sorted hash arrays, cut in slices by hash; their number follows the corpus, so a slice stays as
+large as it is.  Every slice builds its own segment of the filter.  Filter and word counts of together at most
+``broadcast_bytes`` are broadcast to the workers.  Beyond that the segments stay where they are: texts are dealt in
+parts, each part sends the keys of its distinct n-grams to their slices once, and the levels come back to the part.
+Both ways give the same numbers.
 
 Lower-case A-Z; tokens are runs of bytes other than white space (0x20, 0x09-0x0D), then one end for each text.
-Null and empty texts are the one end.  Rows with a null id are in training.  Texts are read whole.
+Null and empty texts are the one end.  Repeated rows and rows with a null id are texts like any others.  Texts are
+read whole.  Columns named like results are replaced; other columns stay, but for ``text``.  Without training texts
+every count is 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from certlake.llm.common import bounded_sample, materialize
+from certlake.llm.common import materialize, spare
 from certlake.llm.words import in_rounds, mix, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)
 PAIR = np.uint64(0xA0761D6478BD642F)
 STATES = 36
+LEVELS = 128
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    """``base`` of the logarithmic scale; ``bits`` and ``probes`` of the filter for each entry; bounds of what is
-    broadcast at once; ``sample_rows`` texts fit the mixture; ``slice_bytes`` of text make a slice."""
+    """``base`` of the logarithmic scale; ``bits`` and ``probes`` of the filter for each entry; the bound of what
+    is broadcast; ``slice_bytes`` of training text make a slice, ``part_bytes`` of scored text a part."""
 
     base: float = 1.5
     bits: int = 8
     probes: int = 4
-    filter_bytes: int = 64 << 20
-    exact_words: int = 8_000_000
-    sample_rows: int = 512
-    slice_bytes: int = 8_000_000
-    seed: int = 3
+    broadcast_bytes: int = 16 << 20
+    slice_bytes: int = 16 << 20
+    part_bytes: int = 4 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,348 +77,423 @@ def level(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def level_counts(base: float, most: int = 120) -> np.ndarray:
-    """The count that stands for each level: the geometric middle of its whole numbers; 0 for level 0."""
-    out = np.zeros(most + 1)
-    for q in range(1, most + 1):
-        low, high = np.ceil(base ** (q - 1) - 1e-9), np.ceil(base**q - 1e-9) - 1
-        out[q] = np.sqrt(low * high) if high >= low else out[q - 1]
+def level_ranges(base: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest whole number of each level; 0 for level 0, and that of the level below for one
+    without any."""
+    low, high = np.zeros(LEVELS), np.zeros(LEVELS)
+    for q in range(1, LEVELS):
+        a, b = np.ceil(base ** (q - 1) - 1e-9), np.ceil(base**q - 1e-9) - 1
+        low[q], high[q] = (a, b) if b >= a else (low[q - 1], high[q - 1])
+    return low, high
+
+
+# Sorted keys of one slice travel as the gaps between them, in as many bytes as the widest gap needs.
+
+
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+
+
+def _start(at: int, slices: int) -> np.uint64:
+    """The least key of a slice."""
+    return np.uint64((-(-(at << 32) // slices)) << 32)
+
+
+def pack_keys(keys: np.ndarray, start: np.uint64) -> bytes:
+    gaps = np.diff(keys, prepend=start)
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(data: bytes, start: np.uint64) -> np.ndarray:
+    width = data[0]
+    cells = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    wide = np.zeros((len(cells), 8), np.uint8)
+    wide[:, :width] = cells
+    return np.cumsum(wide.view("<u8").ravel().astype(np.uint64), dtype=np.uint64) + start
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=n).astype(np.int64)
     return out
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+def _by_slice(keys: np.ndarray, slices: int) -> list[tuple[int, slice]]:
+    """The slices that sorted keys fall into, with the place of each."""
+    cuts = np.searchsorted(slice_of(keys, slices), np.arange(slices + 1)) if slices < len(keys) else None
+    if cuts is None:
+        found, first = np.unique(slice_of(keys, slices), return_index=True)
+        return [(int(s), slice(int(a), int(b))) for s, a, b in zip(found, first, np.append(first[1:], len(keys)), strict=True)]
+    return [(s, slice(int(cuts[s]), int(cuts[s + 1]))) for s in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-PART = "slice int, keys binary, counts binary"
+COUNTED = "slice int, words binary, word_counts binary, n_words long, n_tokens long, size long, segment binary"
 
 
 def _count(texts: DataFrame, slices: int, config: LmConfig) -> DataFrame:
-    """By slices of the key's range: the words of all texts with their counts, and the segment of words and pairs
+    """By slices of the keys' range: the words of all texts with their counts, and the segment of words and pairs
     with its size in bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, n = _merge(keys, counts)
-            cuts = np.searchsorted((key >> np.uint64(32)).astype(np.int64) * slices >> 32, np.arange(slices + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            parts = [(key[cuts[s] : cuts[s + 1]].tobytes(), n[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes()) for s in full]
-            keys.clear(), counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([k for k, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())], names=["slice", "keys", "counts"])
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            rows = [(s, pack_keys(keys[at], _start(s, slices)), pack_counts(n[at])) for s, at in _by_slice(keys, slices)]
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["slice", "keys", "counts"])
 
         for batch in batches:
             for some in in_rounds(batch.column(0).to_pylist()):
                 words, pairs, _ = tokens(some)
-                for of in (words, pairs):
-                    key, n = np.unique(of, return_counts=True)
-                    keys.append(key)
-                    counts.append(n)
-                    held += len(key)
-                if held > 2_500_000:
+                held += [words, pairs]
+                size += 2 * len(words)
+                if size > 4_000_000:
                     yield flush()
-                    held = 0
-        if keys:
+                    held, size = [], 0
+        if held:
             yield flush()
 
     def add(table: pa.Table) -> pa.Table:
-        key, n = _merge([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()], [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+        at = table["slice"][0].as_py()
+        keys = [unpack_keys(x, _start(at, slices)) for x in table["keys"].to_pylist()]
+        counts = [unpack_counts(x, len(k)) for x, k in zip(table["counts"].to_pylist(), keys, strict=True)]
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.zeros(len(key), dtype=np.int64)
+        np.add.at(n, place, np.concatenate(counts))
         word = (key & np.uint64(1)) == 0
-        size, segment = max(64, int(level(n, config.base).sum()) * config.bits), _segment(key, n, config)
-        cells = [[table["slice"][0].as_py()], [key[word].tobytes()], [n[word].astype(np.uint32).tobytes()], [int(word.sum())], [int(n[word].sum())], [size], [segment]]
-        return pa.table(dict(zip(("slice", "words", "word_counts", "n_words", "n_tokens", "size", "segment"), cells, strict=True)), schema=pa.schema([("slice", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("size", pa.int64()), ("segment", pa.binary())]))
+        q = level(n, config.base)
+        size = max(64, int(q.sum()) * config.bits)
+        row = (at, pack_keys(key[word], _start(at, slices)), pack_counts(n[word]), int(word.sum()), int(n[word].sum()), size, segment_of(key, q, size, config.probes))
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = ("slice", "words", "word_counts", "n_words", "n_tokens", "size", "segment")
+        return pa.table({name: pa.array([x], t) for name, x, t in zip(names, row, types, strict=True)})
+
+    return texts.mapInArrow(count, "slice int, keys binary, counts binary").groupBy("slice").applyInArrow(add, COUNTED)
 
-    counted = "slice int, words binary, word_counts binary, n_words long, n_tokens long, size long, segment binary"
-    return texts.mapInArrow(count, PART).groupBy("slice").applyInArrow(add, counted)
 
+def _hashes(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    a = mix(keys + np.uint64((1 + q * int(PAIR)) & 0xFFFFFFFFFFFFFFFF))
+    return a, (a >> np.uint64(32)) | np.uint64(1)
 
-def _places(keys: np.ndarray, q: np.ndarray | int, size: np.ndarray | int, probes: int) -> Iterator[np.ndarray]:
-    """Bit places of (key, level) in a segment of ``size`` bits."""
-    a = mix(keys + np.uint64(1) + np.asarray(q, dtype=np.uint64) * PAIR)
-    b = (a >> np.uint64(32)) | np.uint64(1)
-    for k in range(probes):
-        yield ((a + np.uint64(k) * b) & np.uint64(0xFFFFFFFF)) * np.asarray(size, dtype=np.uint64) >> np.uint64(32)
 
+def _place(a: np.ndarray, b: np.ndarray, probe: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    """Bit places in a segment of ``size`` bits."""
+    return ((a + np.uint64(probe) * b) & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32)
 
-def _segment(keys: np.ndarray, counts: np.ndarray, config: LmConfig) -> bytes:
-    """The filter segment of one slice."""
-    q = level(counts, config.base)
-    size = max(64, int(q.sum()) * config.bits)
+
+def segment_of(keys: np.ndarray, q: np.ndarray, size: int, probes: int) -> bytes:
+    """The filter segment of the keys of one slice, each put in for every level up to its own."""
     bits = np.zeros(size, dtype=bool)
     for at in range(1, int(q.max(initial=0)) + 1):
-        for place in _places(keys[q >= at], at, size, config.probes):
-            bits[place] = True
+        a, b = _hashes(keys[q >= at], at)
+        for probe in range(probes):
+            bits[_place(a, b, probe, np.uint64(size))] = True
     return np.packbits(bits).tobytes()
 
 
+def levels_in(keys: np.ndarray, bits: np.ndarray, start: np.ndarray | int, size: np.ndarray | int, probes: int) -> np.ndarray:
+    """Levels of ``keys``, probed until one is missing; each key's segment begins at bit ``start`` of ``bits``."""
+    start, size = np.broadcast_to(start, len(keys)), np.broadcast_to(size, len(keys)).astype(np.uint64)
+    found, alive, q = np.zeros(len(keys), dtype=np.uint8), np.flatnonzero(size > 0), 1
+    while len(alive) and q < LEVELS:
+        a, b = _hashes(keys[alive], q)
+        for probe in range(probes):
+            at = start[alive] + _place(a, b, probe, size[alive]).astype(np.int64)
+            there = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            alive, a, b = alive[there], a[there], b[there]
+        found[alive] = q
+        q += 1
+    return found
+
+
 @dataclass
-class LmModel:
-    """Segments of the filter, laid out one after another; slices that are not among them have no size."""
+class Held:
+    """All segments one after another, and all words with their counts, in the order of their keys."""
 
-    config: LmConfig
-    n_tokens: int
-    n_words: int
-    least_pair: int
     bits: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+    probes: int
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of sorted distinct keys, and the exact counts of the words among them."""
+        at = slice_of(keys, len(self.sizes))
+        return levels_in(keys, self.bits, self.starts[at], self.sizes[at], self.probes), exact(keys, self.words, self.counts)
+
+
+def exact(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of the words among ``keys``; ``words`` are sorted."""
+    mine = keys[(keys & np.uint64(1)) == 0]
+    if not len(words):
+        return np.zeros(len(mine), dtype=np.int64)
+    at = np.minimum(np.searchsorted(words, mine), len(words) - 1)
+    return np.where(words[at] == mine, counts[at], 0)
+
+
+@dataclass
+class Counts:
+    """What training texts hold: the table of slices, and its totals."""
+
+    config: LmConfig
+    slices: int
+    n_tokens: int
+    n_words: int
+    n_bytes: int
+    table: DataFrame
+
+    @property
+    def size(self) -> int:
+        return self.n_tokens + self.n_words + 1
+
+    def held(self) -> Held:
+        """The whole filter with the word counts, for a broadcast; ``n_bytes`` bounds it."""
+        sizes, segments, words, counts = np.zeros(self.slices, dtype=np.int64), [b""] * self.slices, [], []
+        for r in sorted(self.table.toLocalIterator(), key=lambda r: r.slice):
+            sizes[r.slice], segments[r.slice] = r.size, bytes(r.segment)
+            words.append(unpack_keys(bytes(r.words), _start(r.slice, self.slices)))
+            counts.append(unpack_counts(bytes(r.word_counts), len(words[-1])))
+        starts = 8 * np.cumsum([0, *map(len, segments)])[:-1]
+        none = [np.zeros(0, np.uint64)]
+        return Held(np.frombuffer(b"".join(segments), np.uint8), starts, sizes, np.concatenate(none + words), np.concatenate([np.zeros(0, np.int64), *counts]), self.config.probes)
 
-    def slice_of(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(32)).astype(np.int64) * len(self.sizes) >> 32
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels are probed until one is missing."""
-        slice_of = self.slice_of(keys)
-        start, size = self.starts[slice_of], self.sizes[slice_of]
-        found, alive, q = np.zeros(len(keys), dtype=np.uint8), np.flatnonzero(size > 0), 1
-        while len(alive) and q < 120:
-            there = np.ones(len(alive), dtype=bool)
-            for place in _places(keys[alive], q, size[alive], self.config.probes):
-                at = start[alive] + place.astype(np.int64)
-                there &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            alive = alive[there]
-            found[alive] = q
-            q += 1
-        return found
-
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts."""
-        return level_counts(self.config.base)[self.levels(keys)]
-
-    def each(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of keys of which many are equal."""
-        key, at = np.unique(keys, return_inverse=True)
-        return self.levels(key)[at]
-
-
-def shares(q_word: np.ndarray, q_pair: np.ndarray, counts: np.ndarray, size: int, base: float, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(state, pair's share, word's share) of every token from its levels; ``left_out`` is taken from each count,
-    ``size`` is that of the add-one share."""
-    middle = level_counts(base)
-    c_word, c_pair = middle[q_word], middle[q_pair]
+
+def raw_text() -> Column:
+    return F.coalesce(F.col("text"), F.lit("")).cast("binary")
+
+
+def count(texts: DataFrame, config: LmConfig = LmConfig()) -> Counts:
+    """Counts all of ``texts`` (text) and builds the filter's segments, where they lie."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = max(1, -(-size // config.slice_bytes))
+    table = materialize(_count(texts.select(raw_text().alias("text")), slices, config), "counted")
+    totals = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "size"))).first()
+    return Counts(config, slices, totals[0], totals[1], totals[2] // 8 + 16 * totals[1], table)
+
+
+def measure(texts: list[bytes], look: Callable, size: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """([n_tokens, n_known, base score], levels of the word and the pair of each token in turn) of each text;
+    ``look`` gives levels and counts of the sorted distinct keys."""
+    words, pairs, counts = tokens(texts)
+    keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+    levels, known = look(keys)
+    first = np.cumsum(counts) - counts
+    n = np.zeros(len(keys), dtype=np.int64)
+    n[(keys & np.uint64(1)) == 0] = known
+    n = n[at[: len(words)]]
+    base = np.add.reduceat(np.log10((n + 1.0) / size), first)
+    q = np.stack([levels[at[: len(words)]], levels[at[len(words) :]]], axis=1)
+    return [counts, np.add.reduceat((n > 0).astype(np.int64), first), base], [x.tobytes() for x in np.split(q, first[1:])]
+
+
+def _measured(table: pa.Table, names: list[str], measured: list, levels: str) -> pa.Table:
+    """The columns ``names`` with what ``measure`` gave for their rows."""
+    numbers = [np.concatenate([m[0][i] for m in measured]) if measured else np.zeros(0) for i in range(3)]
+    cells = {n: table[n] for n in names}
+    cells |= {"n_tokens": pa.array(numbers[0], pa.int64()), "n_known": pa.array(numbers[1], pa.int64()), "base_score": pa.array(numbers[2], pa.float64())}
+    return pa.table(cells | {levels: pa.array([x for m in measured for x in m[1]], pa.binary())})
+
+
+def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def look_up(docs: DataFrame, counts: Counts) -> DataFrame:
+    """``docs`` (text and any other columns) with n_tokens, n_known, base_score and the levels of their tokens."""
+    names = [c for c in docs.columns if c not in ("text", *RESULTS)]
+    levels = spare(docs.columns, "levels")
+    kept = StructType([docs.schema[n] for n in names])
+    schema = StructType([*kept, StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField(levels, BinaryType())])
+    if counts.n_bytes <= counts.config.broadcast_bytes:
+        held = docs.sparkSession.sparkContext.broadcast(counts.held())
+        return materialize(_with_broadcast(docs, held, counts, names, levels, schema), "levels", compression="zstd")
+    return materialize(_with_segments(docs, counts, names, levels, schema), "levels", compression="zstd")
+
+
+def _with_broadcast(docs: DataFrame, held: Broadcast, counts: Counts, names: list[str], levels: str, schema: StructType) -> DataFrame:
+    part_bytes, size = counts.config.part_bytes, counts.size
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            measured = [measure(some, held.value.look, size) for some in in_rounds(_texts(batch["text"]), part_bytes)]
+            yield from _measured(pa.Table.from_batches([batch]), names, measured, levels).combine_chunks().to_batches()
+
+    return docs.select(*(F.col(f"`{n}`") for n in names), "text").mapInArrow(look, schema)
+
+
+def _with_segments(docs: DataFrame, counts: Counts, names: list[str], levels: str, schema: StructType) -> DataFrame:
+    """Parts of the texts send their keys to the slices, and get levels and counts back.
+
+    A scan may cut a part, and a run of its rows then sends keys of its own: ``run`` is the place of its first row.
+    """
+    config, slices, size = counts.config, counts.slices, counts.size
+    part, place = spare(docs.columns, "part"), spare(docs.columns, "place")
+    rows = docs.select(*(F.col(f"`{n}`") for n in names), "text")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (TaskContext.get().partitionId() << 32) - 1
+        for batch in batches:
+            if batch.num_rows:
+                sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64)
+                turn = (np.cumsum(sizes) - sizes) // config.part_bytes
+                parts = last + np.cumsum(np.diff(turn, prepend=-1) != 0)
+                last = int(parts[-1])
+                yield batch.append_column(part, pa.array(parts, pa.int64())).append_column(place, pa.array(np.arange(len(sizes)), pa.int32()))
+
+    dealt = StructType([*rows.schema, StructField(part, LongType()), StructField(place, IntegerType())])
+    rows = materialize(rows.mapInArrow(deal, dealt), "parts", compression="zstd")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, places = batch[part].to_numpy(), batch[place].to_numpy()
+            cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(places) != 1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True) if batch.num_rows else ():
+                words, pairs, _ = tokens(_texts(batch["text"].slice(a, b - a)))
+                keys = np.unique(np.concatenate([words, pairs]))
+                found = [(s, pack_keys(keys[at], _start(s, slices))) for s, at in _by_slice(keys, slices)]
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([parts[a]] * n, pa.int64()), pa.array([places[a]] * n, pa.int32()), pa.array([s for s, _ in found], pa.int32()), pa.array([k for _, k in found], pa.binary())], names=["part", "run", "slice", "keys"])
+
+    def probe(sent: pa.Table, segment: pa.Table) -> pa.Table:
+        if not sent.num_rows:
+            return sent.select(["part", "run", "slice", "keys"]).rename_columns(["part", "run", "slice", "levels"]).append_column("counts", pa.array([], pa.binary()))
+        start = _start(sent["slice"][0].as_py(), slices)
+        each = [unpack_keys(x, start) for x in sent["keys"].to_pylist()]
+        keys, at = np.unique(np.concatenate(each), return_inverse=True)
+        q, n, word = np.zeros(len(keys), dtype=np.uint8), np.zeros(len(keys), dtype=np.int64), (keys & np.uint64(1)) == 0
+        if segment.num_rows:
+            words = unpack_keys(segment["words"][0].as_py(), start)
+            q = levels_in(keys, np.frombuffer(segment["segment"][0].as_py(), np.uint8), 0, segment["size"][0].as_py(), config.probes)
+            n[word] = exact(keys, words, unpack_counts(segment["word_counts"][0].as_py(), len(words)))
+        ends = np.cumsum([len(x) for x in each])
+        out_levels, out_counts = [], []
+        for i in np.split(at, ends[:-1]):
+            out_levels.append(q[i].tobytes())
+            out_counts.append(pack_counts(n[i[word[i]]]))
+        return sent.select(["part", "run", "slice"]).append_column("levels", pa.array(out_levels, pa.binary())).append_column("counts", pa.array(out_counts, pa.binary()))
+
+    keys = rows.select(part, place, "text").mapInArrow(send, "part long, run int, slice int, keys binary")
+    segments = counts.table.select("slice", "words", "word_counts", "size", "segment")
+    answers = keys.groupBy("slice").cogroup(segments.groupBy("slice")).applyInArrow(probe, "part long, run int, slice int, levels binary, counts binary")
+
+    def put_back(mine: pa.Table, got: pa.Table) -> pa.Table:
+        mine = mine.sort_by(place)
+        got = got.sort_by([("run", "ascending"), ("slice", "ascending")])
+        runs = got["run"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(runs)]
+        firsts = np.searchsorted(mine[place].to_numpy(), runs[cuts[:-1]]) if len(runs) else []
+        measured = []
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            upto = firsts[k + 1] if k + 1 < len(firsts) else mine.num_rows
+
+            def look(keys: np.ndarray, a: int = a, b: int = b) -> tuple[np.ndarray, np.ndarray]:
+                found = [(s, at) for s, at in _by_slice(keys, slices)]
+                n_words = [int((keys[at] & np.uint64(1) == 0).sum()) for _, at in found]
+                packed = got["counts"].slice(a, b - a).to_pylist()
+                return np.frombuffer(b"".join(got["levels"].slice(a, b - a).to_pylist()), np.uint8), np.concatenate([unpack_counts(x, n) for x, n in zip(packed, n_words, strict=True)])
+
+            measured.append(measure(_texts(mine["text"].slice(firsts[k], upto - firsts[k])), look, size))
+        return _measured(mine, names, measured, levels)
+
+    return rows.groupBy(part).cogroup(answers.groupBy("part")).applyInArrow(put_back, schema)
+
+
+def steps_of(levels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, level of the word before, of the pair, of the word, tokens of each text): ``run`` is how many of the
+    two pairs before were known, within the text."""
+    q = np.frombuffer(b"".join(map(bytes, levels)), np.uint8).astype(np.int64)
+    counts = np.array([len(x) // 2 for x in levels], dtype=np.int64)
+    word, pair = q[::2], q[1::2]
     last = np.cumsum(counts) - 1
     first = last + 1 - counts
-    c_before = np.roll(c_word, 1)
-    c_before[first] = c_word[last]  # an end stands before each text, and closes it
-    known = c_pair > 0
+    before = np.roll(word, 1)
+    before[first] = word[last]  # an end stands before each text, and closes it
+    known = pair > 0
     run = np.roll(known, 1).astype(np.int64) + (np.roll(known, 1) & np.roll(known, 2))
     run[first] = 0
     second = first[counts > 1] + 1
     run[second] = np.minimum(run[second], 1)
-    state = np.minimum(11, np.floor(np.log2(np.maximum(c_before, 1))).astype(np.int64)) * 3 + run
-    pair_share = np.minimum(1.0, np.maximum(c_pair - left_out, 0) / np.maximum(c_before - left_out, 1))
-    return state, pair_share, (np.maximum(c_word - left_out, 0) + 1) / size
+    return run, before, pair, word, counts
 
 
-def fit_mixture(state: np.ndarray, pair_share: np.ndarray, word_share: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Expectation maximisation of the mixture in each state, with a little weight on its start."""
+def shares(run: np.ndarray, before: np.ndarray, pair: np.ndarray, word: np.ndarray, size: int, base: float, left_out: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state, pair's share, word's share) of tokens from their levels; ``left_out`` is taken from each count."""
+    low, high = level_ranges(base)
+    state = np.minimum(11, np.floor(np.log2(np.maximum(low[before], 1))).astype(np.int64)) * 3 + run
+    pair_share = np.minimum(1.0, np.maximum(low[pair] - left_out, 0) / np.maximum(high[before] - left_out, 1))
+    return state, pair_share, (np.maximum(low[word] - left_out, 0) + 1) / size
+
+
+def fit_mixture(found: DataFrame, counts: Counts, rounds: int = 30) -> np.ndarray:
+    """The mixture of each state by expectation maximisation over all tokens of ``found``, rows of ``look_up`` for
+    training texts."""
+    column = found.columns[-1]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                run, before, pair, word, _ = steps_of(batch.column(0).to_pylist())
+                cells, n = np.unique(((run * LEVELS + before) * LEVELS + pair) * LEVELS + word, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+    cells = found.select(column).mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cell, n = cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=float)
+    state, pair_share, word_share = shares(cell // LEVELS**3, cell // LEVELS**2 % LEVELS, cell // LEVELS % LEVELS, cell % LEVELS, counts.size, counts.config.base, left_out=1.0)
     m = np.full(STATES, 0.3)
     for _ in range(rounds):
         from_pair = m[state] * pair_share
-        held = from_pair / (from_pair + (1 - m[state]) * word_share)
-        m = (np.bincount(state, weights=held, minlength=STATES) + 0.3) / (np.bincount(state, minlength=STATES) + 1.0)
+        share = from_pair / (from_pair + (1 - m[state]) * word_share)
+        m = (np.bincount(state, weights=n * share, minlength=STATES) + 0.3) / (np.bincount(state, weights=n, minlength=STATES) + 1.0)
     return np.clip(m, 1e-4, 0.999)
 
 
+def score_levels(found: DataFrame, counts: Counts, mixture: np.ndarray) -> DataFrame:
+    """Rows of ``look_up`` with train_tokens, and ``score`` in place of the levels."""
+    column, size, base = found.columns[-1], counts.size, counts.config.base
+
+    @F.pandas_udf("double")
+    def score(levels: pd.Series) -> pd.Series:
+        if not len(levels):
+            return pd.Series([], dtype=float)
+        *steps, counts = steps_of(list(levels))
+        state, pair_share, word_share = shares(*steps, size, base)
+        each = np.log10(mixture[state] * pair_share + (1 - mixture[state]) * word_share)
+        return pd.Series(np.add.reduceat(each, np.cumsum(counts) - counts))
+
+    total = F.lit(counts.n_tokens).cast("long").alias("train_tokens")
+    return found.select(*(F.col(f"`{c}`") for c in found.columns[:-1]), total, score(F.col(f"`{column}`")).alias("score"))
+
+
 @dataclass
-class Trained:
-    """Numbers of tokens and words, the sizes in bits of all slices, their groups (first slice, end), the mixture
-    by state, and the table of counts and segments.  ``held`` is the broadcast filter if it is one group."""
+class LmModel:
+    """Counts and mixture of a model, to score other texts with."""
 
-    config: LmConfig
-    n_tokens: int
-    n_words: int
-    sizes: np.ndarray
-    groups: list[tuple[int, int]]
+    counts: Counts
     mixture: np.ndarray
-    counted: DataFrame
-    held: object = None
 
-    @property
-    def size(self) -> int:
-        return self.n_tokens + self.n_words + 1
 
-    def group(self, at: int) -> LmModel:
-        """The segments of a group of slices."""
-        low, end = self.groups[at]
-        parts = {r.slice: bytes(r.segment) for r in self.counted.where(F.col("slice").between(low, end - 1)).select("slice", "segment").toLocalIterator()}
-        sizes, starts = np.zeros_like(self.sizes), np.zeros_like(self.sizes)
-        sizes[low:end] = self.sizes[low:end]
-        starts[low:end] = 8 * np.cumsum([0, *(len(parts.get(i, b"")) for i in range(low, end))])[:-1]
-        return LmModel(self.config, self.n_tokens, self.n_words, 1, np.frombuffer(b"".join(parts.get(i, b"") for i in range(low, end)), dtype=np.uint8), starts, sizes)
-
-
-def _groups(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Runs of slices whose segments have at most ``most`` bytes together; one slice at least."""
-    out, low, total = [], 0, 0
-    for i, n in enumerate((sizes + 7) // 8):
-        if i > low and total + n > most:
-            out.append((low, i))
-            low, total = i, 0
-        total += int(n)
-    return [*out, (low, len(sizes))]
-
-
-def _levelled(rows: DataFrame, trained: Trained) -> DataFrame:
-    """(__row, __levels) of ``rows`` (__row, __text): the levels of word and pair of each token in turn, one pass
-    over the texts for each group of slices."""
-    ends = np.array([end for _, end in trained.groups])
-    kind = np.uint8 if len(ends) < 256 else np.uint16
-    spark, found = rows.sparkSession, []
-    for at in range(len(ends)):
-        held = spark.sparkContext.broadcast(trained.group(at))
-
-        def look(batches: Iterator[pa.RecordBatch], at: int = at, held: object = held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                done = 0
-                for some in in_rounds((x.as_py() for x in batch.column(1)), 250_000):  # small, beside the filter
-                    words, pairs, counts = tokens(some)
-                    keys = np.stack([words, pairs], axis=1).ravel()
-                    group = np.searchsorted(ends, held.value.slice_of(keys), side="right").astype(kind)
-                    mine = group == at
-                    q = held.value.each(keys[mine])
-                    begin = np.cumsum(2 * counts) - 2 * counts
-                    upto = np.cumsum(np.add.reduceat(mine.astype(np.int64), begin))
-                    rows_of = batch.column(0).slice(done, len(some))
-                    parts = [x.tobytes() for x in np.split(q, upto[:-1])]
-                    yield pa.RecordBatch.from_arrays([rows_of, pa.array([at] * len(some), pa.int32()), pa.array(parts, pa.binary())], names=["__row", "pass", "part"])
-                    if at == 0:
-                        parts = [x.tobytes() for x in np.split(group, begin[1:])]
-                        yield pa.RecordBatch.from_arrays([rows_of, pa.array([-1] * len(some), pa.int32()), pa.array(parts, pa.binary())], names=["__row", "pass", "part"])
-                    done += len(some)
-
-        found.append(materialize(rows.select("__row", "__text").mapInArrow(look, "__row long, pass int, part binary").where("length(part) > 0"), "levels"))
-        held.destroy()
-    every = found[0]
-    for one in found[1:]:
-        every = every.union(one)
-
-    @F.pandas_udf("binary")
-    def together(parts: pd.Series) -> pd.Series:
-        out = []
-        for some in parts:
-            group = np.frombuffer(some[0]["part"], kind)
-            q = np.zeros(len(group), dtype=np.uint8)
-            for x in some[1:]:
-                q[group == x["pass"]] = np.frombuffer(x["part"], np.uint8)
-            out.append(q.tobytes())
-        return pd.Series(out, dtype=object)
-
-    return every.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pass", "part"))).alias("parts")).select("__row", together("parts").alias("__levels"))
-
-
-def _read(levels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(level of the word, level of the pair, tokens of each text) from rows of ``_levelled``."""
-    q = np.frombuffer(b"".join(map(bytes, levels)), np.uint8)
-    return q[::2], q[1::2], np.array([len(x) // 2 for x in levels])
-
-
-def train(texts: DataFrame, config: LmConfig = LmConfig()) -> Trained:
-    """Counts all of ``texts`` (doc_id, text) and builds the filter."""
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = max(64, -(-size // config.slice_bytes))
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    counted = materialize(_count(texts.select(text.alias("text")), slices, config), "counted")
-    n_words, n_tokens = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_tokens"))).first()
-
-    sizes = np.zeros(slices, dtype=np.int64)
-    for slice_, bits in counted.select("slice", "size").toLocalIterator():
-        sizes[slice_] = bits
-    trained = Trained(config, n_tokens, n_words, sizes, _groups(sizes, config.filter_bytes), np.full(STATES, 0.3), counted)
-    sample = bounded_sample(texts.where("doc_id is not null"), "doc_id", config.sample_rows, config.seed).select(text.alias("__text"))
-    if len(trained.groups) == 1:
-        held = trained.held = texts.sparkSession.sparkContext.broadcast(trained.group(0))
-
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for some in in_rounds(batch.column(0).to_pylist()):
-                    words, pairs, counts = tokens(some)
-                    q = np.stack([held.value.each(words), held.value.each(pairs)], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(q, np.cumsum(counts)[:-1])], pa.binary())], names=["__levels"])
-
-        got = sample.mapInArrow(found, "__levels binary").toPandas()
-    else:
-        got = _levelled(materialize(sample.withColumn("__row", F.monotonically_increasing_id()), "sample"), trained).toPandas()
-    if len(got):
-        trained.mixture = fit_mixture(*shares(*_read(list(got["__levels"])), trained.size, config.base, left_out=1.0))
-    return trained
-
-
-def score(docs: DataFrame, trained: Trained, config: LmConfig = LmConfig()) -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score of each whole text."""
-    held, mixture, size, base = trained.held, trained.mixture, trained.size, config.base
-    columns = docs.columns
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    known = None
-    if trained.n_words <= config.exact_words:
-        parts = {r.slice: (np.frombuffer(r.words, np.uint64), np.frombuffer(r.word_counts, np.uint32)) for r in trained.counted.select("slice", "words", "word_counts").toLocalIterator()}
-        known = docs.sparkSession.sparkContext.broadcast(tuple(np.concatenate([np.zeros(0, t), *(parts[s][i] for s in sorted(parts))]) for i, t in enumerate((np.uint64, np.uint32))))
-        del parts
-
-    def scores(q_word: np.ndarray, q_pair: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        state, pair_share, word_share = shares(q_word, q_pair, counts, size, base)
-        m = mixture[state]
-        return np.add.reduceat(np.log10(m * pair_share + (1 - m) * word_share), np.cumsum(counts) - counts)
-
-    @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for some in in_rounds(texts):
-            words, pairs, counts = tokens(some)
-            if known is None:
-                n_known, base_score = np.zeros(len(some), dtype=np.int64), np.zeros(len(some))
-            else:
-                n_known, base_score = _base(words, np.cumsum(counts) - counts, *known.value, size)
-            out.append(np.stack([counts, n_known, base_score, np.zeros(len(some)) if held is None else scores(held.value.each(words), held.value.each(pairs), counts)]))
-        table = np.concatenate(out, axis=1) if out else np.zeros((4, 0))
-        return pd.DataFrame({"n_tokens": table[0].astype(np.int64), "n_known": table[1].astype(np.int64), "base_score": table[2], "score": table[3]})
+def train(texts: DataFrame, config: LmConfig = LmConfig()) -> LmModel:
+    """A model of all of ``texts`` (text)."""
+    counts = count(texts, config)
+    return LmModel(counts, fit_mixture(look_up(texts.select("text"), counts), counts))
 
-    @F.pandas_udf("double")
-    def of_levels(levels: pd.Series) -> pd.Series:
-        return pd.Series(scores(*_read(list(levels))) if len(levels) else [], dtype=float)
-
-    if held is None or known is None:
-        docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = docs.withColumn("__lm", scored(raw))
-    score_of, n_known, base_score = F.col("__lm.score"), F.col("__lm.n_known"), F.col("__lm.base_score")
-    if held is None:
-        passes = _levelled(docs.select("__row", raw.alias("__text")), trained)
-        found, score_of = found.join(passes.select("__row", of_levels("__levels").alias("__score")), "__row"), F.col("__score")
-    if known is None:
-        found, n_known, base_score = found.join(_joined_base(docs, trained, size), "__row"), F.col("__base.n_known"), F.col("__base.base_score")
-    names = [c for c in columns if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    return found.select(*(F.col(f"`{c}`") for c in names), "__lm.n_tokens", n_known.alias("n_known"), F.lit(trained.n_tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), score_of.alias("score"))
-
-
-def _base(words: np.ndarray, first: np.ndarray, keys: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Known tokens and base score of texts that begin at ``first``; ``keys`` are sorted."""
-    key, at = np.unique(words, return_inverse=True)
-    place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-    n = np.where(keys[place] == key, counts[place], 0).astype(np.float64) if len(keys) else np.zeros(len(key))
-    return np.add.reduceat((n > 0)[at].astype(np.int64), first), np.add.reduceat(np.log10((n + 1) / size)[at], first)
-
-
-def _joined_base(rows: DataFrame, trained: Trained, size: int) -> DataFrame:
-    """(__row, ``__base`` (n_known, base_score)) of ``rows``, where the word counts are too many to broadcast: words
-    of each text are joined with them."""
-
-    @F.pandas_udf("array<struct<word long, n long>>")
-    def distinct(texts: pd.Series) -> pd.Series:
-        out = []
-        for some in in_rounds(texts):
-            words, _, counts = tokens(some)
-            for part in np.split(words, np.cumsum(counts)[:-1]):
-                key, n = np.unique(part, return_counts=True)
-                out.append([{"word": int(k), "n": int(c)} for k, c in zip(key.view(np.int64), n, strict=True)])
-        return pd.Series(out, dtype=object)
-
-    @F.pandas_udf("array<struct<word long, c long>>")
-    def table(words: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([[{"word": int(w), "c": int(c)} for w, c in zip(np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32), strict=True)] for a, b in zip(words, counts, strict=True)], dtype=object)
-
-    of = rows.select("__row", F.explode(distinct(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("w")).select("__row", "w.word", "w.n")
-    counts = trained.counted.select(F.explode(table("words", "word_counts")).alias("t")).select("t.word", "t.c")
-    share = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 1) / F.lit(float(size)))
-    return of.join(counts, "word", "left").groupBy("__row").agg(F.struct(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * share).alias("base_score")).alias("__base"))
+
+def score(docs: DataFrame, model: LmModel) -> DataFrame:
+    """``docs`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score of each whole text."""
+    return score_levels(look_up(docs, model.counts), model.counts, model.mixture)
+
+
+def train_and_score(docs: DataFrame, training: str, config: LmConfig = LmConfig()) -> DataFrame:
+    """Scores all ``docs`` by a model of the rows whose boolean column ``training`` holds; each text is looked up
+    once for both."""
+    counts = count(docs.where(F.col(training)), config)
+    found = look_up(docs, counts)
+    return score_levels(found, counts, fit_mixture(found.where(F.col(training)), counts))

@@ -12,27 +12,37 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in local tests, a
-    temporary folder of this machine is taken.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and all runs on this machine, as in
+    local tests, a temporary folder is taken; on a cluster that would spread the data over its hosts.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="certlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a table in the shared folder and reads it back.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes ``df`` to a table in the shared folder, with the writer's ``options``, and reads it back.
 
     The copy cuts the lineage: a lost executor costs a reread of the table and no recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/certlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

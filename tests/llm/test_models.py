@@ -49,12 +49,11 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["\0end"]
 
 
-@pytest.mark.parametrize("exact", [8_000_000, 0])
-def test_language_model_counts_exactly(spark, exact):
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_language_model_counts_exactly(spark, most):
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(TEXTS)] + [(None, "the cat", 7)], "doc_id long, text string, n_tokens int")
-    train = docs.where("doc_id % 3 <> 0")
-    config = bloom_lm.LmConfig(exact_words=exact, sample_rows=20)
-    got = {r.doc_id: r for r in bloom_lm.score(docs, bloom_lm.train(train, config), config).collect()}
+    config = bloom_lm.LmConfig(broadcast_bytes=most)
+    got = {r.doc_id: r for r in bloom_lm.score(docs, bloom_lm.train(docs.where("doc_id % 3 <> 0"), config)).collect()}
     counts = Counter(w for i, t in enumerate(TEXTS) if i % 3 for w in words(t))
     n, v = counts.total(), len(counts)
     for i, t in [*enumerate(TEXTS), (None, "the cat")]:
@@ -63,19 +62,19 @@ def test_language_model_counts_exactly(spark, exact):
         assert math.isclose(got[i].base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in mine), rel_tol=1e-9)
         assert got[i].score < 0
     assert sum(got[i].score for i in range(0, 60, 3)) > sum(got[i].base_score for i in range(0, 60, 3))
-    empty = bloom_lm.score(docs, bloom_lm.train(docs.limit(0), config), config).collect()
+    empty = bloom_lm.score(docs, bloom_lm.train(docs.limit(0), config)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in empty)
+    assert bloom_lm.score(docs.limit(0), bloom_lm.train(docs, config)).count() == 0
 
 
 def test_filter_gives_levels_back():
-    config = bloom_lm.LmConfig(bits=16, probes=6)
     keys = np.unique(bloom_lm.mix(np.arange(5000, dtype=np.uint64)))
-    counts = np.random.default_rng(1).zipf(1.5, len(keys)).clip(1, 10**6)
-    segment = bloom_lm._segment(keys, counts, config)
-    model = bloom_lm.LmModel(config, 1, 1, 2, np.frombuffer(segment, np.uint8), np.array([0]), np.array([int(bloom_lm.level(counts, config.base).sum()) * config.bits]))
-    expected = bloom_lm.level_counts(config.base)[bloom_lm.level(counts, config.base)]
-    assert (model.lookup(keys) >= expected).all() and (model.lookup(keys) == expected).mean() > 0.97
-    assert (model.lookup(bloom_lm.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))) == 0).mean() > 0.97
+    q = bloom_lm.level(np.random.default_rng(1).zipf(1.5, len(keys)).clip(1, 10**6), 1.5)
+    size = int(q.sum()) * 16
+    bits = np.frombuffer(bloom_lm.segment_of(keys, q, size, 6), np.uint8)
+    found = bloom_lm.levels_in(keys, bits, 0, size, 6)
+    assert (found >= q).all() and (found == q).mean() > 0.97
+    assert (bloom_lm.levels_in(bloom_lm.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64)), bits, 0, size, 6) == 0).mean() > 0.97
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="has-sidebar">

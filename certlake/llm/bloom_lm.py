@@ -43,33 +43,38 @@ from certlake.llm.words import in_rounds, mix, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)
 PAIR = np.uint64(0xA0761D6478BD642F)
+LOW = np.uint64(0xFFFF)
 STATES = 36
 LEVELS = 128
+ROUND = 500_000  # bytes of levels looked at together
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @dataclass(frozen=True)
 class LmConfig:
     """``base`` of the logarithmic scale; ``bits`` and ``probes`` of the filter for each entry; the bound of what
-    is broadcast; ``slice_bytes`` of training text make a slice, ``part_bytes`` of scored text a part."""
+    is broadcast; ``slice_bytes`` of training text make a slice, ``part_bytes`` of text a part."""
 
     base: float = 1.5
     bits: int = 8
     probes: int = 4
     broadcast_bytes: int = 16 << 20
     slice_bytes: int = 16 << 20
-    part_bytes: int = 4 << 20
+    part_bytes: int = 12 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word key, pair key, tokens of each text): the pair of a token is that of the token before it and itself;
-    an end stands before each text.  The last bit tells words from pairs."""
-    words, counts = word_hashes(texts, lower=True)
-    ends = np.cumsum(counts)
-    words = np.insert(words, ends, END)
+    an end stands before each text.  Words are even, pairs odd.  A pair has 48 bits above its mark."""
+    words, counts = [], []
+    for some in in_rounds(texts):
+        w, n = word_hashes(some, lower=True)
+        words.append(np.insert(w, np.cumsum(n), END))
+        counts.append(n + 1)
+    words, counts = np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate([np.zeros(0, np.int64), *counts])
     before = np.concatenate([[END], words[:-1]])
     pairs = mix(before * PAIR + words)
-    return words & ~np.uint64(1), pairs | np.uint64(1), counts + 1
+    return words & ~np.uint64(1), pairs & ~LOW | np.uint64(1), counts
 
 
 def level(counts: np.ndarray, base: float) -> np.ndarray:
@@ -94,23 +99,27 @@ def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
-def _start(at: int, slices: int) -> np.uint64:
+def _start(at: int, slices: int) -> int:
     """The least key of a slice."""
-    return np.uint64((-(-(at << 32) // slices)) << 32)
+    return -(-(at << 32) // slices) << 32
 
 
-def pack_keys(keys: np.ndarray, start: np.uint64) -> bytes:
-    gaps = np.diff(keys, prepend=start)
+def pack_keys(keys: np.ndarray, start: int, pairs: bool) -> bytes:
+    """Pairs go without their 16 lowest bits, which are all the same."""
+    shift = 16 if pairs else 0
+    gaps = np.diff(keys >> np.uint64(shift), prepend=np.uint64(start >> shift))
     width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
     return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack_keys(data: bytes, start: np.uint64) -> np.ndarray:
+def unpack_keys(data: bytes, start: int, pairs: bool) -> np.ndarray:
+    shift = 16 if pairs else 0
     width = data[0]
     cells = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
     wide = np.zeros((len(cells), 8), np.uint8)
     wide[:, :width] = cells
-    return np.cumsum(wide.view("<u8").ravel().astype(np.uint64), dtype=np.uint64) + start
+    keys = np.cumsum(wide.view("<u8").ravel().astype(np.uint64), dtype=np.uint64) + np.uint64(start >> shift)
+    return keys << np.uint64(shift) | np.uint64(1) if pairs else keys
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -124,13 +133,22 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _by_slice(keys: np.ndarray, slices: int) -> list[tuple[int, slice]]:
-    """The slices that sorted keys fall into, with the place of each."""
-    cuts = np.searchsorted(slice_of(keys, slices), np.arange(slices + 1)) if slices < len(keys) else None
-    if cuts is None:
-        found, first = np.unique(slice_of(keys, slices), return_index=True)
-        return [(int(s), slice(int(a), int(b))) for s, a, b in zip(found, first, np.append(first[1:], len(keys)), strict=True)]
-    return [(s, slice(int(cuts[s]), int(cuts[s + 1]))) for s in np.flatnonzero(np.diff(cuts)).tolist()]
+def _by_slice(words: np.ndarray, pairs: np.ndarray, slices: int) -> list[tuple[int, slice, slice]]:
+    """The slices that sorted words and pairs fall into, with the places of both."""
+    found = np.unique(np.concatenate([slice_of(words, slices), slice_of(pairs, slices)]))
+    w, p = (np.searchsorted(slice_of(x, slices), np.append(found, slices)) for x in (words, pairs))
+    return [(int(s), slice(int(w[i]), int(w[i + 1])), slice(int(p[i]), int(p[i + 1]))) for i, s in enumerate(found)]
+
+
+def _packed(words: np.ndarray, pairs: np.ndarray, slices: int) -> list[tuple[int, bytes, bytes]]:
+    return [(s, pack_keys(words[w], _start(s, slices), False), pack_keys(pairs[p], _start(s, slices), True)) for s, w, p in _by_slice(words, pairs, slices)]
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.zeros(len(key), dtype=np.int64)
+    np.add.at(n, place, np.concatenate(counts))
+    return key, n
 
 
 COUNTED = "slice int, words binary, word_counts binary, n_words long, n_tokens long, size long, segment binary"
@@ -139,22 +157,24 @@ COUNTED = "slice int, words binary, word_counts binary, n_words long, n_tokens l
 def _count(texts: DataFrame, slices: int, config: LmConfig) -> DataFrame:
     """By slices of the keys' range: the words of all texts with their counts, and the segment of words and pairs
     with its size in bits."""
+    names = ("words", "pairs", "word_counts", "pair_counts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            rows = [(s, pack_keys(keys[at], _start(s, slices)), pack_counts(n[at])) for s, at in _by_slice(keys, slices)]
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]
-            return pa.RecordBatch.from_arrays(columns, names=["slice", "keys", "counts"])
+            words, pairs, _ = tokens(held)
+            (words, n), (pairs, m) = (np.unique(x, return_counts=True) for x in (words, pairs))
+            places = _by_slice(words, pairs, slices)
+            cells = [pa.array([x[k] for x in _packed(words, pairs, slices)], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            cells += [pa.array([pack_counts(n[w]) for _, w, _ in places], pa.binary()), pa.array([pack_counts(m[p]) for _, _, p in places], pa.binary())]
+            return pa.RecordBatch.from_arrays(cells, names=["slice", *names])
 
         for batch in batches:
-            for some in in_rounds(batch.column(0).to_pylist()):
-                words, pairs, _ = tokens(some)
-                held += [words, pairs]
-                size += 2 * len(words)
-                if size > 4_000_000:
+            for text in batch.column(0).to_pylist():
+                held.append(text)
+                size += len(text)
+                if size >= config.part_bytes:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -162,20 +182,17 @@ def _count(texts: DataFrame, slices: int, config: LmConfig) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         at = table["slice"][0].as_py()
-        keys = [unpack_keys(x, _start(at, slices)) for x in table["keys"].to_pylist()]
-        counts = [unpack_counts(x, len(k)) for x, k in zip(table["counts"].to_pylist(), keys, strict=True)]
-        key, place = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.zeros(len(key), dtype=np.int64)
-        np.add.at(n, place, np.concatenate(counts))
-        word = (key & np.uint64(1)) == 0
-        q = level(n, config.base)
+        start = _start(at, slices)
+        words, pairs = ([unpack_keys(x, start, kind) for x in table[c].to_pylist()] for c, kind in (("words", False), ("pairs", True)))
+        counts = ([unpack_counts(x, len(k)) for x, k in zip(table[c].to_pylist(), of, strict=True)] for c, of in (("word_counts", words), ("pair_counts", pairs)))
+        (words, n), (pairs, m) = (_summed(k, c) for k, c in zip((words, pairs), counts, strict=True))
+        q = level(np.concatenate([n, m]), config.base)
         size = max(64, int(q.sum()) * config.bits)
-        row = (at, pack_keys(key[word], _start(at, slices)), pack_counts(n[word]), int(word.sum()), int(n[word].sum()), size, segment_of(key, q, size, config.probes))
+        row = (at, pack_keys(words, start, False), pack_counts(n), len(n), int(n.sum()), size, segment_of(np.concatenate([words, pairs]), q, size, config.probes))
         types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        names = ("slice", "words", "word_counts", "n_words", "n_tokens", "size", "segment")
-        return pa.table({name: pa.array([x], t) for name, x, t in zip(names, row, types, strict=True)})
+        return pa.table({c.split()[0]: pa.array([x], t) for c, x, t in zip(COUNTED.split(", "), row, types, strict=True)})
 
-    return texts.mapInArrow(count, "slice int, keys binary, counts binary").groupBy("slice").applyInArrow(add, COUNTED)
+    return texts.mapInArrow(count, f"slice int, {', '.join(f'{n} binary' for n in names)}").groupBy("slice").applyInArrow(add, COUNTED)
 
 
 def _hashes(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,19 +241,21 @@ class Held:
     counts: np.ndarray
     probes: int
 
-    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Levels of sorted distinct keys, and the exact counts of the words among them."""
-        at = slice_of(keys, len(self.sizes))
-        return levels_in(keys, self.bits, self.starts[at], self.sizes[at], self.probes), exact(keys, self.words, self.counts)
+    def look(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Levels of distinct words and pairs, and the exact counts of the words."""
+        q = []
+        for keys in (words, pairs):
+            at = slice_of(keys, len(self.sizes))
+            q.append(levels_in(keys, self.bits, self.starts[at], self.sizes[at], self.probes))
+        return *q, exact(words, self.words, self.counts)
 
 
-def exact(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Counts of the words among ``keys``; ``words`` are sorted."""
-    mine = keys[(keys & np.uint64(1)) == 0]
+def exact(found: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of ``found`` among ``words``, which are sorted."""
     if not len(words):
-        return np.zeros(len(mine), dtype=np.int64)
-    at = np.minimum(np.searchsorted(words, mine), len(words) - 1)
-    return np.where(words[at] == mine, counts[at], 0)
+        return np.zeros(len(found), dtype=np.int64)
+    at = np.minimum(np.searchsorted(words, found), len(words) - 1)
+    return np.where(words[at] == found, counts[at], 0)
 
 
 @dataclass
@@ -259,7 +278,7 @@ class Counts:
         sizes, segments, words, counts = np.zeros(self.slices, dtype=np.int64), [b""] * self.slices, [], []
         for r in sorted(self.table.toLocalIterator(), key=lambda r: r.slice):
             sizes[r.slice], segments[r.slice] = r.size, bytes(r.segment)
-            words.append(unpack_keys(bytes(r.words), _start(r.slice, self.slices)))
+            words.append(unpack_keys(bytes(r.words), _start(r.slice, self.slices), False))
             counts.append(unpack_counts(bytes(r.word_counts), len(words[-1])))
         starts = 8 * np.cumsum([0, *map(len, segments)])[:-1]
         none = [np.zeros(0, np.uint64)]
@@ -281,17 +300,14 @@ def count(texts: DataFrame, config: LmConfig = LmConfig()) -> Counts:
 
 def measure(texts: list[bytes], look: Callable, size: int) -> tuple[list[np.ndarray], list[bytes]]:
     """([n_tokens, n_known, base score], levels of the word and the pair of each token in turn) of each text;
-    ``look`` gives levels and counts of the sorted distinct keys."""
+    ``look`` gives the levels of sorted distinct words and pairs, and the words' counts."""
     words, pairs, counts = tokens(texts)
-    keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-    levels, known = look(keys)
+    (words, of_word), (pairs, of_pair) = (np.unique(x, return_inverse=True) for x in (words, pairs))
+    q_words, q_pairs, n = look(words, pairs)
     first = np.cumsum(counts) - counts
-    n = np.zeros(len(keys), dtype=np.int64)
-    n[(keys & np.uint64(1)) == 0] = known
-    n = n[at[: len(words)]]
-    base = np.add.reduceat(np.log10((n + 1.0) / size), first)
-    q = np.stack([levels[at[: len(words)]], levels[at[len(words) :]]], axis=1)
-    return [counts, np.add.reduceat((n > 0).astype(np.int64), first), base], [x.tobytes() for x in np.split(q, first[1:])]
+    base = np.add.reduceat(np.log10((n + 1.0) / size)[of_word], first)
+    q = np.stack([q_words[of_word], q_pairs[of_pair]], axis=1)
+    return [counts, np.add.reduceat((n > 0).astype(np.int64)[of_word], first), base], [x.tobytes() for x in np.split(q, first[1:])]
 
 
 def _measured(table: pa.Table, names: list[str], measured: list, levels: str) -> pa.Table:
@@ -357,32 +373,34 @@ def _with_segments(docs: DataFrame, counts: Counts, names: list[str], levels: st
             cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(places) != 1)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True) if batch.num_rows else ():
                 words, pairs, _ = tokens(_texts(batch["text"].slice(a, b - a)))
-                keys = np.unique(np.concatenate([words, pairs]))
-                found = [(s, pack_keys(keys[at], _start(s, slices))) for s, at in _by_slice(keys, slices)]
+                found = _packed(np.unique(words), np.unique(pairs), slices)
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([parts[a]] * n, pa.int64()), pa.array([places[a]] * n, pa.int32()), pa.array([s for s, _ in found], pa.int32()), pa.array([k for _, k in found], pa.binary())], names=["part", "run", "slice", "keys"])
+                cells = [pa.array([parts[a]] * n, pa.int64()), pa.array([places[a]] * n, pa.int32())]
+                cells += [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(cells, names=["part", "run", "slice", "words", "pairs"])
 
     def probe(sent: pa.Table, segment: pa.Table) -> pa.Table:
-        if not sent.num_rows:
-            return sent.select(["part", "run", "slice", "keys"]).rename_columns(["part", "run", "slice", "levels"]).append_column("counts", pa.array([], pa.binary()))
-        start = _start(sent["slice"][0].as_py(), slices)
-        each = [unpack_keys(x, start) for x in sent["keys"].to_pylist()]
-        keys, at = np.unique(np.concatenate(each), return_inverse=True)
-        q, n, word = np.zeros(len(keys), dtype=np.uint8), np.zeros(len(keys), dtype=np.int64), (keys & np.uint64(1)) == 0
-        if segment.num_rows:
-            words = unpack_keys(segment["words"][0].as_py(), start)
-            q = levels_in(keys, np.frombuffer(segment["segment"][0].as_py(), np.uint8), 0, segment["size"][0].as_py(), config.probes)
-            n[word] = exact(keys, words, unpack_counts(segment["word_counts"][0].as_py(), len(words)))
-        ends = np.cumsum([len(x) for x in each])
-        out_levels, out_counts = [], []
-        for i in np.split(at, ends[:-1]):
-            out_levels.append(q[i].tobytes())
-            out_counts.append(pack_counts(n[i[word[i]]]))
-        return sent.select(["part", "run", "slice"]).append_column("levels", pa.array(out_levels, pa.binary())).append_column("counts", pa.array(out_counts, pa.binary()))
-
-    keys = rows.select(part, place, "text").mapInArrow(send, "part long, run int, slice int, keys binary")
+        out = {"words": [], "pairs": [], "counts": []}
+        if sent.num_rows:
+            start, known, counted = _start(sent["slice"][0].as_py(), slices), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if segment.num_rows:
+                known = unpack_keys(segment["words"][0].as_py(), start, False)
+                counted = unpack_counts(segment["word_counts"][0].as_py(), len(known))
+                bits, n_bits = np.frombuffer(segment["segment"][0].as_py(), np.uint8), segment["size"][0].as_py()
+            for kind, pair in (("words", False), ("pairs", True)):
+                each = [unpack_keys(x, start, pair) for x in sent[kind].to_pylist()]
+                keys, at = np.unique(np.concatenate(each), return_inverse=True)
+                q = levels_in(keys, bits, 0, n_bits, config.probes) if segment.num_rows else np.zeros(len(keys), dtype=np.uint8)
+                n = None if pair else exact(keys, known, counted)
+                for i in np.split(at, np.cumsum([len(x) for x in each])[:-1]):
+                    out[kind].append(q[i].tobytes())
+                    if not pair:
+                        out["counts"].append(pack_counts(n[i]))
+        return pa.table({c: sent[c] for c in ("part", "run", "slice")} | {c: pa.array(x, pa.binary()) for c, x in out.items()})
+
+    keys = rows.select(part, place, "text").mapInArrow(send, "part long, run int, slice int, words binary, pairs binary")
     segments = counts.table.select("slice", "words", "word_counts", "size", "segment")
-    answers = keys.groupBy("slice").cogroup(segments.groupBy("slice")).applyInArrow(probe, "part long, run int, slice int, levels binary, counts binary")
+    answers = keys.groupBy("slice").cogroup(segments.groupBy("slice")).applyInArrow(probe, "part long, run int, slice int, words binary, pairs binary, counts binary")
 
     def put_back(mine: pa.Table, got: pa.Table) -> pa.Table:
         mine = mine.sort_by(place)
@@ -394,11 +412,10 @@ def _with_segments(docs: DataFrame, counts: Counts, names: list[str], levels: st
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             upto = firsts[k + 1] if k + 1 < len(firsts) else mine.num_rows
 
-            def look(keys: np.ndarray, a: int = a, b: int = b) -> tuple[np.ndarray, np.ndarray]:
-                found = [(s, at) for s, at in _by_slice(keys, slices)]
-                n_words = [int((keys[at] & np.uint64(1) == 0).sum()) for _, at in found]
-                packed = got["counts"].slice(a, b - a).to_pylist()
-                return np.frombuffer(b"".join(got["levels"].slice(a, b - a).to_pylist()), np.uint8), np.concatenate([unpack_counts(x, n) for x, n in zip(packed, n_words, strict=True)])
+            def look(words: np.ndarray, pairs: np.ndarray, a: int = a, b: int = b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                q = [np.frombuffer(b"".join(got[c].slice(a, b - a).to_pylist()), np.uint8) for c in ("words", "pairs")]
+                sizes = map(len, got["words"].slice(a, b - a).to_pylist())
+                return *q, np.concatenate([unpack_counts(x, n) for x, n in zip(got["counts"].slice(a, b - a).to_pylist(), sizes, strict=True)])
 
             measured.append(measure(_texts(mine["text"].slice(firsts[k], upto - firsts[k])), look, size))
         return _measured(mine, names, measured, levels)
@@ -439,8 +456,8 @@ def fit_mixture(found: DataFrame, counts: Counts, rounds: int = 30) -> np.ndarra
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                run, before, pair, word, _ = steps_of(batch.column(0).to_pylist())
+            for some in in_rounds(batch.column(0).to_pylist(), ROUND):
+                run, before, pair, word, _ = steps_of(some)
                 cells, n = np.unique(((run * LEVELS + before) * LEVELS + pair) * LEVELS + word, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
@@ -461,12 +478,13 @@ def score_levels(found: DataFrame, counts: Counts, mixture: np.ndarray) -> DataF
 
     @F.pandas_udf("double")
     def score(levels: pd.Series) -> pd.Series:
-        if not len(levels):
-            return pd.Series([], dtype=float)
-        *steps, counts = steps_of(list(levels))
-        state, pair_share, word_share = shares(*steps, size, base)
-        each = np.log10(mixture[state] * pair_share + (1 - mixture[state]) * word_share)
-        return pd.Series(np.add.reduceat(each, np.cumsum(counts) - counts))
+        out = [np.zeros(0)]
+        for some in in_rounds(levels, ROUND):
+            *steps, n = steps_of(some)
+            state, pair_share, word_share = shares(*steps, size, base)
+            each = np.log10(mixture[state] * pair_share + (1 - mixture[state]) * word_share)
+            out.append(np.add.reduceat(each, np.cumsum(n) - n))
+        return pd.Series(np.concatenate(out))
 
     total = F.lit(counts.n_tokens).cast("long").alias("train_tokens")
     return found.select(*(F.col(f"`{c}`") for c in found.columns[:-1]), total, score(F.col(f"`{column}`")).alias("score"))

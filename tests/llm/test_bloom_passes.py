@@ -16,8 +16,8 @@ def rounded(scored):
 
 def test_pairs_seen_once_are_kept(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta")] + [(i, f"word{i} other{i} alpha") for i in range(2, 400)], "doc_id long, text string")
-    _, pairs, _ = bloom_lm.tokens([b"alpha beta gamma delta"])
-    levels, _ = bloom_lm.count(docs).held().look(np.unique(pairs))
+    words, pairs, _ = bloom_lm.tokens([b"alpha beta gamma delta"])
+    _, levels, _ = bloom_lm.count(docs).held().look(np.unique(words), np.unique(pairs))
     assert all(levels >= 1)
 
 
@@ -43,12 +43,14 @@ def test_slices_change_no_score(spark):
 
 
 def test_keys_and_counts_travel_whole():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64))
-    for slices in (1, 3, 97):
-        for s, at in bloom_lm._by_slice(keys, slices):
+    words = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64)) & ~np.uint64(1)
+    pairs = np.unique(words * np.uint64(5) & ~bloom_lm.LOW | np.uint64(1))
+    for slices in (1, 3, 97, 40_000):
+        places = bloom_lm._by_slice(words, pairs, slices)
+        for (s, w, p), (t, packed_words, packed_pairs) in zip(places, bloom_lm._packed(words, pairs, slices), strict=True):
             start = bloom_lm._start(s, slices)
-            assert (bloom_lm.unpack_keys(bloom_lm.pack_keys(keys[at], start), start) == keys[at]).all()
-        assert sum(at.stop - at.start for _, at in bloom_lm._by_slice(keys, slices)) == len(keys)
+            assert s == t and (bloom_lm.unpack_keys(packed_words, start, False) == words[w]).all() and (bloom_lm.unpack_keys(packed_pairs, start, True) == pairs[p]).all()
+        assert sum(w.stop - w.start for _, w, _ in places) == len(words) and sum(p.stop - p.start for _, _, p in places) == len(pairs)
     counts = np.array([1, 254, 255, 256, 2**40, 3])
     assert (bloom_lm.unpack_counts(bloom_lm.pack_counts(counts), 6) == counts).all()
 

@@ -7,7 +7,9 @@ index vector derived from its number.  A bucket's word vector is the sum of the
 its word vectors.  A two-layer network in numpy learns from a bounded sample of labelled rows, and a
 temperature fitted on a part held back from them calibrates its probabilities.
 
-Null and empty texts are the zero vector and get the network's answer to it.  Texts are read whole.
+Null and empty texts are the zero vector and get the network's answer to it.  Texts are read whole.  Labels of a
+null id teach nothing; rows that repeat a labelled id teach once, by the smallest text.  Repeated rows are scored
+alike.  A column named like the score is replaced.  Without labels every score is a half or nearly so.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,21 +105,20 @@ def _add_contexts(total: np.ndarray, tokens: np.ndarray, places: np.ndarray, sig
 def word_vectors(docs: DataFrame, config: QualityConfig = QualityConfig()) -> np.ndarray:
     """The bucket x dims table of unit word vectors over all of ``docs``.
 
-    Each task sums its own documents into one table; slices of the tables are added in two levels, so that no
-    task gathers more than a share of them.  The table that reaches the driver has a fixed size.
+    Each task sums its own documents into one table; slices of the tables are added up a tree of 64 branches a
+    level, so that no task gathers many of them.  The table that reaches the driver has a fixed size.
     """
-    slices, salts = 64, 32
+    slices, branches = 64, 64
     per_slice = config.buckets * config.dims // slices
     schema = "slice int, salt int, part binary"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, (places, signs) = Reader(config), index_vectors(config)
-        total, held, size, mix = np.zeros(config.buckets * config.dims), [], 0, 0
+        total, held, size = np.zeros(config.buckets * config.dims), [], 0
         for pdf in batches:
             for text in pdf["text"]:
                 held += [reader.read(text), np.array([-1])]
                 size += len(held[-2])
-                mix = (mix * 31 + size) & 0xFFFF
                 if size > 1_000_000:
                     _add_contexts(total, np.concatenate(held), places, signs, config)
                     held, size = [], 0
@@ -124,15 +126,17 @@ def word_vectors(docs: DataFrame, config: QualityConfig = QualityConfig()) -> np
             _add_contexts(total, np.concatenate(held), places, signs, config)
         parts = total.reshape(slices, per_slice)
         full = [i for i in range(slices) if parts[i].any()]
-        yield pd.DataFrame({"slice": full, "salt": mix % salts, "part": [parts[i].tobytes() for i in full]})
+        yield pd.DataFrame({"slice": full, "salt": TaskContext.get().partitionId() // branches, "part": [parts[i].tobytes() for i in full]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(per_slice)
         for part in pdf["part"]:
             total += np.frombuffer(part)
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "salt": 0, "part": [total.tobytes()]})
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "salt": pdf["salt"].iloc[:1] // branches, "part": [total.tobytes()]})
 
-    parts = docs.select("text").mapInPandas(count, schema).groupBy("slice", "salt").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
+    parts = docs.select("text").mapInPandas(count, schema)
+    for keys in (["slice", "salt"], ["slice", "salt"], ["slice"]):
+        parts = parts.groupBy(*keys).applyInPandas(add, schema)
     table = np.zeros((slices, per_slice))
     for i, part in parts.select("slice", "part").toPandas().itertuples(index=False):
         table[i] = np.frombuffer(part)
@@ -218,7 +222,8 @@ def train(docs: DataFrame, labelled: DataFrame, config: QualityConfig = QualityC
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [pooled(reader.read(t), held.value) for t in pdf["text"]]})
 
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(pool, "doc_id long, quality int, x array<double>").limit(2 * config.max_train_rows).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = rows.mapInPandas(pool, "doc_id long, quality int, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     return fit(np.array(got["x"].tolist()), got["quality"].to_numpy(), vectors, config)
 

@@ -3,12 +3,16 @@
 A linear model over the distinct words of a text and their beginnings, which inflected words share.  Three
 steps fit it on a bounded sample of labelled rows: words and beginnings with a clear difference between the
 classes become features; an L1 logistic regression picks those that matter; a ridge regression on these gives
-the weights.  The number of distinct words is a feature too, so that one stray hit in a long text counts less.  Both regressions carry the counterfactual
-penalty: identity terms of one group are swapped in the labelled sentences, and the squared change of the
-score that each swap makes is added to the loss.  So a term that stands in toxic sentences only because it
-names a group gets no weight of its own.
-
-Null and empty texts have no words and get the model's score of an empty text.  Texts are read whole.
+the weights.  The number of distinct words is a feature too, so that one stray hit in a long text counts less.
+Both regressions carry the counterfactual penalty: each identity term of each labelled sentence is swapped for
+another of its group, and the mean squared change that the swaps make to the sentences' scores (before the
+logistic curve) is added to the loss.  So a term that stands in toxic sentences only because it names a group
+gets no weight of its own.
+
+Null and empty texts have no words and get the model's score of an empty text.  Texts are read whole.  Labels of
+a null id teach nothing; rows that repeat a labelled id teach once, by the smallest text.  Repeated rows are scored
+alike.  A column named like the score is replaced.  Without labels, or with those of one class, the score is a
+constant.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,8 +80,8 @@ IDENTITY_GROUPS = (
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """max_train_rows bounds the labelled rows used to fit, max_features the features weighed; clear is the least difference between the classes, in
-    standard errors, that makes a word or word beginning a feature."""
+    """max_train_rows bounds the labelled rows used to fit, max_features the features weighed; clear is the least
+    difference between the classes, in standard errors, that makes a word or word beginning a feature."""
 
     max_train_rows: int = 8192
     max_features: int = 768
@@ -125,29 +130,48 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def swaps(text: str, config: ToxicityConfig) -> list[tuple[str, str]]:
-    """(term, its stand-in) for each identity term in each sentence of a text, the stand-in chosen by a hash
-    of the sentence among the other terms of the group; all distinct ones."""
-    group_of = {t: g for g in config.groups for t in g}
-    found: dict[tuple[str, str], None] = {}
+@lru_cache(maxsize=8)
+def _group_of(groups: tuple[tuple[str, ...], ...]) -> dict[str, tuple[str, ...]]:
+    return {t: g for g in groups for t in g}
+
+
+def swaps(text: str, config: ToxicityConfig) -> list[tuple[set[str], str, str]]:
+    """(words of the sentence, term, stand-in) for each identity term in each sentence of a text; the stand-in is
+    chosen by a hash of the sentence among the other terms of the group."""
+    group_of = _group_of(config.groups)
+    found = []
     for sentence in SENTENCE.split(text.lower()):
-        for term in group_of.keys() & set(WORD.findall(sentence)):
+        words = set(WORD.findall(sentence))
+        for term in sorted(group_of.keys() & words):
             others = [t for t in group_of[term] if t != term]
             if others:
-                found[term, others[zlib.crc32(sentence.encode("utf-8", "surrogatepass")) % len(others)]] = None
-    return sorted(found)
+                found.append((words, term, others[zlib.crc32(sentence.encode("utf-8", "surrogatepass")) % len(others)]))
+    return found
+
+
+def change_of(words: set[str], term: str, other: str, place: dict[str, int], config: ToxicityConfig) -> np.ndarray:
+    """What a swap changes in the features of a sentence with these words."""
+    out = np.zeros(len(place))
+    after = (words - {term}) | {other}
+    was, now = counts_of(words, config), counts_of(after, config)
+    was[LENGTH], now[LENGTH] = len(words), len(after)
+    for f in {*features_of(term, config), *features_of(other, config), LENGTH}:
+        if f in place:
+            out[place[f]] = math.log2(1 + now[f]) - math.log2(1 + was[f])
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _sparse_fit(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, config: ToxicityConfig, rounds: int = 200) -> np.ndarray:
-    """Accelerated proximal gradient: logistic loss + L1 + counterfactual penalty; the weights, without bias."""
+def _sparse_fit(x: np.ndarray, y: np.ndarray, swap: np.ndarray, config: ToxicityConfig, rounds: int = 200) -> np.ndarray:
+    """Accelerated proximal gradient: logistic loss + L1 + counterfactual penalty; the weights, without bias.
+    ``swap`` is the mean outer product of the swaps' changes."""
     n = len(y)
     probe = np.ones(x.shape[1])
     for _ in range(12):
-        probe = x.T @ (x @ probe) / (4 * n) + 2 * config.counterfactual * swapped.T @ (swapped @ probe)
+        probe = x.T @ (x @ probe) / (4 * n) + 2 * config.counterfactual * swap @ probe
         size = np.linalg.norm(probe) or 1.0
         probe /= size
     step = 1 / (1.1 * size + 0.25)
@@ -155,7 +179,7 @@ def _sparse_fit(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, config: Toxic
     v, vb, t = w, b, 1.0
     for _ in range(rounds):
         gap = _sigmoid(x @ v + vb) - y
-        new = v - step * (x.T @ gap / n + 2 * config.counterfactual * swapped.T @ (swapped @ v))
+        new = v - step * (x.T @ gap / n + 2 * config.counterfactual * (swap @ v))
         new = np.sign(new) * np.maximum(np.abs(new) - step * config.l1, 0)
         new_b, t2 = vb - step * gap.mean(), (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
@@ -163,12 +187,12 @@ def _sparse_fit(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, config: Toxic
     return w
 
 
-def _ridge_fit(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, config: ToxicityConfig, rounds: int = 30) -> tuple[float, np.ndarray]:
+def _ridge_fit(x: np.ndarray, y: np.ndarray, swap: np.ndarray, config: ToxicityConfig, rounds: int = 30) -> tuple[float, np.ndarray]:
     """Newton steps for logistic loss + ridge + counterfactual penalty."""
     n, k = x.shape
     x1 = np.hstack([x, np.ones((n, 1))])
     fixed = np.zeros((k + 1, k + 1))
-    fixed[:k, :k] = config.ridge * np.eye(k) + 2 * config.counterfactual * swapped.T @ swapped
+    fixed[:k, :k] = config.ridge * np.eye(k) + 2 * config.counterfactual * swap
     w = np.zeros(k + 1)
     w[k] = np.log(y.mean() / (1 - y.mean()))
     loss = lambda w: np.mean(np.logaddexp(0, x1 @ w) - y * (x1 @ w)) + w @ fixed @ w / 2
@@ -189,25 +213,18 @@ def counts_of(words: set[str], config: ToxicityConfig) -> Counter:
     return Counter(f for w in words for f in features_of(w, config))
 
 
-def fit(names: list[str], x: np.ndarray, labels: np.ndarray, pairs: Counter, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fits the model: ``x`` has a row for each labelled text and a column for each feature of ``names``; one
-    class alone, or no feature, gives a constant."""
+def fit(names: list[str], x: np.ndarray, labels: np.ndarray, swap: np.ndarray, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """Fits the model: ``x`` has a row for each labelled text and a column for each feature of ``names``, ``swap``
+    is the mean outer product of the changes that swaps make; one class alone, or no feature, gives a constant."""
     y = np.asarray(labels, dtype=float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     constant = ToxicityModel(float(np.log(share / (1 - share))), {}, config)
     if not len(y) or y.min() == y.max() or len(names) < 2:
         return constant
-    place = {f: i for i, f in enumerate(names)}
-    swapped = np.zeros((len(pairs), len(names)))
-    for i, ((term, other), n) in enumerate(sorted(pairs.items())):
-        for word, sign in ((term, 1.0), (other, -1.0)):
-            for f in features_of(word, config):
-                if f in place:
-                    swapped[i, place[f]] += sign * math.sqrt(n / pairs.total())
-    kept = np.flatnonzero(np.abs(_sparse_fit(x, y, swapped, config)) > 1e-6)
+    kept = np.flatnonzero(np.abs(_sparse_fit(x, y, swap, config)) > 1e-6)
     if not len(kept):
         return constant
-    bias, w = _ridge_fit(x[:, kept], y, swapped[:, kept], config)
+    bias, w = _ridge_fit(x[:, kept], y, swap[np.ix_(kept, kept)], config)
     return ToxicityModel(bias, {names[i]: float(v) for i, v in zip(kept.tolist(), w, strict=True)}, config)
 
 
@@ -221,7 +238,7 @@ def train(docs: DataFrame, labelled: DataFrame, config: ToxicityConfig = Toxicit
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if n_toxic in (0, n):
-        return fit([], np.zeros((n, 0)), np.repeat(n_toxic > 0, n), Counter(), config)
+        return fit([], np.zeros((n, 0)), np.repeat(n_toxic > 0, n), np.zeros((0, 0)), config)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -241,24 +258,40 @@ def train(docs: DataFrame, labelled: DataFrame, config: ToxicityConfig = Toxicit
     best = tallied.where(F.col("n") >= config.min_rows).withColumn("clear", clear).where(F.col("clear") >= config.clear)
     names = [r.feature for r in best.orderBy(F.desc("clear"), "feature").limit(config.max_features).collect()] + [LENGTH]
 
+    place = {f: i for i, f in enumerate(names)}
+
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, times, pairs, lengths = [], [], [], []
+            at, times, lengths = [], [], []
             for text in pdf["text"]:
                 words = set(WORD.findall((text or "").lower()))
                 found = counts_of(words, config)
                 at.append([i for i, f in enumerate(names) if f in found])
                 times.append([found[names[i]] for i in at[-1]])
-                pairs.append([list(p) for p in swaps(text or "", config)])
                 lengths.append(len(words))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": at, "times": times, "swaps": pairs, "words": lengths})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": at, "times": times, "words": lengths})
 
-    got = rows.mapInPandas(reduce, "doc_id long, toxic int, at array<int>, times array<int>, swaps array<array<string>>, words int").toPandas().sort_values(["doc_id", "words"], kind="stable")
+    def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((len(names), len(names))), 0
+        for pdf in batches:
+            for text in pdf["text"]:
+                each = [change_of(*s, place, config) for s in swaps(text or "", config)]
+                n += len(each)
+                for d in each:
+                    moved = np.flatnonzero(d)
+                    total[np.ix_(moved, moved)] += np.outer(d[moved], d[moved])
+        if n:
+            yield pd.DataFrame({"total": [total.tobytes()], "n": [n]})
+
+    got = rows.mapInPandas(reduce, "doc_id long, toxic int, at array<int>, times array<int>, words int").toPandas().sort_values(["doc_id", "words"], kind="stable")
     x = np.zeros((len(got), len(names)))
     for i, (at, times) in enumerate(zip(got["at"], got["times"], strict=True)):
         x[i, at] = np.log2(1 + np.asarray(times, dtype=float))
     x[:, -1] = np.log2(1 + got["words"].to_numpy(dtype=float))
-    return fit(names, x, got["toxic"].to_numpy(), Counter(tuple(p) for row in got["swaps"] for p in row), config)
+    # The sample is bounded, so eight tasks do for it, and as many matrices of fixed size come back.
+    changed = rows.select("text").coalesce(8).mapInPandas(change, "total binary, n long").collect()
+    swap = sum((np.frombuffer(r.total).reshape(len(names), -1) for r in changed), np.zeros((len(names), len(names)))) / max(1, sum(r.n for r in changed))
+    return fit(names, x, got["toxic"].to_numpy(), swap, config)
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> DataFrame:

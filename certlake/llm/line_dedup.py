@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certlake.llm.common import materialize
+from certlake.llm.common import materialize, spare
 
 BLANKS = " \t\r"
 
@@ -53,17 +53,21 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", config: LineConfig =
     is the new length.  Other columns stay."""
     found = materialize(boilerplate(docs, host, config), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__drop"))
+    at, drop, lines, kept = (spare(docs.columns, name) for name in ("host_name", "drop", "lines", "kept"))
+    found = found.select(F.col("host").alias(at), F.col("lines").alias(drop))
     # Beyond the bound a merge join, in which Spark splits the partitions of hot hosts.
     found = F.broadcast(found) if size <= config.broadcast_lines else found.hint("merge")
-    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains("__drop", _key(x))))
-    out = docs.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(found, "__host", "left")
-    out = out.withColumn("__lines", F.split("text", "\n")).withColumn("__kept", kept)
-    out = out.withColumn("n_lines_dropped", F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long"))
-    text = F.when(F.col("n_lines_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col("text"))
+    stays = F.filter(lines, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains(drop, _key(x)))
+    out = docs.withColumn(at, F.coalesce(F.col(host).cast("string"), F.lit(""))).join(found, at, "left")
+    out = out.withColumn(lines, F.split("text", "\n")).withColumn(kept, F.when(F.col(drop).isNull(), F.col(lines)).otherwise(stays))
+    dropped = F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long")
+    text = F.when(dropped > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     names = [c for c in docs.columns if c != "n_lines_dropped"]
-    cells = {"text": text.alias("text")} | ({"n_chars": F.when(F.col("n_lines_dropped") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in names else {})
-    return out.select(*(cells.get(c, F.col(f"`{c}`")) for c in names), "n_lines_dropped")
+    cells = {"text": text.alias("text")}
+    if "n_chars" in names:
+        n_chars = F.when(dropped > 0, F.length(text)).otherwise(F.col("n_chars"))
+        cells["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(cells.get(c, F.col(f"`{c}`")) for c in names), dropped.alias("n_lines_dropped"))
 
 
 # The same in DuckDB's SQL, over the table that {docs} names.

@@ -4,16 +4,20 @@ Texts are lower-cased and split at white space; a document is the set of its run
 
 1. Documents with equal sets form one class, so copies are carried once with their number.
 2. Each class has ``bands`` hashes of ``rows`` minima each, numbers chosen for a target recall at the
-   threshold.  Classes are shuffled on band hashes; only hashes of two classes or more go on.
-3. A bucket gives no pairs but a star of its members, and stars that touch make a cluster.  Clusters are dealt
-   in blocks of bounded size, and every two blocks of a cluster meet in one task, which counts shared n-grams
-   of whole sets.  A task returns a row for each class: its links, and the smallest class that it reaches.
-4. Links are summed and reached classes closed to components; every document gets its class's result.
+   threshold.  Classes are shuffled on band hashes; only hashes of two classes or more go on, and of buckets with
+   the same members only one.
+3. A bucket gives no pairs: its members are compared by sketches of their minima, a byte each, and a member gets
+   one edge, to the smallest that it reaches over likely pairs.  So texts that share a band by chance chain no
+   clusters.  A bucket of more than ``dense`` members gives a star instead.  Edges that touch make a cluster.
+4. Clusters are dealt in blocks of bounded size, and every two blocks of a cluster meet in one task, which counts
+   shared n-grams of whole sets.  A task returns a row for each class: its links, and the smallest class that it
+   reaches.
+5. Links are summed and reached classes closed to components; every document gets its class's result.
 
 ``doc_id`` names a document: rows that repeat an id are that document again, and where their texts differ the
 smallest counts.  Null and empty texts, texts without words and rows without an id link with nothing and are
-kept; a null id has a null class.  Very long
-texts are sets like others.  An empty table gives an empty result.
+kept; a null id has a null class.  Very long texts are sets like others.  Other columns take no part.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,13 +37,17 @@ from certlake.llm.words import in_rounds, mix, shingle_sets
 @dataclass(frozen=True)
 class JoinConfig:
     """Pairs of ``similarity`` (a fraction, as two whole numbers) or more are links.  A pair at the threshold
-    shares a band with probability ``recall`` at least.  ``block`` and ``block_grams`` bound the classes of one
-    block and their n-grams together."""
+    shares a band with probability ``recall`` at least.  Pairs whose sketches agree on a share ``slack`` standard
+    errors below the similarity are likely ones.  ``block`` and ``block_grams`` bound the classes of one block and
+    their n-grams together."""
 
     words: int = 5
     similarity: tuple[int, int] = (4, 5)
     rows: int = 5
-    recall: float = 0.9999
+    recall: float = 0.99999
+    slack: float = 5.0
+    small: int = 32
+    dense: int = 512
     block: int = 512
     block_grams: int = 500_000
     seed: int = 29
@@ -50,29 +58,40 @@ class JoinConfig:
         share = (self.similarity[0] / self.similarity[1]) ** self.rows
         return int(np.ceil(np.log(1 - self.recall) / np.log(1 - share)))
 
+    @property
+    def likely(self) -> int:
+        """The fewest equal places of two sketches."""
+        share, places = self.similarity[0] / self.similarity[1], self.bands * self.rows
+        return int(np.floor(share * places - self.slack * np.sqrt(share * (1 - share) * places)))
+
 
-def _minima(values: np.ndarray, starts: np.ndarray, config: JoinConfig) -> np.ndarray:
-    """Band hashes of non-empty sets laid out one after another: a row for each set."""
+def _minima(values: np.ndarray, starts: np.ndarray, config: JoinConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes and sketches of non-empty sets laid out one after another: a row for each set."""
     draw = np.random.default_rng(config.seed)
     keys = draw.integers(1, 1 << 32, (config.bands * config.rows, 2), dtype=np.uint64).astype(np.uint32)
     short = (values >> np.uint64(32)).astype(np.uint32)
     out = np.zeros((len(starts), config.bands), dtype=np.uint64)
+    sketch = np.zeros((config.bands * config.rows, len(starts)), dtype=np.uint8)
     for band in range(config.bands):
         total = np.full(len(starts), band + 1, dtype=np.uint64)
-        for flip, times in keys[band * config.rows : (band + 1) * config.rows]:
+        for row in range(band * config.rows, (band + 1) * config.rows):
+            flip, times = keys[row]
             turned = (short ^ flip) * (times | np.uint32(1))
             turned ^= turned >> np.uint32(15)
-            total = mix(total ^ np.minimum.reduceat(turned * np.uint32(0x2C1B3C6D), starts).astype(np.uint64))
+            least = np.minimum.reduceat(turned * np.uint32(0x2C1B3C6D), starts)
+            sketch[row] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            total = mix(total ^ least.astype(np.uint64))
         out[:, band] = total
-    return out
+    return out, np.ascontiguousarray(sketch.T)
 
 
 OTHER = 0xD6E8FEB86659FD93  # tells the second naming hash from the first
-SIGNED = "doc_id long, k1 long, k2 long, n int, bands array<long>"
+SIGNED = "doc_id long, k1 long, k2 long, n int, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """(doc_id, k1, k2, n, bands): 128 bits that name the set, its size, and band hashes; null bands for no set."""
+    """(doc_id, k1, k2, n, bands, sketch): 128 bits that name the set, its size, band hashes and a byte of each
+    minimum; both are empty for no set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,22 +103,64 @@ def signatures(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
                 k = np.zeros((2, len(texts)), dtype=np.uint64)
                 if len(full):
                     k[0, full], k[1, full] = np.add.reduceat(mix(values + np.uint64(1)), starts), np.add.reduceat(mix(values ^ np.uint64(OTHER)), starts)
-                bands = _minima(values, starts, config).view(np.int64) if len(full) else np.zeros((0, config.bands), dtype=np.int64)
+                bands, sketch = _minima(values, starts, config) if len(full) else (np.zeros((0, config.bands), dtype=np.uint64), [])
+                sketches = [b""] * len(texts)
+                for i, x in zip(full, sketch, strict=True):
+                    sketches[i] = x.tobytes()
                 offsets = np.zeros(len(texts) + 1, dtype=np.int32)
                 offsets[1:] = np.cumsum(np.where(sizes > 0, config.bands, 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(x.view(np.int64)) for x in k), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))], names=["doc_id", "k1", "k2", "n", "bands"])
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.view(np.int64).ravel()))
+                cells = [batch.column(0).slice(at, len(texts)), *(pa.array(x.view(np.int64)) for x in k), pa.array(sizes.astype(np.int32)), listed, pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "k1", "k2", "n", "bands", "sketch"])
                 at += len(texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").cast("binary").alias("text")).mapInArrow(sign, SIGNED)
 
 
-
-def _clusters(classes: DataFrame) -> DataFrame:
-    """(rep, cluster) of all classes that share a band with another: stars within buckets, then components."""
+def _clusters(classes: DataFrame, config: JoinConfig) -> DataFrame:
+    """(rep, cluster) of the classes that may link with another: edges within buckets, then components."""
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1").select("band", "centre")
-    star = banded.join(shared.hint("merge"), "band").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    return components(star).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    who = F.xxhash64("rep")
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("members"), F.bit_xor(who).alias("x"), F.sum(F.shiftright(who, 16)).alias("y")).where("members > 1")
+    shared = buckets.groupBy("centre", "members", "x", "y").agg(F.min("band").alias("band")).select("band", "centre", "members")
+    met = materialize(banded.join(shared.hint("merge"), "band"), "met")
+    star = met.where((F.col("members") > config.dense) & (F.col("rep") != F.col("centre"))).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    few = met.where(F.col("members") <= config.dense)
+    tasks = max(1, few.count() // 8192)
+    bundled = few.withColumn("task", F.pmod(F.xxhash64("band"), F.lit(tasks))).join(classes.select("rep", "sketch").hint("merge"), "rep")
+    likely = bundled.select("task", "band", "rep", "sketch").groupBy("task").applyInArrow(lambda table: _likely(table, config), "a long, b long")
+    return components(star.unionByName(likely).distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
+def _likely(table: pa.Table, config: JoinConfig) -> pa.Table:
+    """(a, b): each class with the smallest that it reaches over likely pairs of its bucket."""
+    rep, band = table["rep"].to_numpy(), table["band"].to_numpy()
+    order = np.lexsort((rep, band))
+    rep, band = rep[order], band[order]
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)[order]
+    cuts = np.flatnonzero(np.diff(band, prepend=band[:1] - 1) != 0)
+    members = np.repeat(np.diff(np.append(cuts, len(band))), np.diff(np.append(cuts, len(band))))
+    pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    few = np.flatnonzero(members <= config.small)
+    for apart in range(1, config.small):
+        a, b = few[:-apart], few[apart:]
+        same = band[a] == band[b]
+        a, b = a[same], b[same]
+        for at in range(0, len(a), 100_000):
+            x, y = a[at : at + 100_000], b[at : at + 100_000]
+            near = (sketch[x] == sketch[y]).sum(axis=1) >= config.likely
+            pairs.append((x[near], y[near]))
+    for start in cuts[members[cuts] > config.small].tolist():
+        here = slice(start, start + int(members[start]))
+        equal = np.zeros((members[start], members[start]), dtype=np.int16)
+        for column in sketch[here].T:
+            equal += column[:, None] == column[None, :]
+        x, y = np.nonzero(np.triu(equal >= config.likely, 1))
+        pairs.append((x + start, y + start))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    low = _lowest(len(rep), a, b, rep)
+    moved = low != rep
+    return pa.table({"a": pa.array(rep[moved], pa.int64()), "b": pa.array(low[moved], pa.int64())})
 
 
 def _pairs_within(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, config: JoinConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +259,8 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
 
 def _classes(texts: DataFrame, signed: DataFrame, config: JoinConfig) -> DataFrame:
     """(k1, k2, n, class_id, n_links) of each distinct set."""
-    classes = materialize(signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    clusters = materialize(_clusters(classes).join(classes.select("rep", "copies", "n"), "rep"), "clusters")
+    classes = materialize(signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    clusters = materialize(_clusters(classes, config).join(classes.select("rep", "copies", "n"), "rep"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(config.block)), F.ceil(F.sum("n") / F.lit(config.block_grams))).cast("long").alias("blocks"))
     placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     total, grams = clusters.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()

@@ -20,9 +20,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from certlake.llm.bpe import encoder_of, hold
-from certlake.llm.common import materialize
+from certlake.llm.common import materialize, spare
 
 PIECE = "struct<piece int, start long, length long, ids_crc32 long, ids array<long>>"
 
@@ -82,22 +83,25 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(pieces: DataFrame, config: PackingConfig = PackingConfig()) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; ``length`` must lie between 1 and the capacity.
+    """``pieces`` with ``sequence_id`` and ``offset``; ``length`` must lie between 1 and the capacity.  Other columns
+    stay, but for those named like the new ones, which are replaced.
 
     The rows are first written to the shared folder, so that the random deal is the same in every attempt of a
     task.
     """
+    pieces = pieces.drop("sequence_id", "offset")
+    of = spare(pieces.columns, "shard")
     rows = materialize(pieces, "pieces")
     shards = max(1, -(-rows.count() // config.shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    dealt = rows.withColumn(of, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
     def shard(table: pa.Table) -> pa.Table:
         sequence, offset = place(table["length"].to_numpy(), config.capacity)
-        first = table["shard"][0].as_py() << 32 if table.num_rows else 0
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
+        first = table[of][0].as_py() << 32 if table.num_rows else 0
+        return table.drop_columns([of]).append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return dealt.groupBy("shard").applyInArrow(shard, f"{fields}, sequence_id long, offset long")
+    placed = StructType([*rows.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return dealt.groupBy(of).applyInArrow(shard, placed)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, config: PackingConfig = PackingConfig(), with_ids: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certlake.llm.common import materialize
+from certlake.llm.common import materialize, spare
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -276,7 +276,8 @@ def extract(pages: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
     """``pages`` (url, html and any other columns) with ``text`` and ``n_chars``."""
     known = materialize(branches(pages, config), "branches")
     size = known.agg(F.coalesce(F.sum(F.size("removed") + F.size("kept")), F.lit(0))).first()[0]
-    known = known.select(F.col("host").alias("__host"), F.col("removed").alias("__removed"), F.col("kept").alias("__kept"))
+    at, gone, stay = (spare(pages.columns, name) for name in ("host", "removed", "kept"))
+    known = known.select(F.col("host").alias(at), F.col("removed").alias(gone), F.col("kept").alias(stay))
 
     @F.pandas_udf("string")
     def text(pages: pd.Series, removed: pd.Series, kept: pd.Series) -> pd.Series:
@@ -284,5 +285,5 @@ def extract(pages: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
 
     # Beyond the bound a merge join, in which Spark splits the partitions of hot hosts.
     known = F.broadcast(known) if size <= config.broadcast_nodes else known.hint("merge")
-    out = pages.drop("text", "n_chars").withColumn("__host", host_of()).join(known, "__host", "left")
-    return out.withColumn("text", text("html", "__removed", "__kept")).withColumn("n_chars", F.length("text").cast("long")).drop("__host", "__removed", "__kept")
+    out = pages.drop("text", "n_chars").withColumn(at, host_of()).join(known, at, "left")
+    return out.withColumn("text", text("html", gone, stay)).withColumn("n_chars", F.length("text").cast("long")).drop(at, gone, stay)

@@ -42,11 +42,11 @@ def near_texts():
     return rows + [(key, " ".join(base[3])), (key + 1, ""), (key + 2, None), (key + 3, "one"), (key + 4, "ONE "), (key + 5, " ".join(f"y{i}" for i in range(30000)))]
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_links_and_classes_are_those_of_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "small", "dense"), [(512, 32, 512), (8, 4, 512), (64, 2, 2)])
+def test_links_and_classes_are_those_of_brute_force(spark, block, small, dense):
     rows = near_texts()
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows] + [(None, "one", "clash", 1)], "doc_id long, text string, rep string, k1 int")
-    found = ngram_join.join(docs, ngram_join.JoinConfig(block=block)).collect()
+    found = ngram_join.join(docs, ngram_join.JoinConfig(block=block, small=small, dense=dense)).collect()
     assert [(r.class_id, r.n_links, r.kept) for r in found if r.doc_id is None] == [(None, 0, True)]
     got = {r.doc_id: r for r in found if r.doc_id is not None}
     sets = {i: grams(t) for i, t in rows}
@@ -69,6 +69,33 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**config.rows) ** config.bands >= config.recall
 
 
+def test_half_alike_texts_chain_no_cluster(spark):
+    """Each text shares half of its n-grams with the next: bands collide all along the chain, but no cluster of
+    many texts comes of it, so no text is compared with more than a few."""
+    words = [f"w{i}" for i in range(40 * 400)]
+    texts = [" ".join(words[40 * i : 40 * i + 120]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    config = ngram_join.JoinConfig()
+    classes = ngram_join.signatures(docs, config).selectExpr("doc_id AS rep", "bands", "sketch")
+    banded = classes.selectExpr("rep", "explode(bands) AS band")
+    assert banded.groupBy("band").count().where("count > 1").count() > 150
+    sizes = [r["count"] for r in ngram_join._clusters(classes, config).groupBy("cluster").count().collect()]
+    assert max(sizes, default=1) <= 4
+    assert {(r.class_id == r.doc_id, r.n_links) for r in ngram_join.join(docs).collect()} == {(True, 0)}
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    config = ngram_join.JoinConfig()
+    draw = np.random.default_rng(4)
+    missed = 0
+    for _ in range(400):
+        x = draw.integers(0, 1 << 63, 178, dtype=np.uint64)  # the sets share 142 of 178
+        sets = [np.sort(x[:160]), np.sort(x[18:178])]
+        _, sketch = ngram_join._minima(np.concatenate(sets), np.array([0, 160]), config)
+        missed += (sketch[0] == sketch[1]).sum() < config.likely
+    assert missed == 0
+
+
 def test_words_hash_alike_wherever_they_stand():
     hashes, counts = word_hashes([b"ab  cd\tab", b"", b"CD ab"], lower=True)
     assert counts.tolist() == [3, 0, 2] and hashes[0] == hashes[2] == hashes[4] and hashes[1] == hashes[3]

@@ -25,3 +25,25 @@ def test_stages_stand_empty_and_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, TINY).collect()
         stage(spark, odd.limit(0), TINY).collect()
+
+
+def test_copies_of_one_id_and_of_none_leave_one_row(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"else{i}" for i in range(60))
+    rows = [(5, text, "en"), (5, text, "en"), (5, other, "en"), (None, text + " more", "en"), (None, other, "fr"), (None, other, "fr"), (9, "quite another text", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = sorted((r.doc_id or 0, r.text[:5]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == [(5, "else0"), (5, "word0"), (9, "quite")]
+
+
+def test_run_gives_every_kept_document(spark):
+    from tests.conftest import TINY
+
+    packed = corpus_pipeline.run(spark, TINY)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    rows = packed.collect()
+    ids = {r.doc_id for r in spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id").collect()}
+    assert 0 < len({r.doc_id for r in rows}) < len(ids) and {r.doc_id for r in rows} <= ids
+    for sequence in {r.sequence_id for r in rows}:
+        mine = sorted((r.offset, r.length) for r in rows if r.sequence_id == sequence)
+        assert [o for o, _ in mine] == [sum(n for _, n in mine[:i]) for i in range(len(mine))]

@@ -1,19 +1,22 @@
 """Near-duplicate embeddings: a join on spherical-cap filters.
 
 1. Equal vectors form one class and are carried once with their number.
-2. Each vector is turned at random and cut in two halves; a filter is a pair of code words, one random unit
-   vector for each half, and its score is the sum of the two inner products.  The filters above a threshold are
-   listed without a look at the others: words that can't reach it with the best partner are left out, then the
-   rest is paired.  ``codes`` independent turns make the recall even.
-3. Vectors meet in the buckets of their filters; buckets of one vector are dropped.  Pairs are verified by
-   cosine in double precision, in blocks of bounded size, and a pair counts in the first filter both share.
+2. Each vector is turned at random and cut in parts; a filter takes one code word of each part, a random unit
+   vector, and its score is the sum of the inner products.  The filters above a threshold are listed without a
+   look at the others: words that can't reach it with the best partners are left out, then the rest is joined part
+   by part.  ``codes`` independent turns make the recall even.
+3. Vectors meet in the buckets of their filters; buckets of one vector are dropped, and of buckets with the same
+   members only the first stays.  Pairs are verified by cosine in double precision, in blocks of bounded size, and
+   a pair counts in the first filter both share.
 4. A bucket returns a row for each vector: its links, and the smallest class it reaches.  Links are summed and
    classes closed to components.
 
+The number of code words follows the table, so a bucket holds few unrelated vectors at any size.
+
 ``vec_id`` names a vector: rows that repeat an id are that vector again, and where they differ the smallest
 counts.  Vectors that are null, zero, of no dimension or hold null or non-finite components link with nothing,
-and so do rows without an id, whose component is null; vectors link only with vectors of equal dimension.  An
-empty table gives an empty result.
+and so do rows without an id, whose component is null; vectors link only with vectors of equal dimension.  Other
+columns take no part.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from certlake.llm.common import components, materialize
 
@@ -35,15 +39,16 @@ LEAST_DIM = 32  # shorter vectors get zeros behind, so that a turn spreads them
 @dataclass(frozen=True)
 class CapConfig:
     """Pairs of cosine ``similarity`` or more are links.  The threshold is set so that a pair at the similarity
-    shares ``shared`` filters of each code on average, and the number of code words so that a bucket holds
-    ``load`` unrelated vectors; above ``max_words`` words for each half buckets fill instead.  ``block`` bounds
-    the vectors of one block."""
+    shares ``shared`` filters of each code on average, and the number of code words so that a bucket holds about
+    ``load`` unrelated vectors, where a vector has ``expected`` filters.  ``block`` bounds the vectors of one
+    block."""
 
     similarity: float = 0.9
-    codes: int = 8
-    shared: float = 3.5
+    codes: int = 32
+    parts: int = 3
+    shared: float = 0.8
     load: float = 0.05
-    max_words: int = 4096
+    expected: int = 100
     block: int = 1024
     small: int = 32
     seed: int = 17
@@ -51,24 +56,32 @@ class CapConfig:
 
 @dataclass
 class Code:
-    """One random turn and the words of its two halves."""
+    """One random turn and the words of its parts."""
 
     turn: np.ndarray
-    words: tuple[np.ndarray, np.ndarray]
+    words: list[np.ndarray]
 
     def decode(self, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters above the threshold."""
-        turned = unit @ self.turn
-        half = self.words[0].shape[1]
-        left, right = turned[:, :half] @ self.words[0].T, turned[:, half:] @ self.words[1].T
-        need_left, need_right = threshold - right.max(axis=1), threshold - left.max(axis=1)
-        rows, found = [], []
-        for i in range(len(unit)):
-            a, b = np.flatnonzero(left[i] >= need_left[i]), np.flatnonzero(right[i] >= need_right[i])
-            x, y = np.nonzero(left[i, a][:, None] + right[i, b][None, :] >= threshold)
-            found.append(a[x] * len(self.words[1]) + b[y])
-            rows.append(np.full(len(x), i))
-        return np.concatenate(rows), np.concatenate(found)
+        turned, at, scores = unit @ self.turn, 0, []
+        for words in self.words:
+            scores.append(turned[:, at : at + words.shape[1]] @ words.T)
+            at += words.shape[1]
+        best = np.stack([s.max(axis=1) for s in scores])
+        row, found, score = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64), np.zeros(len(unit))
+        for part, each in enumerate(scores):
+            # The part's words that reach the threshold with the best of all others, listed row by row.
+            of, word = np.nonzero(each >= (threshold - best.sum(axis=0) + best[part])[:, None])
+            value, sizes = each[of, word], np.bincount(of, minlength=len(unit))
+            first = np.cumsum(sizes) - sizes
+            times = sizes[row]
+            left = np.repeat(np.arange(len(row)), times)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + first[row][left]
+            total = score[left] + value[right]
+            reach = np.flatnonzero(total >= (threshold - best[part + 1 :].sum(axis=0))[row][left])
+            left, right = left[reach], right[reach]
+            row, found, score = row[left], found[left] * len(self.words[part]) + word[right], total[reach]
+        return row, found
 
 
 def make_codes(dim: int, words: int, config: CapConfig) -> list[Code]:
@@ -76,8 +89,9 @@ def make_codes(dim: int, words: int, config: CapConfig) -> list[Code]:
     for k in range(config.codes):
         draw = np.random.default_rng((config.seed, dim, words, k))
         turn, _ = np.linalg.qr(draw.normal(size=(dim, dim)))
-        halves = [draw.normal(size=(words, d)) for d in (dim // 2, dim - dim // 2)]
-        out.append(Code(turn, tuple(h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12) for h in halves)))
+        sizes = np.diff(np.linspace(0, dim, config.parts + 1).astype(int))
+        each = [draw.normal(size=(words, d)) for d in sizes]
+        out.append(Code(turn, [w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) for w in each]))
     return out
 
 
@@ -90,12 +104,14 @@ def calibrate(dim: int, words: int, config: CapConfig) -> float:
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     y = config.similarity * x + np.sqrt(1 - config.similarity**2) * z
-    code = make_codes(dim, words, config)[0]
-    low, high = 0.6, 2.0  # below 0.6 most filters of a code pass
-    for _ in range(10):
-        threshold = (low + high) / 2
-        pairs = [r * words * words + f for r, f in (code.decode(x, threshold), code.decode(y, threshold))]
-        low, high = (threshold, high) if len(np.intersect1d(*pairs)) >= config.shared * len(x) else (low, threshold)
+    codes, space = make_codes(dim, words, config)[:4], words**config.parts
+    low, high = 0.0, float(np.sqrt(config.parts))
+    for _ in range(12):
+        threshold, shared = (low + high) / 2, 0
+        for code in codes:
+            pairs = [r * space + f for r, f in (code.decode(x, threshold), code.decode(y, threshold))]
+            shared += len(np.intersect1d(*pairs))
+        low, high = (threshold, high) if shared >= config.shared * len(x) * len(codes) else (low, threshold)
     return low
 
 
@@ -105,26 +121,30 @@ def _plain(vector: Column) -> Column:
     return F.when(sound & F.exists(vector, lambda x: x != 0), vector)
 
 
+def _unit(plain: np.ndarray) -> np.ndarray:
+    """Vectors of length one; by the largest component first, so that no square leaves the range of doubles."""
+    unit = plain / np.abs(plain).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
 def _filters(classes: DataFrame, dim: int, threshold: float, words: int, config: CapConfig) -> DataFrame:
-    """(rep, copies, vector, filters): each class with its filters in ascending order."""
+    """(rep, filters): each class with its filters in ascending order."""
+    space = words**config.parts
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = make_codes(max(dim, LEAST_DIM), words, config)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                plain = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                unit = plain / np.abs(plain).max(axis=1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                unit = _unit(part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
                 unit = np.pad(unit, ((0, 0), (0, max(0, LEAST_DIM - dim))))
-                got = [(r, f + k * words * words) for k, code in enumerate(codes) for r, f in [code.decode(unit, threshold)]]
+                got = [(r, f + k * space) for k, code in enumerate(codes) for r, f in [code.decode(unit, threshold)]]
                 row, found = (np.concatenate(x) for x in zip(*got, strict=True))
                 order = np.lexsort((found, row))
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(plain)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("vector"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order].astype(np.int32)))], names=["rep", "copies", "vector", "filters"])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(unit)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order]))], names=["rep", "filters"])
 
-    kind = classes.schema["vector"].dataType.simpleString()
-    return classes.select("rep", "copies", "vector").mapInArrow(decode, f"rep long, copies long, vector {kind}, filters array<int>")
+    return classes.select("rep", "vector").mapInArrow(decode, "rep long, filters array<long>")
 
 
 def _first_shared(filters: np.ndarray, a: np.ndarray, b: np.ndarray, here: np.ndarray) -> np.ndarray:
@@ -162,7 +182,7 @@ def _verify(table: pa.Table, dim: int, config: CapConfig) -> pa.Table:
     table = table.take(pa.array(np.lexsort(tuple(table[c].to_numpy() for c in ("rep", "right", "left", "filter")))))
     rep, copies, bucket, left, right, block, members = (table[c].to_numpy() for c in ("rep", "copies", "filter", "left", "right", "block", "members"))
     plain = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    norm = np.linalg.norm(plain, axis=1)
+    unit = _unit(plain)
     lists = table["filters"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     filters = np.full((len(rep), sizes.max(initial=1)), -1, dtype=np.int64)
@@ -189,7 +209,7 @@ def _verify(table: pa.Table, dim: int, config: CapConfig) -> pa.Table:
             break
         for at in range(0, len(a), 100_000):
             x, y = a[at : at + 100_000], b[at : at + 100_000]
-            near = (plain[x] * plain[y]).sum(axis=1) >= config.similarity * (norm[x] * norm[y])
+            near = (unit[x] * unit[y]).sum(axis=1) >= config.similarity
             pairs.append((x[near], y[near]))
     if pairs:
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -203,7 +223,7 @@ def _verify(table: pa.Table, dim: int, config: CapConfig) -> pa.Table:
         met = _met_before(filters, i, j, bucket[group[0]])
         if met is None:
             continue
-        near = (plain[i] @ plain[j].T >= config.similarity * (norm[i][:, None] * norm[j][None, :])) & ~met
+        near = (unit[i] @ unit[j].T >= config.similarity) & ~met
         a, b = np.nonzero(near)
         a, b = i[a], j[b]
         if left[group[0]] == right[group[0]]:
@@ -215,18 +235,23 @@ def _verify(table: pa.Table, dim: int, config: CapConfig) -> pa.Table:
 
 def _links(classes: DataFrame, dim: int, config: CapConfig) -> DataFrame:
     """(rep, links, low) of the classes of one dimension."""
-    n = classes.count()
-    per_vector = 30 * config.shared
-    words = int(min(config.max_words, max(8, np.ceil(np.sqrt(n * per_vector / (config.codes * config.load))))))
+    words = max(8, int(np.ceil((classes.count() * config.expected / (config.codes * config.load)) ** (1 / config.parts))))
     threshold = calibrate(max(dim, LEAST_DIM), words, config)
-    filtered = materialize(_filters(classes, dim, threshold, words, config), "filters")
-    listed = filtered.select("rep", F.explode("filters").alias("filter"))
-    buckets = listed.groupBy("filter").agg(F.count("*").alias("members")).where("members > 1")
-    met = listed.join(buckets.hint("merge"), "filter").withColumn("blocks", F.when(F.col("members") <= config.small, 1).otherwise(F.ceil(F.col("members") / F.lit(config.block))).cast("long"))
-    met = materialize(met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("other", "blocks"), "met")
+    filtered = materialize(_filters(classes, dim, threshold, words, config), "filters", compression="zstd")
+    of = Window.partitionBy("filter")
+    listed = filtered.select("rep", F.explode("filters").alias("filter")).withColumn("members", F.count("*").over(of))
+    met = listed.withColumn("who", F.bit_xor(F.xxhash64("rep")).over(of)).withColumn("least", F.min("rep").over(of)).where("members > 1")
+    met = materialize(met, "shared", compression="zstd")
+    first = met.groupBy("members", "who", "least").agg(F.min("filter").alias("filter")).select("filter")
+    met = materialize(met.join(first.hint("merge"), "filter", "left_semi").select("rep", "filter", "members"), "met", compression="zstd")
+    lists = met.groupBy("rep").agg(F.sort_array(F.collect_list("filter")).alias("filters"))
+    rows = classes.select("rep", "copies", "vector").join(lists.hint("merge"), "rep")
+    placed = met.withColumn("blocks", F.when(F.col("members") <= config.small, 1).otherwise(F.ceil(F.col("members") / F.lit(config.block))).cast("long"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("other", "blocks")
     tasks = max(1, -(-met.count() // (4 * config.block)))
     task = F.pmod(F.xxhash64("filter", "left", "right"), F.lit(tasks))
-    return met.join(filtered.hint("merge"), "rep").withColumn("task", task).groupBy("task").applyInArrow(lambda table: _verify(table, dim, config), "rep long, links long, low long")
+    return placed.join(rows.hint("merge"), "rep").withColumn("task", task).groupBy("task").applyInArrow(lambda table: _verify(table, dim, config), "rep long, links long, low long")
 
 
 def join(vectors: DataFrame, config: CapConfig = CapConfig()) -> DataFrame:

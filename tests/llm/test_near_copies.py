@@ -134,9 +134,10 @@ def test_vector_links_are_those_of_brute_force(spark, small):
     assert cap_join.join(df.limit(0)).count() == 0
 
 
-def test_cap_filters_find_pairs_at_the_threshold():
+@pytest.mark.parametrize("words", [40, 150, 430])
+def test_cap_filters_find_pairs_at_the_threshold(words):
     config = cap_join.CapConfig()
-    threshold, codes = cap_join.calibrate(64, 400, config), cap_join.make_codes(64, 400, config)
+    threshold, codes = cap_join.calibrate(64, words, config), cap_join.make_codes(64, words, config)
     draw = np.random.default_rng(8)
     x = draw.normal(size=(300, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -146,8 +147,27 @@ def test_cap_filters_find_pairs_at_the_threshold():
     met = np.zeros(300, dtype=bool)
     for code in codes:
         (a, f), (b, g) = code.decode(x, threshold), code.decode(y, threshold)
-        met[np.intersect1d(a * 160000 + f, b * 160000 + g) // 160000] = True
-    assert met.mean() >= 0.98
+        met[np.intersect1d(a * words**3 + f, b * words**3 + g) // words**3] = True
+    assert met.mean() >= 0.99
+
+
+def test_decoding_lists_every_filter_above_the_threshold():
+    config = cap_join.CapConfig(codes=1)
+    code = cap_join.make_codes(32, 9, config)[0]
+    x = np.random.default_rng(3).normal(size=(20, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cuts = np.cumsum([w.shape[1] for w in code.words])[:-1]
+    a, b, c = (p @ w.T for p, w in zip(np.split(x @ code.turn, cuts, axis=1), code.words, strict=True))
+    scores = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(20, -1)
+    row, found = code.decode(x, 0.6)
+    assert sorted(zip(row.tolist(), found.tolist(), strict=True)) == sorted(zip(*(y.tolist() for y in np.nonzero(scores >= 0.6)), strict=True)) and len(row)
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e200])
+def test_lengths_beyond_squares_change_no_link(spark, size):
+    rows = [(1, [size, 0.0]), (2, [0.0, size]), (3, [size, size * 0.01])]
+    got = {r.vec_id: r.n_links for r in cap_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
 
 
 def test_top_k_is_exact_with_ties(spark):

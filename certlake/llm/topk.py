@@ -1,21 +1,25 @@
 """Exact top-k by inner product: an aggregation of sorted lists without random access.
 
-Components become whole numbers, floor(scale * x).  Candidates are dealt into blocks; in a block every dimension
-has a list sorted by value.  A query reads all lists from the end that serves the sign of its component, a run of
-entries at a time.  For each candidate it holds a lower and an upper bound of the score: what was read, plus the
-least or the most that unread lists can still give.  Candidates whose upper bound is below the k-th lower bound
-leave.  Reading stops when few are left that can be in the answer, and the final scores of these are resolved.
-Each block gives every query its k best, and the k best of these are the answer.
-
-Queries are the rows whose ``vec_id`` is divisible by ``every``, in blocks; each block of queries meets each block
-of candidates, so no task gets more than one of each.  Null vectors and vectors that hold null or non-finite
-components take no part, nor do rows without an id or vectors of no dimension; queries meet candidates of equal
-dimension only.  Rows that repeat an id are candidates of their own; equal rows of a query ask once.  Ties go to
-the smaller vec_id.  An empty table gives an empty result.
+Components become whole numbers, floor(scale * x).  The candidates stay where they are, in blocks; in a block every
+dimension has a list sorted by value.  A query reads all lists from the end that serves the sign of its component,
+and the deeper the larger the component is, a round at a time.  Of each candidate it holds what was read, and from
+that a lower and an upper bound of the score: an unread entry gives no more than the last one read of its list, and
+all unread entries of a candidate take no more from it than the product of the lengths of what is unread of it and
+of the query.  Candidates whose upper bound is below the k-th lower bound, or below the k-th best
+score of the blocks before, can't qualify.  Reading stops when few others are left, and their final scores are
+resolved.  Each task gives every query its k best, and the k best of these are the answer.
+
+Queries are the rows whose ``vec_id`` is divisible by ``every``; they are broadcast in chunks of bounded size, and
+each chunk is one pass over the candidates.  Null vectors and vectors that hold null or non-finite components take
+no part, nor do rows without an id or vectors of no dimension; queries meet candidates of equal dimension only.
+An id is one query: where its rows differ the smallest vector asks, and none of its rows is a candidate for it.
+Other rows that repeat an id are candidates each.  Ties go to the smaller vec_id.  Other columns take no part.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,86 +33,142 @@ from certlake.llm.common import materialize
 
 @dataclass(frozen=True)
 class TopkConfig:
-    """``rounds``: the shares of the lists that are read before bounds are compared; the last is 1."""
+    """``rounds``: how deep the lists are read before bounds are compared, as shares of a list whose component is
+    of the query's mean size; the last reads all.  ``few``: the share of a block that may be left when reading
+    stops.  ``query_bytes`` bounds the queries of a chunk."""
 
     k: int = 5
     every: int = 50
     scale: int = 256
-    query_block: int = 256
     block: int = 4096
-    rounds: tuple[float, ...] = (0.5, 0.65, 0.8, 1.0)
+    rounds: tuple[float, ...] = (0.5, 0.65, 0.85, 1.2, float("inf"))
+    few: float = 1 / 16
+    query_bytes: int = 16 << 20
 
 
 def whole_numbers(vectors: DataFrame, config: TopkConfig = TopkConfig()) -> DataFrame:
     """(vec_id, q): the vectors that take part, in whole numbers."""
     x = F.col("embedding")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & (F.size(x) > 0)
-    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * config.scale).cast("long")).alias("q"))
-
-
-def search_block(queries: np.ndarray, asks: np.ndarray, values: np.ndarray, ids: np.ndarray, config: TopkConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the k best of one block for each query.
-
-    All queries of a block read a round of the lists together.  ``rank`` is an entry's place in its dimension's
-    ascending list: a positive component reads from the high end, a negative one from the low end.
-    """
-    n, dims = values.shape
-    order = np.argsort(values, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    exact = np.float32 if np.abs(queries).max(initial=0) * np.abs(values).max(initial=0) * dims < 1 << 24 else np.float64
-    both = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(exact)
-    twice = np.concatenate([values, values], axis=1).astype(exact)
-    place = np.concatenate([n - 1 - rank, rank], axis=1)  # how many entries of the list come before this one
-    last = np.concatenate([values.min(axis=0), values.max(axis=0)])
-    open_, known = np.arange(len(queries)), np.zeros((len(queries), n), dtype=exact)
-    alive = ids[None, :] != asks[:, None]
-    done, out = 0, []
-    for share in config.rounds:
-        depth = min(n, max(1, int(np.ceil(share * n))))
-        known += both[open_] @ (twice * ((place >= done) & (place < depth))).T
-        unread = (place >= depth).astype(exact)
-        bottom = np.concatenate([values[order[n - depth], np.arange(dims)], values[order[depth - 1], np.arange(dims)]])
-        floor = known + (both[open_] * last) @ unread.T
-        floor[~alive] = -np.inf
-        if n > config.k:
-            bar = np.partition(floor, n - config.k, axis=1)[:, n - config.k]
-            alive &= known + (both[open_] * bottom) @ unread.T >= bar[:, None]
-        done = depth
-        ready = (alive.sum(axis=1) <= 4 * config.k) | (depth == n)
-        for i in np.flatnonzero(ready):
-            left = np.flatnonzero(alive[i])
-            scores = values[left] @ queries[open_[i]]
-            best = np.lexsort((ids[left], -scores))[: config.k]
-            out.append((np.full(len(best), asks[open_[i]]), ids[left[best]], scores[best]))
-        open_, known, alive = open_[~ready], known[~ready], alive[~ready]
-        if not len(open_):
-            break
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    q = F.transform(x, lambda v: F.floor(v.cast("double") * config.scale).cast("long"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
+
+
+class Lists:
+    """A block of candidates with a list for each dimension, in ascending order of values."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, values
+        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(np.ascontiguousarray(values.T), self.order, axis=1).astype(np.float64)
+        self.square = (values.astype(np.float64) ** 2).sum(axis=1)
+        self.read = 0  # entries that queries have read, and components resolved
+
+    def search(self, query: np.ndarray, own: int, bar: float, config: TopkConfig) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best, of those whose scores reach ``bar``."""
+        n, k = len(self.ids), config.k
+        dims = np.flatnonzero(query)
+        weight = np.abs(query[dims]) / (np.abs(query[dims]).mean() if len(dims) else 1.0)
+        square = query[dims].astype(np.float64) ** 2
+        slack = n * np.finfo(float).eps * (np.abs(query[dims]) * np.abs(self.sorted[dims][:, [0, -1]]).max(axis=1, initial=0)).sum()
+        others = self.ids != own
+        known, done = np.zeros(n), np.zeros(len(dims), dtype=np.int64)
+        at, value = np.zeros(0, dtype=np.int64), np.zeros(0)
+        of, size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # the dimension and length of each run
+        left = others
+        for share in config.rounds:
+            depth = np.minimum(n, np.ceil(np.minimum(1.0, share * weight) * n)).astype(np.int64)
+            ends = enumerate(zip(dims.tolist(), done.tolist(), depth.tolist(), strict=True))
+            runs = [(i, d, slice(n - b, n - a) if query[d] > 0 else slice(a, b)) for i, (d, a, b) in ends if a < b]
+            if runs:
+                new_at, new = (np.concatenate([lists[d, run] for _, d, run in runs]) for lists in (self.order, self.sorted))
+                new_of, new_size = (np.array(x) for x in zip(*((i, run.stop - run.start) for i, _, run in runs), strict=True))
+                self.read += len(new)
+                known += np.bincount(new_at, weights=new * np.repeat(query[dims][new_of], new_size), minlength=n)
+                at, value, of, size = (np.concatenate(x) for x in ((at, new_at), (value, new), (of, new_of), (size, new_size)))
+            done = depth
+            # Nothing is unread behind the end of a list.
+            last = np.where(query[dims] > 0, self.sorted[dims, n - depth], self.sorted[dims, depth - 1]) * query[dims]
+            upper = known + last.sum() - np.bincount(at, weights=np.repeat(last[of], size), minlength=n)
+            left = others & (upper >= bar - slack)
+            if left.sum() > max(4 * k, config.few * n) and others.sum() > k:
+                mine = np.maximum(square.sum() - np.bincount(at, weights=np.repeat(square[of], size), minlength=n), 0)
+                theirs = np.maximum(self.square - np.bincount(at, weights=value**2, minlength=n), 0)
+                lower = (known - np.sqrt(mine * theirs))[others]
+                left &= upper >= np.partition(lower, len(lower) - k)[len(lower) - k] - slack
+            if left.sum() <= max(4 * k, config.few * n):
+                break
+        left = np.flatnonzero(left)
+        self.read += len(left) * len(dims)
+        scores = self.values[left] @ query
+        best = np.lexsort((self.ids[left], -scores))[:k]
+        return self.ids[left[best]], scores[best]
 
 
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _search(left: pa.Table, right: pa.Table, config: TopkConfig) -> pa.Table:
-    """One block of queries against one block of candidates."""
-    found = [np.zeros(0, dtype=np.int64)] * 3
-    if left.num_rows and right.num_rows:
-        queries, values = (np.array(t["q"].combine_chunks().flatten().to_numpy()).reshape(t.num_rows, -1) for t in (left, right))
-        found = search_block(queries, left["vec_id"].to_numpy(), values, right["vec_id"].to_numpy(), config)
-    return pa.table({n: pa.array(x, type=pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
+def _vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    mine = batch.filter(pa.array(batch["dim"].to_numpy() == dim))
+    return mine["vec_id"].to_numpy(), mine["q"].flatten().to_numpy().reshape(-1, dim)
+
+
+def _pass(rows: DataFrame, queries: pa.Table, config: TopkConfig) -> DataFrame:
+    """Each query's k best of each task."""
+    asking = {}
+    for dim in sorted(set(queries["dim"].to_pylist())):
+        some = queries.filter(pa.array(queries["dim"].to_numpy() == dim)).combine_chunks()
+        asking[dim] = (some["vec_id"].to_numpy(), some["q"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+    held = rows.sparkSession.sparkContext.broadcast(asking)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = {dim: [] for dim in held.value}
+        best = {dim: [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids) for dim, (ids, _) in held.value.items()}
+
+        def meet(dim: int) -> None:
+            ids, values = (np.concatenate(x) for x in zip(*waiting[dim], strict=True))
+            waiting[dim] = []
+            for start in range(0, len(ids), config.block):
+                lists = Lists(ids[start : start + config.block], values[start : start + config.block])
+                for i, (own, query) in enumerate(zip(*held.value[dim], strict=True)):
+                    had, had_scores = best[dim][i]
+                    bar = float(had_scores[-1]) if len(had) == config.k else -np.inf
+                    found, scores = lists.search(query, own, bar, config)
+                    found, scores = np.concatenate([had, found]), np.concatenate([had_scores, scores])
+                    order = np.lexsort((found, -scores))[: config.k]
+                    best[dim][i] = found[order], scores[order]
+
+        for batch in batches:
+            for dim in held.value:
+                ids, values = _vectors(batch, dim)
+                if len(ids):
+                    waiting[dim].append((ids, values))
+                if sum(len(w[0]) for w in waiting[dim]) >= config.block:
+                    meet(dim)
+        for dim, (asks, _) in held.value.items():
+            if waiting[dim]:
+                meet(dim)
+            sizes = [len(ids) for ids, _ in best[dim]]
+            if sum(sizes):
+                cells = [np.repeat(asks, sizes), *(np.concatenate(x) for x in zip(*best[dim], strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["query_id", "vec_id", "score"])
+
+    found = materialize(rows.mapInArrow(search, FOUND), "found")
+    held.destroy()
+    return found
 
 
 def search(vectors: DataFrame, config: TopkConfig = TopkConfig()) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best."""
     rows = materialize(whole_numbers(vectors, config).withColumn("dim", F.size("q")), "whole")
-    n, asking = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % config.every == 0, 1))).first()
-    blocks, query_blocks = max(1, -(-n // config.block)), max(1, -(-asking // config.query_block))
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block")
-    candidates = rows.select("vec_id", "q", "dim", dealt).withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    queries = rows.where(F.col("vec_id") % config.every == 0).dropDuplicates().select("vec_id", "q", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("query_block")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    keys = ["query_block", "block", "dim"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(lambda left, right: _search(left, right, config), FOUND)
+    queries = rows.where(F.col("vec_id") % config.every == 0).groupBy("vec_id").agg(F.min("q").alias("q")).withColumn("dim", F.size("q"))
+    size = queries.agg(F.coalesce(F.sum(8 * (F.col("dim") + 2)), F.lit(0))).first()[0]
+    chunks = max(1, -(-2 * size // config.query_bytes) if size > config.query_bytes else 1)
+    queries = materialize(queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks))), "queries")
+    found = None
+    for chunk in range(chunks):
+        some = _pass(rows, queries.where(F.col("chunk") == chunk).select("vec_id", "q", "dim").toArrow(), config)
+        found = some if found is None else found.unionByName(some)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= config.k).select("query_id", "rank", "vec_id", "score")
 

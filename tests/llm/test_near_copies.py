@@ -170,24 +170,43 @@ def test_lengths_beyond_squares_change_no_link(spark, size):
     assert got == {1: 1, 2: 0, 3: 1}
 
 
-def test_top_k_is_exact_with_ties(spark):
+@pytest.mark.parametrize(("block", "query_bytes"), [(64, 16 << 20), (4096, 300)])
+def test_top_k_is_exact_with_ties(spark, block, query_bytes):
     draw = np.random.default_rng(4)
     x = draw.normal(size=(300, 16)).round(1)
     x[100:140] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (450, [float("inf")] * 16), (500, [None] * 16), (None, x[0].tolist()), (550, [])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (450, [float("inf")] * 16), (500, [None] * 16), (None, x[0].tolist()), (550, []), (600, [1.0, 2.0]), (601, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in topk.search(df, topk.TopkConfig(block=64, query_block=4)).collect():
+    for r in topk.search(df, topk.TopkConfig(block=block, query_bytes=query_bytes)).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     q = np.floor(x.astype(np.float32).astype(float) * 256).astype(int)
     for i in range(0, 300, 50):
         best = sorted(((-int(q[i] @ q[j]), j) for j in range(300) if j != i))[:5]
         assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    assert set(got) == set(range(0, 300, 50)) and topk.search(df.limit(0)).count() == 0
+    assert set(got) == {*range(0, 300, 50), 600} and topk.search(df.limit(0)).count() == 0
     few = {r.vec_id for r in topk.search(df.where("vec_id < 3")).collect()}
     assert few == {1, 2}
 
 
+def test_repeated_ids_of_top_k(spark):
+    """Of two vectors with one query id the smaller asks, and neither is a candidate; others count row by row."""
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (0, [0.5, 0.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (8, [3.0, 1.0]), (9, [0.0, 0.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 8, 768 * 128), (2, 7, 512 * 128), (3, 7, 512 * 128), (4, 9, 0)]
+
+
+def test_lists_are_not_read_to_the_end():
+    draw = np.random.default_rng(6)
+    values = np.floor(256 * draw.normal(size=(4096, 64)) / 8).astype(np.int64)
+    lists, config = topk.Lists(np.arange(4096), values), topk.TopkConfig()
+    bar = [np.sort(values @ q)[-6] for q in values[:20]]
+    for i in range(20):
+        ids, scores = lists.search(values[i], i, float(bar[i]), config)
+        assert scores.tolist() == sorted((int(s) for j, s in enumerate(values @ values[i]) if j != i), reverse=True)[:5] and i not in ids
+    assert lists.read < 0.65 * 20 * values.size
+
+
 def test_lines_above_the_ratio_go(spark):
     rows = [(i, f"Buy now \nline {i}\n\nlast {i}", "a", 30) for i in range(20)] + [(100 + i, f"only {i}", "a", 6) for i in range(80)]
     rows += [(300, None, "a", 0), (301, "", "a", 0), (302, "Buy now", "b", 7), (303, "Buy now", None, 7), (304, "copy of one\npage", "a", 9), *((400 + i, "copy of one\npage", "a", 9) for i in range(60))]

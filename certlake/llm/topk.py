@@ -62,6 +62,8 @@ class Lists:
         self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(np.ascontiguousarray(values.T), self.order, axis=1).astype(np.float64)
         self.square = (values.astype(np.float64) ** 2).sum(axis=1)
+        self.largest = np.abs(values).max(axis=0, initial=0).astype(np.float64)
+        self.places, self.weights = np.zeros(values.size, dtype=np.int64), np.zeros(values.size)  # of the entries read
         self.read = 0  # entries that queries have read, and components resolved
 
     def search(self, query: np.ndarray, own: int, bar: float, config: TopkConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -70,36 +72,50 @@ class Lists:
         dims = np.flatnonzero(query)
         weight = np.abs(query[dims]) / (np.abs(query[dims]).mean() if len(dims) else 1.0)
         square = query[dims].astype(np.float64) ** 2
-        slack = n * np.finfo(float).eps * (np.abs(query[dims]) * np.abs(self.sorted[dims][:, [0, -1]]).max(axis=1, initial=0)).sum()
+        slack = n * np.finfo(float).eps * float(np.abs(query) @ self.largest)
         others = self.ids != own
-        known, done = np.zeros(n), np.zeros(len(dims), dtype=np.int64)
-        at, value = np.zeros(0, dtype=np.int64), np.zeros(0)
-        of, size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # the dimension and length of each run
-        left = others
+        known, runs, upto = np.zeros(n), [], 0
+        left, done = others, [0] * len(dims)
+
+        def summed(fill) -> np.ndarray:
+            """The sum over each candidate's read entries of what ``fill`` puts in for a run."""
+            for run in runs:
+                fill(*run)
+            return np.bincount(self.places[:upto], weights=self.weights[:upto], minlength=n)
+
+        def fill_of(each: np.ndarray):
+            def fill(i: int, d: int, run: slice, to: slice) -> None:
+                self.weights[to] = each[i]
+
+            return fill
+
+        def fill_squares(i: int, d: int, run: slice, to: slice) -> None:
+            np.multiply(self.sorted[d, run], self.sorted[d, run], out=self.weights[to])
+
         for share in config.rounds:
-            depth = np.minimum(n, np.ceil(np.minimum(1.0, share * weight) * n)).astype(np.int64)
-            ends = enumerate(zip(dims.tolist(), done.tolist(), depth.tolist(), strict=True))
-            runs = [(i, d, slice(n - b, n - a) if query[d] > 0 else slice(a, b)) for i, (d, a, b) in ends if a < b]
-            if runs:
-                new_at, new = (np.concatenate([lists[d, run] for _, d, run in runs]) for lists in (self.order, self.sorted))
-                new_of, new_size = (np.array(x) for x in zip(*((i, run.stop - run.start) for i, _, run in runs), strict=True))
-                self.read += len(new)
-                known += np.bincount(new_at, weights=new * np.repeat(query[dims][new_of], new_size), minlength=n)
-                at, value, of, size = (np.concatenate(x) for x in ((at, new_at), (value, new), (of, new_of), (size, new_size)))
-            done = depth
+            depth, was = np.minimum(n, np.ceil(np.minimum(1.0, share * weight) * n)).astype(np.int64), upto
+            for i, (d, a, b) in enumerate(zip(dims.tolist(), done, depth.tolist(), strict=True)):
+                if a < b:
+                    run, to = slice(n - b, n - a) if query[d] > 0 else slice(a, b), slice(upto, upto + b - a)
+                    self.places[to] = self.order[d, run]
+                    np.multiply(self.sorted[d, run], query[d], out=self.weights[to])
+                    runs.append((i, d, run, to))
+                    upto += b - a
+            known += np.bincount(self.places[was:upto], weights=self.weights[was:upto], minlength=n)
+            done = depth.tolist()
             # Nothing is unread behind the end of a list.
             last = np.where(query[dims] > 0, self.sorted[dims, n - depth], self.sorted[dims, depth - 1]) * query[dims]
-            upper = known + last.sum() - np.bincount(at, weights=np.repeat(last[of], size), minlength=n)
+            upper = known + last.sum() - summed(fill_of(last))
             left = others & (upper >= bar - slack)
             if left.sum() > max(4 * k, config.few * n) and others.sum() > k:
-                mine = np.maximum(square.sum() - np.bincount(at, weights=np.repeat(square[of], size), minlength=n), 0)
-                theirs = np.maximum(self.square - np.bincount(at, weights=value**2, minlength=n), 0)
+                mine = np.maximum(square.sum() - summed(fill_of(square)), 0)
+                theirs = np.maximum(self.square - summed(fill_squares), 0)
                 lower = (known - np.sqrt(mine * theirs))[others]
                 left &= upper >= np.partition(lower, len(lower) - k)[len(lower) - k] - slack
             if left.sum() <= max(4 * k, config.few * n):
                 break
         left = np.flatnonzero(left)
-        self.read += len(left) * len(dims)
+        self.read += upto + len(left) * len(dims)
         scores = self.values[left] @ query
         best = np.lexsort((self.ids[left], -scores))[:k]
         return self.ids[left[best]], scores[best]

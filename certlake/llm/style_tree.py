@@ -1,8 +1,8 @@
 """Main text of web pages by a site style tree.
 
-1. Each page is read into a tree of elements.  Elements whose role is plain from tag, role or class (menus,
-   page headers and footers, sidebars, notices, adverts, forms, comments, scripts and styles) are no content at
-   any importance.
+1. Each page is read into a tree of elements.  Elements whose role is plain from tag, role or a class that names
+   nothing else (menus, page headers and footers, sidebars, notices, adverts, forms, comments, scripts and styles)
+   are no content at any importance; ``roles`` off leaves all but scripts and styles to the tree.
 2. The trees of all pages of a host are merged: elements with the same path of tags and classes are one node of
    the site style tree.  A node's importance is a mean of two entropies over its pages: that of its styles (the
    sequences of its children), and that of the texts below it.  A branch that looks and reads alike on all
@@ -51,10 +51,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NOISE = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav"
     " footer masthead comment comments disqus replies respond reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe"
-    " subscription signup login share sharing social related recommended widget toolbar pagination pager copyright disclaimer".split()
+    " subscription signup login teaser share sharing social related recommended toolbar pagination pager copyright disclaimer".split()
 )
-NOISE_OUTSIDE = frozenset("header topbar top bottom search legal".split())  # only where no article is around
-NOISE_ARTICLE = frozenset("comment comments reply replies ad advert promo sponsored related teaser".split())
+# Words that say where a role stands or how it is built, and no more.
+PLACES = frozenset(
+    "site main page post global primary secondary left right top bottom sub slot box wrapper wrap container inner outer block unit area section bar form link links"
+    " list item items widget group row col head body content buttons icons policy".split()
+)
+NOISE_OUTSIDE = frozenset("header topbar search".split())  # only where no article is around
+SILENT = frozenset("img script style noscript template svg canvas iframe object input source track embed link meta param area textarea".split())  # no text, no break
 MAIN = frozenset(("article", "main"))
 
 
@@ -62,7 +67,7 @@ MAIN = frozenset(("article", "main"))
 class TreeConfig:
     """Branches below ``threshold`` on ``min_pages`` pages or more are removed; ``style`` is the weight of the
     styles' entropy, ``prior`` and ``beside`` are those of articles.  Up to ``broadcast_nodes`` branches are
-    broadcast, more are joined by host."""
+    broadcast, more are joined by host.  ``roles`` lets tags, roles and classes decide before the tree."""
 
     threshold: float = 0.25
     style: float = 0.2
@@ -71,6 +76,7 @@ class TreeConfig:
     min_pages: int = 5
     links: float = 0.8
     broadcast_nodes: int = 500_000
+    roles: bool = True
 
 
 class Element:
@@ -98,30 +104,34 @@ def _key(parent: int, label: str) -> int:
     return key
 
 
-def _open(tag: str, rest: str, parent: Element | None) -> Element:
-    noise, main, label = bool(parent and parent.noise) or tag in NO_CONTENT, bool(parent and parent.main) or tag in MAIN, tag
-    if tag == "header" and not main:
-        noise = True
+def _names_noise(name: str, main: bool) -> bool:
+    """Whether a class or id names a role of noise, with words of place beside it at most."""
+    words = {w.lower() for w in PARTS.findall(name)}
+    roles = words & (NOISE if main else NOISE | NOISE_OUTSIDE)
+    return bool(roles) and words <= roles | PLACES
+
+
+def _open(tag: str, rest: str, parent: Element | None, roles: bool = True) -> Element:
+    main, label = bool(parent and parent.main) or tag in MAIN, tag
+    noise = bool(parent and parent.noise) or tag == "head" or (roles and (tag in NO_CONTENT or (tag == "header" and not main)))
     if rest and not rest.isspace():
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
-        name = f"{found.get('class', '')} {found.get('id', '')}"
-        if name != " ":
-            words = {w.lower() for w in PARTS.findall(name)}
-            label = f"{tag}.{' '.join(sorted(words))}"
-            if tag == "article":
-                noise |= bool(words & NOISE_ARTICLE)
-            elif tag not in ("html", "body", "main"):
-                noise |= bool(words & NOISE) or (not main and bool(words & NOISE_OUTSIDE))
+        names = [*found.get("class", "").split(), *found.get("id", "").split()]
+        if names:
+            label = f"{tag}.{' '.join(sorted({w.lower() for n in names for w in PARTS.findall(n)}))}"
+            if roles and tag not in ("html", "body", "main"):
+                noise |= any(_names_noise(n, main) for n in names)
         role = found.get("role", "").lower()
         main |= role in ("main", "article")
-        noise |= role in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        noise |= roles and (role in ROLES or hidden)
     element = Element(tag, _key(parent.key if parent else 0, label), parent, noise, main)
     if parent and not (parent.children and parent.children[-1] == label):
         parent.children.append(label)
     return element
 
 
-def read_page(page: str | None) -> list[tuple[Element, str]]:
+def read_page(page: str | None, roles: bool = True) -> list[tuple[Element, str]]:
     """The text blocks of a page in order, each with the element that it stands in; noise is left out."""
     blocks: list[tuple[Element, str]] = []
     here = _open("html", "", None)
@@ -160,7 +170,7 @@ def read_page(page: str | None) -> list[tuple[Element, str]]:
         if tag is None:
             continue
         tag = tag.lower()
-        inline = tag in INLINE
+        inline = tag in INLINE or tag in SILENT
         if not inline:
             end_block()
         if m[1]:
@@ -180,7 +190,7 @@ def read_page(page: str | None) -> list[tuple[Element, str]]:
             if tag == "body" and here.tag == "head":
                 here = here.parent
             if tag == "body":
-                here = _open(tag, m[3], here)
+                here = _open(tag, m[3], here, roles)
         else:
             closes = SAME_CLOSES.get(tag, ())
             if not inline:
@@ -192,7 +202,7 @@ def read_page(page: str | None) -> list[tuple[Element, str]]:
                             here = here.parent
                     e = e.parent
             if not m[3].endswith("/"):
-                here = _open(tag, m[3], here)
+                here = _open(tag, m[3], here, roles)
                 in_link += tag == "a"
     add(page[at:])
     end_block()
@@ -205,11 +215,11 @@ def _up(element: Element) -> Iterable[Element]:
         element = element.parent
 
 
-def tree_rows(page: str | None) -> list[tuple[int, int, int, int, int]]:
+def tree_rows(page: str | None, roles: bool = True) -> list[tuple[int, int, int, int, int]]:
     """(node, kind, feature, article, place) of a page for the site style tree, each once: kind 0 has the node's
     style, kind 1 its texts.  ``article`` is the hash of the article's text, 0 without one; ``place`` is 1 inside
     an article, 2 beside one and 0 elsewhere."""
-    blocks = read_page(page)
+    blocks = read_page(page, roles)
     inside = [words for e, words in blocks if e.main]
     article = _hash("\n".join(inside)) or 1 if inside else 0
     around = {id(x) for e, _ in blocks if e.main for x in _up(e)}
@@ -225,10 +235,10 @@ def tree_rows(page: str | None) -> list[tuple[int, int, int, int, int]]:
     return [*rows, *((k, 0, _hash("|".join(sorted(s))), article, place) for (k, place), s in styles.items())]
 
 
-def main_text(page: str | None, removed: Iterable[int] = (), links: float = TreeConfig.links, kept: Iterable[int] = ()) -> str:
+def main_text(page: str | None, removed: Iterable[int] = (), links: float = TreeConfig.links, kept: Iterable[int] = (), roles: bool = True) -> str:
     """The page's text without noise, ``removed`` nodes and branches of mere links; beside an article, only
     ``kept`` nodes have text."""
-    blocks, removed, kept = read_page(page), frozenset(removed if removed is not None else ()), frozenset(kept if kept is not None else ())
+    blocks, removed, kept = read_page(page, roles), frozenset(removed if removed is not None else ()), frozenset(kept if kept is not None else ())
     article = any(e.main for e, _ in blocks)
 
     def stays(e: Element) -> bool:
@@ -253,7 +263,7 @@ def branches(pages: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
 
     @F.pandas_udf("array<struct<node long, kind int, feature long, article long, place int>>")
     def rows(pages: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("node", "kind", "feature", "article", "place"), r, strict=True)) for r in tree_rows(p)] for p in pages], dtype=object)
+        return pd.Series([[dict(zip(("node", "kind", "feature", "article", "place"), r, strict=True)) for r in tree_rows(p, config.roles)] for p in pages], dtype=object)
 
     each = pages.select(host_of().alias("host"), F.explode(rows("html")).alias("r")).select("host", "r.*")
     key = ("host", "node", "kind", "feature")
@@ -281,7 +291,7 @@ def extract(pages: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(pages: pd.Series, removed: pd.Series, kept: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, r, config.links, k) for p, r, k in zip(pages, removed, kept, strict=True)], dtype=object)
+        return pd.Series([main_text(p, r, config.links, k, config.roles) for p, r, k in zip(pages, removed, kept, strict=True)], dtype=object)
 
     # Beyond the bound a merge join, in which Spark splits the partitions of hot hosts.
     known = F.broadcast(known) if size <= config.broadcast_nodes else known.hint("merge")

@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Page variants in order of preference, by condition.
-VARIANTS = {"clean": ("original",), "noisy": ("denoised", "original"), "blurry": ("sharpened", "original"), "both": ("denoised", "sharpened", "original")}
+# Page variants that a condition selects, and the order of preference for the primary one.
+SELECTED = {
+    "clean": ("full_gray", "contrast"),
+    "noisy": ("denoised", "adaptive_binary", "contrast"),
+    "blurry": ("sharpened", "contrast"),
+    "noisy_and_blurry": ("denoised", "adaptive_binary", "contrast", "sharpened"),
+}
+SUPPORT, FALLBACK = ("adaptive_binary", "full_gray"), ("contrast", "full_gray", "denoised", "adaptive_binary", "sharpened")
+PRIMARY = {
+    "clean": ("contrast", "full_gray", "denoised", "adaptive_binary", "sharpened"),
+    "noisy": ("denoised", "adaptive_binary", "contrast", "full_gray", "sharpened"),
+    "blurry": ("sharpened", "contrast", "denoised", "full_gray", "adaptive_binary"),
+    "noisy_and_blurry": ("sharpened", "contrast", "denoised", "full_gray", "adaptive_binary"),
+}
 
 
 def page_score(index: Column, has_table: Column, blur: Column, variants: Column) -> Column:
@@ -14,15 +26,36 @@ def page_score(index: Column, has_table: Column, blur: Column, variants: Column)
     return F.when(index == 0, 100).otherwise(0) + F.when(has_table, 80).otherwise(0) + F.least(blur / 10, F.lit(20.0)) + F.when(variants > 0, 10).otherwise(0) - 2 * index
 
 
+def blur_severity(blur: Column) -> Column:
+    return F.when(blur < 80, "high").when(blur < 150, "moderate").otherwise("low")
+
+
+def noise_severity(noise: Column) -> Column:
+    return F.when(noise >= 25, "high").when(noise >= 14, "moderate").otherwise("low")
+
+
 def condition(blur: Column, noise: Column) -> Column:
-    blurry, noisy = blur < 80, noise >= 14
-    return F.when(blurry & noisy, "both").when(blurry, "blurry").when(noisy, "noisy").otherwise("clean")
+    """Of high severities first, then of moderate ones; on one level noise and blur together are both."""
+    out, b, n = F.when(F.lit(False), ""), blur_severity(blur), noise_severity(noise)
+    for level in ("high", "moderate"):
+        out = out.when((b == level) & (n == level), "noisy_and_blurry").when(n == level, "noisy").when(b == level, "blurry")
+    return out.otherwise("clean")
+
+
+def _by_state(lists: dict[str, tuple[str, ...]], state: Column) -> Column:
+    return F.element_at(F.create_map(*(x for c, v in lists.items() for x in (F.lit(c), F.array(*map(F.lit, v))))), state)
+
+
+def selected_variants(state: Column, available: Column, table_crop: Column) -> Column:
+    """The available variants that a condition selects, the table crop where there is one, and support variants."""
+    crop = F.when(table_crop, F.array(F.lit("table_crop"))).otherwise(F.array().cast("array<string>"))
+    chosen = F.array_intersect(F.concat(_by_state(SELECTED, state), crop, F.array(*map(F.lit, SUPPORT))), available)
+    return F.when(F.size(chosen) > 0, chosen).otherwise(F.array_intersect(F.array(*map(F.lit, FALLBACK)), available))
 
 
-def primary_variant(state: Column, available: Column) -> Column:
-    """The first variant of the condition's preference that is available."""
-    wanted = F.element_at(F.create_map(*(x for c, v in VARIANTS.items() for x in (F.lit(c), F.array(*map(F.lit, v))))), state)
-    return F.get(F.array_intersect(wanted, available), F.lit(0))
+def primary_variant(state: Column, selected: Column) -> Column:
+    """The first variant of the condition's preference that is selected."""
+    return F.get(F.array_intersect(_by_state(PRIMARY, state), selected), F.lit(0))
 
 
 def request_bytes(size: Column, prefix: int = 22) -> Column:

@@ -5,37 +5,16 @@ Queries read whole tables.  Scalar rules run on each distinct input text, with i
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlake.functions import labels, numeric, text
 from certlake.operators import confidence, evaluate, profile, resolve, select, shape, store, validate
+from certlake.plans.registry import ORACLES, QUERIES, counted, query
 from certlake.plans.views import CERTS, DATES, HEATS, LINES, NUMBERS, UNITS, pick, view
-from certlake.registries import GRADES, HEADERS, HEAT_LOOKALIKES, REVIEW_OUTCOMES, SPECS, alias_key, headers, values_sql
+from certlake.registries import ELEMENT_ROWS, GRADES, HEADER_ROWS, HEAT_LOOKALIKES, REVIEW_OUTCOMES, SPECS, alias_key, elements, headers, values_sql
 from certlake.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a function as a query, with its SQL counterpart."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def counted(df: DataFrame, *columns: str) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count("*").alias("n"))
-
-
 # --- Scalar rules
 
 
@@ -124,14 +103,16 @@ def supplier_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT header, field, sum(n) AS n FROM (SELECT upper(regexp_replace(trim(regexp_replace(raw, '[/:;|_-]+', ' ', 'g')), '\\s+', ' ', 'g')) AS header, count(*) AS n FROM (SELECT {pick('p_partkey', ('heat_no', 'Grade:', ' yield  strength', 'A%', 'Rm', 'colour', 'Date/of/issue', 'CAST-NO'))} AS raw FROM part) GROUP BY 1)
-LEFT JOIN {values_sql([(h, f) for f, names in HEADERS.items() for h in dict.fromkeys((*names, f.upper().replace('_', ' ')))], 'h, field')} ON h = header GROUP BY header, field""".replace("sum(n) AS n", "cast(sum(n) AS bigint) AS n"))
+LEFT JOIN {values_sql(HEADER_ROWS, 'h, field')} ON h = header GROUP BY header, field""".replace("sum(n) AS n", "cast(sum(n) AS bigint) AS n"))
 def header_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = view(spark, sf_dir, f"SELECT {pick('p_partkey', ('heat_no', 'Grade:', ' yield  strength', 'A%', 'Rm', 'colour', 'Date/of/issue', 'CAST-NO'))} AS raw FROM part")
     named = counted(raw, "raw").withColumn("header", text.normalize_header(F.col("raw"))).groupBy("header").agg(F.sum("n").alias("n"))
     return named.join(F.broadcast(headers(spark)), "header", "left").select("header", "field", "n")
 
 
-@query("""SELECT lang, count(*) AS n, cast(count(*) FILTER (WHERE length(text) >= 40 AND (length(regexp_replace(text, '[^A-Za-z0-9\\s.,;:/()%+-]', '', 'g')) * 100 < length(text) * 92 OR contains(text, chr(65533)))) AS bigint) AS noisy FROM documents GROUP BY lang""")
+@query("""WITH t AS (SELECT lang, regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS t FROM documents)
+SELECT lang, count(*) AS n, cast(count(*) FILTER (WHERE length(t) >= 40 AND (length(regexp_replace(t, '[^\\p{L}\\p{N}\\s\\p{Z}.,\\-/():]', '', 'g')) * 100 < length(t) * 92
+  OR length(regexp_replace(t, '[^¦|\\\\_~\\[\\]{}<>^]', '', 'g')) * 100 > length(t) * 2 OR contains(t, chr(65533)))) AS bigint) AS noisy FROM t GROUP BY lang""")
 def noisy_text_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(text.noisy_text(F.col("text"))).alias("noisy"))
 
@@ -395,10 +376,14 @@ def missing_extra_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.missing_and_extra(docs, known)
 
 
-@query("""SELECT d.doc_id, d.source, CASE WHEN n_chars < 1000 THEN 'single' WHEN n_chars <= 4000 THEN 'short' ELSE 'long' END AS page_bucket, CASE WHEN n_chars < 800 THEN 'tiny' WHEN n_chars < 2000 THEN 'small' WHEN n_chars < 8000 THEN 'medium' ELSE 'large' END AS size_bucket, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+@query("""WITH d AS (SELECT doc_id, source, n_chars // 2000 + 1 AS pages, n_chars * 1024 AS bytes FROM documents)
+SELECT d.doc_id, d.source, CASE WHEN pages <= 1 THEN 'single' WHEN pages <= 4 THEN 'short' ELSE 'long' END AS page_bucket,
+  CASE WHEN bytes < 204800 THEN 'xs' WHEN bytes < 1048576 THEN 's' WHEN bytes < 4194304 THEN 'm' WHEN bytes < 12582912 THEN 'l' ELSE 'xl' END AS size_bucket, l.quality
+FROM d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, known = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return store.manifest(docs.drop("text"), known.select("doc_id", "quality"))
+    sized = docs.select("doc_id", "source", (F.floor(F.col("n_chars") / 2000) + 1).alias("pages"), (F.col("n_chars") * 1024).alias("bytes"))
+    return store.manifest(sized, known.select("doc_id", "quality"))
 
 
 # --- Texts and streams
@@ -438,13 +423,20 @@ def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(view(spark, sf_dir, REPAIRS), "raw", "sure").withColumn("repaired", text.repair_number(F.col("raw"), F.col("sure")))
 
 
-QUALITY = """SELECT doc_id, cast(n_chars % 170 AS double) AS blur, cast(n_chars % 50 AS double) AS noise, n_chars % 4 <> 0 AS has_text FROM documents"""
+QUALITY = """SELECT doc_id, cast(n_chars % 170 AS double) AS blur, cast(n_chars % 53 AS double) AS noise, n_chars % 4 <> 0 AS has_text,
+  CASE WHEN n_chars % 3 = 0 THEN cast(0.01 AS double) ELSE cast(0.3 AS double) END AS text_density, n_chars % 7 = 0 AS noisy_ocr, n_chars % 5 = 0 AS full_page_raster FROM documents"""
 
 
-@query(f"""SELECT quality_class, route, count(*) AS n FROM (SELECT CASE WHEN has_text AND noise < 25 THEN 'digital_clean' WHEN blur < 25 OR noise >= 45 THEN 'severe_scan' WHEN blur < 80 OR noise >= 25 THEN 'noisy_scan' ELSE 'scan_clean' END AS quality_class,
-CASE WHEN has_text AND noise < 25 THEN 'path_a' WHEN blur < 25 OR noise >= 45 THEN 'path_d' WHEN blur < 80 OR noise >= 25 THEN 'path_c' ELSE 'path_b' END AS route FROM ({QUALITY})) GROUP BY ALL""")
+@query(f"""WITH q AS (SELECT *, has_text AND text_density >= cast(0.02 AS double) AS dense, text_density < cast(0.02 AS double) AS sparse FROM ({QUALITY})),
+c AS (SELECT CASE WHEN noisy_ocr AND full_page_raster THEN 'noisy_scan'
+  WHEN dense AND blur >= 80 AND noise < 25 AND (noisy_ocr OR full_page_raster) THEN 'noisy_scan' WHEN dense AND blur >= 80 AND noise < 25 THEN 'digital_clean'
+  WHEN blur < 80 AND noise >= 25 AND (blur < 25 OR noise >= 45) THEN 'severe_scan' WHEN blur < 80 AND noise >= 25 THEN 'noisy_scan'
+  WHEN blur < 80 AND blur < 25 AND sparse OR blur >= 80 AND noise >= 45 AND sparse THEN 'severe_scan'
+  WHEN blur < 80 OR noise >= 25 OR (blur < 150 AND noise >= 14) OR dense THEN 'noisy_scan' ELSE 'scan_clean' END AS quality_class FROM q)
+SELECT quality_class, CASE quality_class WHEN 'digital_clean' THEN 'path_a_digital_pdf' WHEN 'scan_clean' THEN 'path_b_clean_scan' WHEN 'noisy_scan' THEN 'path_c_noisy_scan' ELSE 'path_d_severe_scan' END AS route,
+  CASE quality_class WHEN 'digital_clean' THEN 'native_multimodal' WHEN 'scan_clean' THEN 'rendered_multimodal' ELSE 'preprocessed_multimodal' END AS runtime_route, quality_class = 'severe_scan' AS review_first, count(*) AS n FROM c GROUP BY ALL""")
 def quality_class_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(store.route(view(spark, sf_dir, QUALITY)), "quality_class", "route")
+    return counted(store.route(view(spark, sf_dir, QUALITY)), "quality_class", "route", "runtime_route", "review_first")
 
 
 @query(f"""WITH d AS (SELECT d.doc_id, lang, d.n_chars % 97 AS score FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS k FROM d)
@@ -456,26 +448,45 @@ def score_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.round_robin(rest, ["lang"], [F.desc("score"), F.col("doc_id")], [F.col("lang")], 40).withColumn("pick", F.col("pick").cast("long"))
 
 
-IDENTIFIERS = f"SELECT doc_id, row_index, {pick('p', ('H1', 'H2', None, 'B7'))} AS heat, cast((s * 7 + q) % 100 AS bigint) AS pct FROM ({LINES}) AS x"
+OUTCOME = pick("l", ("COMPLIANT", "COMPLIANT", "COMPLIANT", "NON_COMPLIANT", "NEEDS_REVIEW", "COMPLIANT", "COMPLIANT"))
+IDENTIFIERS = f"""SELECT doc_id, row_index, {pick('p', ('H1', 'H1', None, 'H1'))} AS heat, cast(60 + (s * 7 + q) % 41 AS bigint) AS heat_pct,
+  {pick('s', ('', None, 'B2'))} AS batch, CASE WHEN q % 2 = 0 THEN cast(70 + s % 30 AS bigint) END AS batch_pct, {OUTCOME} AS outcome FROM ({LINES}) AS x"""
+HEADINGS = f"SELECT o_orderkey AS doc_id, {pick('o_custkey', ('B9', '', None))} AS batch, cast(75 + o_custkey % 20 AS bigint) AS batch_pct FROM orders"
+TRACED = f"""WITH h AS (SELECT doc_id, CASE WHEN trim(batch) <> '' AND batch_pct >= 80 THEN batch END AS b, CASE WHEN trim(batch) <> '' AND batch_pct >= 80 THEN batch_pct END AS bp FROM ({HEADINGS})),
+r AS (SELECT i.doc_id, row_index, outcome, CASE WHEN trim(heat) <> '' AND heat_pct >= 80 THEN heat END AS vh, CASE WHEN trim(heat) <> '' AND heat_pct >= 80 THEN heat_pct END AS ph,
+  CASE WHEN trim(batch) <> '' AND batch_pct >= 80 THEN batch ELSE b END AS vb, CASE WHEN trim(batch) <> '' AND batch_pct >= 80 THEN batch_pct ELSE bp END AS pb, b, bp FROM ({IDENTIFIERS}) i LEFT JOIN h ON i.doc_id = h.doc_id),
+t AS (SELECT *, vh IS NOT NULL OR vb IS NOT NULL AS ok, CASE WHEN outcome = 'COMPLIANT' AND vh IS NULL AND vb IS NULL THEN 'NEEDS_REVIEW' ELSE outcome END AS now FROM r)"""
 
 
-@query(f"""WITH r AS (SELECT *, heat IS NOT NULL AND pct >= 80 AS ok FROM ({IDENTIFIERS})) SELECT doc_id, CASE WHEN bool_and(ok) THEN 'VERIFIED' WHEN bool_or(ok) THEN 'PARTIAL' ELSE 'UNVERIFIED' END AS status, CASE WHEN bool_and(ok) AND count(DISTINCT heat) = 1 THEN min(heat) END AS heat, min(pct) FILTER (WHERE ok) AS least_pct, cast(count(*) FILTER (WHERE heat IS NOT NULL AND NOT ok) AS bigint) AS suppressed FROM r GROUP BY doc_id""")
+@query(f"""{TRACED} SELECT doc_id, CASE WHEN known THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status, heat, cast(coalesce(least(hp, bp), 0) AS bigint) AS traceability_pct,
+  CASE WHEN bad THEN 'NON_COMPLIANT' WHEN open THEN 'NEEDS_REVIEW' WHEN good AND known THEN 'COMPLIANT' WHEN good THEN 'NEEDS_REVIEW' ELSE 'NOT_VALIDATED' END AS outcome, n_downgraded
+FROM (SELECT *, heat IS NOT NULL OR b IS NOT NULL AS known, CASE WHEN heat IS NOT NULL THEN ph END AS hp FROM (
+  SELECT doc_id, CASE WHEN bool_and(vh IS NOT NULL) AND count(DISTINCT vh) = 1 THEN min(vh) END AS heat, min(ph) AS ph, min(b) AS b, min(bp) AS bp, count(*) FILTER (WHERE now <> outcome) AS n_downgraded,
+    bool_or(now = 'NON_COMPLIANT') AS bad, bool_or(now = 'NEEDS_REVIEW') AS open, bool_or(now = 'COMPLIANT') AS good FROM t GROUP BY doc_id))""")
 def traceability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.trace(view(spark, sf_dir, IDENTIFIERS), 80)
+    """Each document's verified identifiers, and its outcome once rows without any are downgraded."""
+    _, docs = store.trace(view(spark, sf_dir, IDENTIFIERS), view(spark, sf_dir, HEADINGS), ["heat"], ["batch"])
+    return docs
+
 
+@query(f"""{TRACED} SELECT doc_id, row_index, vh AS heat, vb AS batch, CASE WHEN ok THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status, cast(coalesce(least(ph, pb), 0) AS bigint) AS traceability_pct, now AS outcome, now <> outcome AS downgraded FROM t""")
+def traceability_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's verified identifiers, its own or else its document's."""
+    rows, _ = store.trace(view(spark, sf_dir, IDENTIFIERS), view(spark, sf_dir, HEADINGS), ["heat"], ["batch"])
+    return rows
 
-ELEMENT_NAMES = {"C": ("C", "CARBON"), "SI": ("SI", "SILICON"), "MN": ("MN", "MANGANESE"), "CR": ("CR", "CHROMIUM", "CHROME"), "NI": ("NI", "NICKEL"), "MO": ("MO", "MOLYBDENUM"), "P": ("P", "PHOSPHORUS"), "S": ("S", "SULFUR", "SULPHUR")}
-CHEMISTRY = f"SELECT p_partkey % 200 AS item, {pick('p_partkey', ('Carbon', 'si', 'Mn ', 'Chrome', 'Ni.', 'gold', 'P'))} AS name, {pick('p_size', ('0,12 %', '1.5', 'n/a', '.3', ''))} AS raw FROM part"
 
+CHEMISTRY = f"SELECT p_partkey % 200 AS item, p_partkey AS ordinal, {pick('p_partkey', ('Carbon', 'si', 'Mn ', 'Chromium', 'Ni.', ' gold ', 'P', 'copper', 'al', 'VANADIUM'))} AS name, {pick('p_size', ('0,12 %', '1.5', 'n/a', '.3', ''))} AS raw FROM part"
 
-@query(f"""WITH r AS (SELECT item, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS k, try_cast(replace(replace(replace(raw, '%', ''), ' ', ''), ',', '.') AS double) AS v FROM ({CHEMISTRY})),
-m AS (SELECT item, symbol, max(v) AS v FROM r JOIN {values_sql([(n, s) for s, names in ELEMENT_NAMES.items() for n in names], 'name, symbol')} ON k = t.name WHERE v IS NOT NULL GROUP BY item, symbol)
-SELECT item, string_agg(symbol || '=' || cast(cast(round(v * 1000) AS bigint) AS string), ',' ORDER BY symbol) AS composition FROM m GROUP BY item""")
+
+@query(f"""WITH r AS (SELECT item, ordinal, trim(name) AS name, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS k, try_cast(replace(replace(replace(raw, '%', ''), ' ', ''), ',', '.') AS double) AS v FROM ({CHEMISTRY})),
+m AS (SELECT item, coalesce(symbol, r.name) AS symbol, arg_max(v, ordinal) AS v FROM r LEFT JOIN {values_sql(ELEMENT_ROWS, 'name, symbol')} ON k = t.name WHERE v IS NOT NULL GROUP BY ALL)
+SELECT item, string_agg(symbol || '=' || cast(cast(round(v * 1000) AS bigint) AS string), ',' ORDER BY symbol || '=') AS composition FROM m GROUP BY item""")
 def chemical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element values of each item, in thousandths."""
-    names = spark.createDataFrame([(n, s) for s, ns in ELEMENT_NAMES.items() for n in ns], "k string, symbol string")
+    """Element values of each item, in thousandths; the last value of an element counts, and other names stay."""
     rows = view(spark, sf_dir, CHEMISTRY).withColumn("k", text.canonical_identifier(F.col("name"))).withColumn("v", numeric.parse_chemistry(F.col("raw"))).where("v IS NOT NULL")
-    best = rows.join(F.broadcast(names), "k").groupBy("item", "symbol").agg(F.max("v").alias("v"))
+    named = rows.join(F.broadcast(elements(spark)).withColumnRenamed("name", "k"), "k", "left").withColumn("symbol", F.coalesce("symbol", F.trim("name")))
+    best = named.groupBy("item", "symbol").agg(F.max_by("v", "ordinal").alias("v"))
     pair = F.concat_ws("=", "symbol", F.round(F.col("v") * 1000).cast("long").cast("string"))
     return best.groupBy("item").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("composition"))
 
@@ -491,29 +502,52 @@ def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Confidence, dates and summaries
 
-DOCS = f"""SELECT doc_id, cast(n_chars % 101 AS bigint) AS raw_pct, cast(90 AS bigint) AS score_pct, cast(n_chars % 200 AS double) AS blur, cast(n_chars % 40 AS double) AS noise, cast(n_chars % 99 AS bigint) AS missing_pct,
-  cast(doc_id % 5 AS bigint) AS n_suspicious, cast(doc_id % 7 AS bigint) AS n_items, {pick('doc_id', ('numeric_uncertain:yield', 'header_conflict', 'low_confidence', 'document_quality:ocr', 'other'))} AS t1, {pick('n_chars', ('numeric_promoted_thousands:rm', '', 'header_conflict:2'))} AS t2 FROM documents"""
-TOKEN = "CASE WHEN {0} LIKE 'numeric_uncertain%' THEN 10 WHEN {0} LIKE 'numeric_promoted_thousands%' THEN 5 WHEN {0} LIKE 'header_conflict%' THEN 8 ELSE 0 END"
-
-
-@query(f"""SELECT doc_id, cast(greatest(0, least(100, CASE WHEN raw_pct <> 0 THEN raw_pct ELSE score_pct END) - CASE WHEN n_items = 0 THEN 18 ELSE 0 END - CASE WHEN blur < 30 THEN 15 WHEN blur < 80 THEN 8 WHEN blur < 150 THEN 4 ELSE 0 END
-- CASE WHEN noise >= 25 THEN 12 WHEN noise >= 14 THEN 6 ELSE 0 END - CASE WHEN missing_pct >= 80 THEN 12 WHEN missing_pct >= 50 THEN 6 ELSE 0 END - least(24, 7 * n_suspicious) - least(45, {TOKEN.format('t1')} + {TOKEN.format('t2')})) AS bigint) AS confidence_pct FROM ({DOCS})""")
+DOCS = f"""SELECT doc_id, n_chars, cast(n_chars % 101 AS bigint) AS raw_pct, cast(90 AS bigint) AS score_pct, cast(n_chars % 200 AS double) AS blur, cast(n_chars % 40 AS double) AS noise, cast(n_chars % 99 AS bigint) AS missing_pct,
+  cast(doc_id % 5 AS bigint) AS n_suspicious, cast(doc_id % 7 AS bigint) AS n_items, cast(CASE WHEN doc_id % 11 = 0 THEN 0 ELSE doc_id % 7 END AS bigint) AS n_reported, cast(n_chars % 3 AS bigint) AS n_unresolved,
+  n_chars % 2 = 0 AS table_found, doc_id % 4 <> 0 AS understood, doc_id % 9 = 0 AS low_identifier,
+  {pick('doc_id', ('numeric_uncertain:yield', 'header_row_conflict:heat', 'low_confidence:grade', 'document_quality:ocr', 'other', 'Confidence  below', 'unresolved_spec'))} AS t1,
+  {pick('n_chars', ('numeric_promoted_thousands:rm', '', 'header_row_conflict:2', 'confidence_below_threshold', 'OCR text corrupted', 'validation_conflict:x'))} AS t2 FROM documents"""
+TOKEN = "CASE WHEN {0} LIKE 'numeric_uncertain:%' THEN 10 WHEN {0} LIKE 'numeric_promoted_thousands:%' THEN 5 WHEN {0} LIKE 'header_row_conflict:%' THEN 8 ELSE 0 END"
+
+
+@query(f"""WITH d AS (SELECT *, CASE WHEN raw_pct <> 0 THEN raw_pct ELSE score_pct END AS st, greatest(n_items, 1) AS n FROM ({DOCS})),
+c AS (SELECT *, st - CASE WHEN n_items = 0 THEN 18 ELSE 0 END - CASE WHEN blur < 30 THEN 15 WHEN blur < 80 THEN 8 WHEN blur < 150 AND missing_pct < 40 THEN 4 WHEN blur < 150 THEN 8 ELSE 0 END
+  - CASE WHEN noise >= 25 THEN 12 WHEN noise >= 14 THEN 6 ELSE 0 END - CASE WHEN n_reported <> n_items THEN 10 ELSE 0 END - CASE WHEN missing_pct >= 80 THEN 12 WHEN missing_pct >= 50 THEN 6 ELSE 0 END
+  - least(24, 7 * n_suspicious) - least(8, 3 * n_unresolved) AS adjusted,
+  least(CASE WHEN blur < 30 THEN 50 WHEN blur < 80 THEN 70 WHEN blur < 150 AND missing_pct >= 40 THEN 70 ELSE 100 END, CASE WHEN noise >= 25 THEN 55 WHEN noise >= 14 THEN 75 ELSE 100 END,
+    CASE WHEN table_found AND n_reported = 0 THEN 32 ELSE 100 END, CASE WHEN n_reported <> n_items THEN 50 ELSE 100 END, CASE WHEN low_identifier THEN 70 ELSE 100 END,
+    CASE WHEN missing_pct >= 80 THEN 50 WHEN missing_pct >= 50 THEN 70 ELSE 100 END, CASE WHEN n_suspicious > 0 THEN 45 ELSE 100 END, CASE WHEN understood AND n_items = 0 THEN 35 ELSE 100 END) AS cap FROM d)
+SELECT doc_id, cast(greatest(5, least(100, adjusted, cap)) AS bigint) AS confidence_pct, cast(greatest(5, least(100, st)) AS bigint) AS extraction_pct,
+  cast(greatest(5, 100 - least(45, {TOKEN.format('t1')} + {TOKEN.format('t2')})) AS bigint) AS normalization_pct,
+  cast(greatest(5, least(100, (n - n_unresolved) * 100 // n)) AS bigint) AS spec_resolution_pct, cast(greatest(5, (4 * n - n_suspicious) * 25 // n) AS bigint) AS validation_pct FROM c""")
 def document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = view(spark, sf_dir, DOCS).withColumn("tokens", F.filter(F.array("t1", "t2"), lambda t: t != ""))
-    return confidence.document_confidence(docs).select("doc_id", "confidence_pct")
+    return confidence.document_confidence(docs).select("doc_id", "confidence_pct", "extraction_pct", "normalization_pct", "spec_resolution_pct", "validation_pct")
+
+
+ONLY = "(lower(trim({0})) IN ('confidence falls below threshold', 'confidence_below_threshold', 'low_confidence', 'overall_decision_confidence_below_threshold') OR lower(trim({0})) LIKE 'low_confidence:%')"
+SOFTS = "({0} LIKE 'document_quality:%' OR (lower({0}) LIKE '%ocr%' AND lower({0}) LIKE '%corrupt%'))"
+BLOCKS = "({0} IN ('unresolved_spec') OR {0} LIKE 'header_row_conflict:%' OR {0} LIKE 'validation_conflict:%')"
 
 
-@query(f"""WITH t AS (SELECT unnest([t1, t2]) AS t FROM ({DOCS})) SELECT CASE WHEN t = 'low_confidence' THEN 'confidence_only' WHEN t LIKE 'document_quality:%' OR t LIKE 'numeric_promoted_thousands%' THEN 'soft' ELSE 'blocking' END AS kind, count(*) AS n FROM t WHERE t <> '' GROUP BY 1""")
+@query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest([t1, t2]) AS t FROM ({DOCS})) SELECT CASE WHEN {ONLY.format('t')} THEN 'confidence_only' WHEN {SOFTS.format('t')} THEN 'soft' WHEN {BLOCKS.format('t')} THEN 'blocking' END AS kind, count(*) AS n FROM t WHERE t <> '' GROUP BY 1 HAVING kind IS NOT NULL""")
 def reason_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = view(spark, sf_dir, DOCS).select(confidence.classify_tokens(F.filter(F.array("t1", "t2"), lambda t: t != "")).alias("k"))
     sizes = kinds.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.size(f"k.{k}").cast("long").alias("n")) for k in ("confidence_only", "soft", "blocking")))).alias("s"))
-    return sizes.groupBy("s.kind").agg(F.sum("s.n").alias("n"))
+    return sizes.groupBy("s.kind").agg(F.sum("s.n").alias("n")).where("n > 0")
 
 
-@query(f"""SELECT doc_id, concat_ws('|', CASE WHEN NOT n_items > 0 THEN 'items' END, CASE WHEN NOT n_suspicious < 2 THEN 'plausible' END, CASE WHEN NOT blur >= 30 THEN 'readable' END, CASE WHEN NOT missing_pct < 50 THEN 'complete' END) AS missing,
-CASE WHEN n_items > 0 AND n_suspicious < 2 AND blur >= 30 AND missing_pct < 50 THEN 'AUTO_ACCEPT' ELSE 'NEEDS_REVIEW' END AS decision FROM ({DOCS})""")
+HOLDS = {
+    "critical_fields_present": "missing_pct < 90", "traceability_verified": "NOT low_identifier", "row_alignment_verified": "n_reported = n_items", "validation_passed": "n_suspicious < 3",
+    "document_quality_acceptable": "blur >= 25", "no_blocking_reasons": f"NOT ({BLOCKS.format('t1')} OR {BLOCKS.format('t2')})", "confidence_acceptable": "raw_pct >= 30", "supported_document_type": "understood",
+}
+
+
+@query(f"""SELECT doc_id, concat_ws('|', {', '.join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in HOLDS.items())}) AS missing,
+CASE WHEN {' AND '.join(f'({c})' for c in HOLDS.values())} THEN 'auto_accept' ELSE 'review_required' END AS decision FROM ({DOCS})""")
 def auto_accept_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    criteria = {"items": F.col("n_items") > 0, "plausible": F.col("n_suspicious") < 2, "readable": F.col("blur") >= 30, "complete": F.col("missing_pct") < 50}
+    criteria = {n: F.expr(c) for n, c in HOLDS.items()}
+    criteria["no_blocking_reasons"] = F.size(F.filter(F.array("t1", "t2"), confidence.is_blocking)) == 0
     return confidence.auto_accept(view(spark, sf_dir, DOCS), criteria).select("doc_id", F.array_join("missing_evidence", "|").alias("missing"), "decision")
 
 
@@ -563,25 +597,31 @@ def supplier_hint_and_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Profiles, lists and batches
 
 SCANS = """SELECT conv_id AS doc_id, turn AS page, cast(length(text) % 160 AS double) AS blur, cast(length(text) % 30 AS double) AS noise, turn % 2 = 0 AS has_table, cast(length(text) AS bigint) AS size FROM conversations"""
-STATE = "CASE WHEN blur < 80 AND noise >= 14 THEN 'both' WHEN blur < 80 THEN 'blurry' WHEN noise >= 14 THEN 'noisy' ELSE 'clean' END"
+STATE = """CASE WHEN blur < 80 AND noise >= 25 THEN 'noisy_and_blurry' WHEN noise >= 25 THEN 'noisy' WHEN blur < 80 THEN 'blurry'
+  WHEN blur < 150 AND noise >= 14 THEN 'noisy_and_blurry' WHEN noise >= 14 THEN 'noisy' WHEN blur < 150 THEN 'blurry' ELSE 'clean' END"""
+CHOSEN = "CASE state WHEN 'clean' THEN 'full_gray|contrast' WHEN 'noisy' THEN 'denoised|contrast' WHEN 'blurry' THEN 'contrast' ELSE 'denoised|contrast' END || CASE WHEN has_table THEN '|table_crop' ELSE '' END || CASE WHEN state = 'clean' THEN '' ELSE '|full_gray' END"
 
 
-@query(f"""SELECT doc_id, page, cast(round((CASE WHEN page = 0 THEN 100 ELSE 0 END + CASE WHEN has_table THEN 80 ELSE 0 END + least(blur / 10, 20) + 10 - 2 * page) * 10) AS bigint) AS score_tenths, {STATE} AS state,
-CASE {STATE} WHEN 'noisy' THEN 'original' WHEN 'clean' THEN 'original' ELSE 'sharpened' END AS variant, cast(floor((size * 4 + 2) / 3.0) AS bigint) + 182 AS bytes FROM ({SCANS})""")
+@query(f"""WITH s AS (SELECT *, {STATE} AS state FROM ({SCANS})) SELECT doc_id, page, cast(round((CASE WHEN page = 0 THEN 100 ELSE 0 END + CASE WHEN has_table THEN 80 ELSE 0 END + least(blur / 10, 20) + 10 - 2 * page) * 10) AS bigint) AS score_tenths, state,
+{CHOSEN} AS selected, CASE state WHEN 'noisy' THEN 'denoised' ELSE 'contrast' END AS variant, cast(floor((size * 4 + 2) / 3.0) AS bigint) + 182 AS bytes FROM s""")
 def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's score, condition, variant (none is denoised) and encoded size."""
-    state = profile.condition(F.col("blur"), F.col("noise"))
+    """Each page's score, condition, variants (of four that are available) and encoded size."""
     score = profile.page_score(F.col("page"), F.col("has_table"), F.col("blur"), F.lit(1))
-    variant = profile.primary_variant(F.col("state"), F.array(F.lit("original"), F.lit("sharpened")))
-    return view(spark, sf_dir, SCANS).withColumn("state", state).select("doc_id", "page", F.round(score * 10).cast("long").alias("score_tenths"), "state", variant.alias("variant"), profile.request_bytes(F.col("size")).cast("long").alias("bytes"))
+    pages = view(spark, sf_dir, SCANS).withColumn("state", profile.condition(F.col("blur"), F.col("noise")))
+    available = F.array(*map(F.lit, ("contrast", "denoised", "full_gray", "table_crop")))
+    pages = pages.withColumn("selected", profile.selected_variants(F.col("state"), available, F.col("has_table"))).withColumn("variant", profile.primary_variant(F.col("state"), F.col("selected")))
+    return pages.select("doc_id", "page", F.round(score * 10).cast("long").alias("score_tenths"), "state", F.array_join("selected", "|").alias("selected"), "variant", profile.request_bytes(F.col("size")).cast("long").alias("bytes"))
+
+
+CONDITIONS = ("clean", "noisy", "blurry", "noisy_and_blurry")
 
 
 @query(f"""WITH s AS (SELECT *, {STATE} AS state FROM ({SCANS})), w AS (SELECT doc_id, min(blur) AS blur, max(noise) AS noise, bool_or(has_table) AS has_table FROM s WHERE page < 2 GROUP BY doc_id),
-c AS (SELECT doc_id, state, count(*) AS n FROM s GROUP BY ALL), d AS (SELECT doc_id, arg_max(state, (n, -list_position(['clean', 'noisy', 'blurry', 'both'], state))) AS state FROM c GROUP BY doc_id) SELECT d.doc_id, blur, noise, has_table, state FROM d LEFT JOIN w ON d.doc_id = w.doc_id""")
+c AS (SELECT doc_id, state, count(*) AS n FROM s GROUP BY ALL), d AS (SELECT doc_id, arg_max(state, (n, -list_position({list(CONDITIONS)}, state))) AS state FROM c GROUP BY doc_id) SELECT d.doc_id, blur, noise, has_table, state FROM d LEFT JOIN w ON d.doc_id = w.doc_id""")
 def document_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst of the first pages, and the commonest condition of all."""
     pages = view(spark, sf_dir, SCANS).withColumn("state", profile.condition(F.col("blur"), F.col("noise")))
-    return profile.dominant(pages, "state", ("clean", "noisy", "blurry", "both")).join(profile.worst_pages(pages), "doc_id", "left").select("doc_id", "blur", "noise", "has_table", "state")
+    return profile.dominant(pages, "state", CONDITIONS).join(profile.worst_pages(pages), "doc_id", "left").select("doc_id", "blur", "noise", "has_table", "state")
 
 
 GATED = f"SELECT {pick('p', ('H1', '', 'H2', None))} AS heat, CASE cast(s % 4 AS int) WHEN 0 THEN NULL ELSE cast(s % 100 AS double) / 100 END AS sure, q % 2 = 0 AS degraded FROM ({LINES}) AS x"

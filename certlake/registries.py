@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def _pipe(number: str) -> tuple[str, ...]:
-    """Pipe grades are written alone or after their standard."""
-    return tuple(f"{p}TP{number}" for p in ("", "ASTM A312 ", "ASTM A213 ", "A312 ", "A213 "))
-
+import re
 
-def _steel(number: str) -> tuple[str, ...]:
-    return (number, f"AISI {number}", f"SS {number}")
+from pyspark.sql import DataFrame, SparkSession
 
 
-# Canonical grade, family group, aliases.
+# Canonical grade, family group, aliases.  The order counts: contained aliases are listed in it.
 GRADES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("S235JR", "structural_carbon", ("S235", "S235JRH")),
-    ("S275JR", "structural_carbon", ("S275", "S275J0H")),
-    ("S355JR", "structural_carbon", ()),
-    ("S355J2", "structural_carbon", ("S355J2H",)),
-    ("S355J2+N", "structural_carbon", ("S355J2N",)),
-    ("API 5L X65", "line_pipe", ("API5LX65", "X65", "L450")),
-    ("S195", "pipe", ("EN 10255", "S195T")),
-    ("SG2", "welding_wire", ("NOVOFIL SG2", "NOVOBRONZE SG2")),
-    ("B500B", "rebar", ("BST500B",)),
-    ("SRCDRW02", "demo_supported_known_grade", ()),
-    ("1.4301", "stainless_austenitic", ("14301", "X5CRNI18-10")),
-    ("304", "stainless_austenitic", _steel("304")),
-    ("1.4307", "stainless_austenitic", ("14307", "X2CRNI18-9")),
-    ("304L", "stainless_austenitic", _steel("304L")),
-    ("1.4401", "stainless_austenitic", ("14401", "X5CRNIMO17-12-2")),
-    ("316", "stainless_austenitic", _steel("316")),
-    ("1.4404", "stainless_austenitic", ("14404", "X2CRNIMO17-12-2")),
-    ("316L", "stainless_austenitic", _steel("316L")),
-    ("317", "stainless_austenitic", _steel("317")),
-    ("317L", "stainless_austenitic", _steel("317L")),
-    ("347", "stainless_austenitic", (*_steel("347"), "1.4550", "14550")),
-    ("316Ti", "stainless_austenitic", ("1.4571", "14571")),
-    ("347H", "stainless_austenitic", _steel("347H")),
-    ("1.4541", "stainless_austenitic", ("14541", "X6CRNITI18-10")),
-    ("321", "stainless_austenitic", (*_steel("321"), "UNS S32100", "S32100")),
-    ("1.4878", "stainless_austenitic", ("14878", "X8CRNITI18-10")),
-    ("321H", "stainless_austenitic", (*_steel("321H"), "UNS S32109", "S32109")),
-    *((f"TP{n}", "astm_pipe", _pipe(n)) for n in ("304", "304L", "316", "316L", "317", "317L", "321", "321H", "347", "347H")),
+    ("S235JR", "structural_carbon", ("S235JR", "S235 JR", "S235", "S235JRH")),
+    ("S275JR", "structural_carbon", ("S275JR", "S275 JR", "S275", "S275J0H")),
+    ("S355JR", "structural_carbon", ("S355JR", "S355 JR")),
+    ("S355J2", "structural_carbon", ("S355J2", "S355 J2", "S355J2H")),
+    ("S355J2+N", "structural_carbon", ("S355J2+N", "S355 J2+N", "S355J2N")),
+    ("API 5L X65", "line_pipe", ("API 5L X65", "API5L X65", "API 5LX65", "API5LX65", "X65", "L450")),
+    ("S195", "pipe", ("S195", "EN 10255", "S195T")),
+    ("SG2", "welding_wire", ("SG2", "NOVOFIL SG2", "NOVOBRONZE SG2")),
+    ("B500B", "rebar", ("B 500 B", "B500B", "B 500B", "B500 B", "BST 500 B", "BST500B")),
+    ("SRCDRW02", "demo_supported_known_grade", ("SRCDRW02", "SRC DRW02", "SRC-DRW02")),
+    ("1.4301", "stainless_austenitic", ("1.4301", "14301", "X5CRNI18-10", "X5CRNI1810")),
+    ("304", "stainless_austenitic", ("304", "AISI 304", "SS 304")),
+    ("1.4307", "stainless_austenitic", ("1.4307", "14307", "X2CRNI18-9", "X2CRNI189")),
+    ("304L", "stainless_austenitic", ("304L", "AISI 304L", "SS 304L")),
+    ("1.4401", "stainless_austenitic", ("1.4401", "14401", "X5CRNIMO17-12-2", "X5CRNIMO17122")),
+    ("316", "stainless_austenitic", ("316", "AISI 316", "SS 316")),
+    ("1.4404", "stainless_austenitic", ("1.4404", "14404", "X2CRNIMO17-12-2", "X2CRNIMO17122")),
+    ("316L", "stainless_austenitic", ("316L", "AISI 316L", "SS 316L")),
+    ("TP304", "astm_pipe", ("TP304", "ASTM A312 TP304", "ASTM A213 TP304", "A312 TP304", "A213 TP304")),
+    ("TP304L", "astm_pipe", ("TP304L", "ASTM A312 TP304L", "ASTM A213 TP304L", "A312 TP304L", "A213 TP304L")),
+    ("TP316", "astm_pipe", ("TP316", "ASTM A312 TP316", "ASTM A213 TP316", "A312 TP316", "A213 TP316")),
+    ("TP316L", "astm_pipe", ("TP316L", "ASTM A312 TP316L", "ASTM A213 TP316L", "A312 TP316L", "A213 TP316L")),
+    ("317", "stainless_austenitic", ("317", "AISI 317", "SS 317")),
+    ("317L", "stainless_austenitic", ("317L", "AISI 317L", "SS 317L")),
+    ("TP317", "astm_pipe", ("TP317", "ASTM A312 TP317", "ASTM A213 TP317", "A312 TP317", "A213 TP317")),
+    ("TP317L", "astm_pipe", ("TP317L", "ASTM A312 TP317L", "ASTM A213 TP317L", "A312 TP317L", "A213 TP317L")),
+    ("TP321", "astm_pipe", ("TP321", "ASTM A312 TP321", "ASTM A213 TP321", "A312 TP321", "A213 TP321")),
+    ("TP321H", "astm_pipe", ("TP321H", "ASTM A312 TP321H", "ASTM A213 TP321H", "A312 TP321H", "A213 TP321H")),
+    ("347", "stainless_austenitic", ("347", "AISI 347", "SS 347", "1.4550", "14550")),
+    ("316Ti", "stainless_austenitic", ("316TI", "316Ti", "1.4571", "14571")),
+    ("347H", "stainless_austenitic", ("347H", "AISI 347H", "SS 347H")),
+    ("TP347", "astm_pipe", ("TP347", "ASTM A312 TP347", "ASTM A213 TP347", "A312 TP347", "A213 TP347")),
+    ("TP347H", "astm_pipe", ("TP347H", "ASTM A312 TP347H", "ASTM A213 TP347H", "A312 TP347H", "A213 TP347H")),
+    ("1.4541", "stainless_austenitic", ("1.4541", "14541", "X6CRNITI18-10", "X6CRNITI1810")),
+    ("321", "stainless_austenitic", ("321", "AISI 321", "SS 321", "UNS S32100", "S32100")),
+    ("1.4878", "stainless_austenitic", ("1.4878", "14878", "X8CRNITI18-10", "X8CRNITI1810")),
+    ("321H", "stainless_austenitic", ("321H", "AISI 321H", "SS 321H", "UNS S32109", "S32109")),
 )
 
 # Canonical grade, least yield, least and most tensile strength (MPa), least elongation (%).
@@ -81,16 +83,81 @@ HEAT_LOOKALIKES = ("0OD", "1IL", "5S", "6GB", "8B", "2Z")
 # Outcomes that send a row to review.
 REVIEW_OUTCOMES = ("NEEDS_REVIEW", "UNRESOLVED_SPEC", "UNSUPPORTED_SPEC_FAMILY", "UNSUPPORTED_DOCUMENT", "EXPLICIT_UNMAPPED_GRADE", "MISSING_CRITICAL_FIELD_GRADE")
 
-# Header synonyms of canonical fields.
-HEADERS: dict[str, tuple[str, ...]] = {
-    "heat_number": ("HEAT NO", "HEAT NUMBER", "HEAT", "CHARGE NO", "CAST NO"),
-    "grade": ("GRADE", "STEEL GRADE", "MATERIAL GRADE", "KALITE"),
-    "yield_strength_mpa": ("YIELD STRENGTH", "RP0.2", "REH"),
-    "tensile_strength_mpa": ("TENSILE STRENGTH", "RM", "UTS"),
-    "elongation_percentage": ("ELONGATION", "A%", "ELONG"),
-    "certificate_date": ("DATE", "DATE OF ISSUE"),
-    "weight_or_length": ("WEIGHT", "LENGTH", "QUANTITY"),
-}
+# Look-alike characters inside identifiers; other than those of heat numbers.
+IDENTIFIER_LOOKALIKES = ("O0", "IL1", "S5", "B8", "Z2", "G6")
+RISKY_LETTERS = "OILSBZG"
+
+# Canonical fields, their category and header synonyms.
+HEADERS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "supplier_name": ("metadata", ("SUPPLIER", "MANUFACTURER", "PRODUCER", "COMPANY", "FIRMA")),
+    "document_type": ("metadata", ("DOCUMENT TYPE", "CERTIFICATE TYPE", "DOC TYPE", "BELGE TIPI")),
+    "certificate_date": ("metadata", ("DATE", "CERTIFICATE DATE", "ISSUE DATE", "TARIH")),
+    "item_id": ("row", ("ITEM", "SIZE", "EBAT", "PROFILE", "PROFIL")),
+    "heat_number": (
+        "row",
+        ("HEAT NO", "HEAT NUMBER", "HEAT#", "HEAT", "MELT NO", "MELT NUMBER", "SCHMELZE NO", "SCHMELZE NUMBER", "SCHMELZE", "DOKUM NO",
+         "DOKUM NUMARASI", "DÖKÜM NO", "DÖKÜM NUMARASI"),
+    ),
+    "batch_number": ("metadata", ("BATCH NO", "BATCH NUMBER", "BATCH N", "BATCH N°", "BATCH", "PARTITA", "N PARTITA")),
+    "lot_number": ("metadata", ("LOT", "LOT NO", "LOT NUMBER", "LOT N", "LOT N°", "LOTTO", "N LOTTO", "N. LOTTO")),
+    "colata_number": ("metadata", ("COLATA", "N COLATA", "N. COLATA", "COLATA/BATCH", "COLATA NO", "COLATA N", "COLATA N°", "COLATA NUMBER")),
+    "cast_number": ("metadata", ("CAST", "CAST NO", "CAST NUMBER")),
+    "charge_number": ("metadata", ("CHARGE", "CHARGE NO", "CHARGE NUMBER")),
+    "coil_number": ("row", ("COIL", "COIL NO", "COIL NUMBER")),
+    "product_name": (
+        "row",
+        ("PRODUCT", "PRODUCT NAME", "PRODUCT DESCRIPTION", "MATERIAL NAME", "TRADE NAME", "DESCRIPTION", "PRODOTTO", "MATERIALE", "WARENBEZEICHNUNG",
+         "ARTIKELBEZEICHNUNG", "PRODUCTO"),
+    ),
+    "grade": (
+        "row",
+        ("GRADE", "MATERIAL", "KALITE", "STEEL GRADE", "MATERIAL GRADE", "QUALITY", "QUALITA", "QUALITÀ", "QUALITE", "STAHLSORTE", "GUTE", "GÜTE"),
+    ),
+    "certificate_number": (
+        "metadata",
+        ("CERTIFICATE NO", "CERTIFICATE NUMBER", "CERTIFICATE N", "CERTIFICATE N°", "CERTIFICATE", "CERT NO", "CERT NUMBER", "CERT N", "CERT N°", "CERT",
+         "CERTIFICATO", "CERTIFICATO NO", "CERTIFICATO N", "N CERTIFICATO", "ZERTIFIKAT NR", "ZEUGNIS NR"),
+    ),
+    "order_number": (
+        "metadata",
+        ("ORDER NO", "ORDER NUMBER", "ORDER N", "ORDER N°", "ORDER", "PURCHASE ORDER", "CUSTOMER ORDER", "CUSTOMER PO", "PO NO", "PO NUMBER", "PO N", "PO N°",
+         "PO", "P.O.", "P.O. NO", "ORDINE", "ORDINE NO", "N ORDINE", "COMMESSA", "BESTELLUNG", "BESTELLNR", "AUFTRAG"),
+    ),
+    "order_date": ("metadata", ("ORDER DATE", "PO DATE", "P.O. DATE", "PURCHASE ORDER DATE", "CUSTOMER ORDER DATE", "DATA ORDINE", "DATA PO", "BESTELLDATUM")),
+    "product_details": ("row", ("PRODUCT DETAILS", "PACKAGE", "PACKAGING", "PACKING", "PACKAGE DETAILS", "DETAIL", "DETAILS", "DETTAGLI", "IMBALLO")),
+    "weight_or_length": ("row", ("WEIGHT", "LENGTH", "UZUNLUK", "AGIRLIK", "AĞIRLIK", "QTY")),
+    "yield_strength_mpa": ("numeric", ("YIELD TS", "YIELD", "RE", "RP0.2", "RP 0.2", "RP 0,2")),
+    "tensile_strength_mpa": ("numeric", ("TENSILE TS", "TENSILE", "RM")),
+    "elongation_percentage": ("numeric", ("ELONGATION", "A%", "A %", "A")),
+    "chemical_composition": ("row", ("CHEMICAL COMPOSITION", "CHEMISTRY", "CHEMICAL ANALYSIS", "CHEM COMPOSITION")),
+    "dimensions": (
+        "row",
+        ("DIAMETER", "DIAM", "DIA", "DIMENSION", "DIMENSIONS", "NOMINAL DIAMETER", "NOMINAL SIZE", "DIAMETRO", "ABMESSUNG", "ABMESSUNGEN"),
+    ),
+    "standards": ("row", ("STANDARD", "STANDARDS", "NORMATIVE STANDARD", "NORM", "NORMA", "SPECIFICATION", "SPECIFICA")),
+    "classifications": ("row", ("CLASSIFICATION", "CLASSIFICATIONS", "CLASSIFICAZIONE", "KLASSIFIZIERUNG")),
+}
+
+# Element symbols and their names.
+ELEMENTS: dict[str, tuple[str, ...]] = {
+    "C": ("CARBON",), "Si": ("SILICON",), "Mn": ("MANGANESE",), "P": ("PHOSPHORUS", "PHOSPHOROUS"), "S": ("SULPHUR", "SULFUR"),
+    "Cu": ("COPPER",), "Ni": ("NICKEL",), "Cr": ("CHROMIUM",), "Mo": ("MOLYBDENUM",), "V": ("VANADIUM",), "Al": ("ALUMINIUM", "ALUMINUM"),
+    "Nb": ("NIOBIUM", "COLUMBIUM"), "Ti": ("TITANIUM",), "N": ("NITROGEN",), "B": ("BORON",), "Fe": ("IRON",), "W": ("TUNGSTEN",),
+    "Co": ("COBALT",), "Pb": ("LEAD",), "Sn": ("TIN",), "As": ("ARSENIC",), "Sb": ("ANTIMONY",), "Zr": ("ZIRCONIUM",), "Ca": ("CALCIUM",),
+    "Mg": ("MAGNESIUM",), "Zn": ("ZINC",),
+}
+
+
+def header_key(text: str) -> str:
+    """A synonym in the form that ``functions.text.normalize_header`` gives headers."""
+    out = text.translate(str.maketrans("ÇĞİÖŞÜçğıöşü", "CGIOSUcgiosu")).upper().strip().replace(",", ".")
+    for pattern, to in ((r"[/:;|]+", " "), (r"[_\-]+", " "), (r"\s+", " "), (r"\bRP\s*0[.,]?\s*2\b", "RP0.2"), (r"[^\w.%\s]+", ""), (r"\s+", " ")):
+        out = re.sub(pattern, to, out)
+    return out.strip()
+
+
+HEADER_ROWS = [(h, f) for h, f in {header_key(h): f for f, (_, names) in HEADERS.items() for h in (f, *names)}.items()]
+ELEMENT_ROWS = [(n, s) for s, names in ELEMENTS.items() for n in (s.upper(), *names)]
 
 
 def alias_key(text: str) -> str:
@@ -114,7 +181,12 @@ def specs(spark: SparkSession) -> DataFrame:
 
 def headers(spark: SparkSession) -> DataFrame:
     """(header, field): canonical names and synonyms in normalised form."""
-    return spark.createDataFrame([(h, f) for f, names in HEADERS.items() for h in dict.fromkeys((*names, f.upper().replace("_", " ")))], "header string, field string")
+    return spark.createDataFrame(HEADER_ROWS, "header string, field string")
+
+
+def elements(spark: SparkSession) -> DataFrame:
+    """(name, symbol): symbols in capitals and names of elements."""
+    return spark.createDataFrame(ELEMENT_ROWS, "name string, symbol string")
 
 
 def values_sql(rows, columns: str) -> str:

@@ -71,7 +71,7 @@ def test_shapes_and_headers(spark):
     assert one(spark, text.confusable_heats(F.lit("A1005"), F.lit("AI0O5"))) is True
     assert one(spark, text.confusable_heats(F.lit("H005"), F.lit("H006"))) is False
     assert one(spark, text.is_missing(F.lit(" "))) is True and one(spark, text.is_missing(F.lit("0"))) is False
-    assert one(spark, text.noisy_text(F.lit("é" * 50))) is True and one(spark, text.noisy_text(F.lit("short é"))) is False
+    assert one(spark, text.noisy_text(F.lit("é" * 50))) is False and one(spark, text.noisy_text(F.lit("word " * 10 + "~^~"))) is True and one(spark, text.noisy_text(F.lit("ab¤¤" * 20))) is True and one(spark, text.noisy_text(F.lit("short é"))) is False
 
 
 def test_labels_in_text():
@@ -88,4 +88,12 @@ def test_details_days_and_substitutions(spark):
     assert (both.identifier, both.date, both.conflict) == ("A-123", "07/10/2024", False)
     assert one(spark, text.single_substitution(F.lit("A105"), F.lit("AI05"))) is True
     assert one(spark, text.single_substitution(F.lit("A105"), F.lit("A106"))) is True and one(spark, text.single_substitution(F.lit("AX05"), F.lit("AY05"))) is False
+    pairs = {("D105", "0105"): False, ("1G5", "165"): True, ("AG5", "A65"): False, ("B105", "8105"): True, ("B105", "6105"): False, ("A10", "A105"): False, ("A15", "B25"): False}
+    for (a, b), expected in pairs.items():
+        assert one(spark, text.single_substitution(F.lit(a), F.lit(b))) is expected, (a, b)
     assert one(spark, text.dimension_fragment(F.lit("rod 12,5 mm"))) == "12,5 mm" and one(spark, text.dimension_fragment(F.lit("rod"))) is None
+
+
+@pytest.mark.parametrize(("code", "expected"), [("812003694", False), ("81200369O", True), ("S1200594", True), ("A1200594", False), ("LS210612G8", False), ("12G34567", True), ("G2345678", True), ("AB-12", False), ("A12S45", True), ("", False), ("XYZ", False)])
+def test_suspicious_identifiers(spark, code, expected):
+    assert one(spark, text.suspicious_identifier(F.lit(code))) is expected

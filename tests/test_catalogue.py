@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from certlake.plans.catalogue import ORACLES, QUERIES
+from certlake.plans import catalogue, policy  # noqa: F401
+from certlake.plans.registry import ORACLES, QUERIES
 from tests.conftest import TINY
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

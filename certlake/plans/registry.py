@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,13 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES = ("catalogue", "policy", "tables", "report")
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"certlake.plans.{name}")
 
 
 def query(oracle: str | None = None):

@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
-from certlake.plans import catalogue, policy  # noqa: F401
-from certlake.plans.registry import ORACLES, QUERIES
+from certlake.plans.registry import ORACLES, QUERIES, load
 from tests.conftest import TINY
 
+load()
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -304,9 +304,13 @@ def budget_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.budget_cutoff(view(spark, sf_dir, COSTS), ["o_custkey"], [F.col("o_orderkey")], "cost", 500_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, size, score) AS k FROM ({PAGES})),
+f AS (SELECT doc_id, k, page, size, score, size <= 600 AS taken, CASE WHEN size <= 600 THEN size ELSE 0 END AS used FROM o WHERE k = 1 UNION ALL
+  SELECT o.doc_id, o.k, o.page, o.size, o.score, f.used + o.size <= 600, CASE WHEN f.used + o.size <= 600 THEN f.used + o.size ELSE f.used END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
+r AS (SELECT *, bool_or(taken) OVER (PARTITION BY doc_id) AS fits, row_number() OVER (PARTITION BY doc_id ORDER BY size, k) AS by_size FROM f)
+SELECT doc_id, page, score, size FROM r WHERE taken OR NOT fits AND by_size = 1""")
 def evidence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy packing of a conversation's turns into 600 characters; a fold, so without SQL."""
+    """Greedy packing of a conversation's turns into 600 characters."""
     return select.pack_greedy(view(spark, sf_dir, PAGES), "doc_id", ["page"], "size", 600, ["score"])
 
 
@@ -491,9 +495,10 @@ def chemical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("item").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("composition"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS job_id, CASE WHEN event_id % 97 = 0 THEN 'succeeded' ELSE event_type END AS status, ts, event_id FROM events)
+SELECT job_id, coalesce(arg_min(status, (ts, event_id)) FILTER (WHERE status IN ('succeeded', 'failed', 'cancelled')), arg_max(status, (ts, event_id))) AS status, count(*) AS n_events FROM e GROUP BY job_id""")
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job states from the events as a stream of files, read once until it is used up; without SQL."""
+    """Job states from the events as a stream of files, read once until it is used up."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = jobs.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
     states = jobs.job_states(events.select(F.col("user_id").alias("job_id"), F.when(F.col("event_id") % 97 == 0, "succeeded").otherwise(F.col("event_type")).alias("status"), "ts", "event_id"))

@@ -5,6 +5,8 @@ Each text is valid in both SQL dialects and has no randomness, so a query and it
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 GRADES = ("S235JR", "s355 j2", "S355", "304/304L", "TP316L", "ASTM A312 TP317L", "S195T", "API5LX65", "Q999", "", "NOVOFIL SG2/NOVOBRONZE SG2", "S355J2+N / S355JR", "321", "S275JR+AR", "MAT TP304L X", "SRC-DRW02")
@@ -47,9 +49,19 @@ DATES = """SELECT CASE cast(o_orderkey % 6 AS int)
 HEATS = f"""SELECT doc_id, row_index, CASE WHEN l = 6 THEN '' ELSE {pick('l', ('A', 'H', ''))} || {pick('p', ('1', 'I', '0', 'O', '8', 'B', '5'))} || cast(100 + s % 3 AS string) || CASE WHEN q % 4 = 0 THEN 'S' ELSE '5' END END AS heat FROM ({LINES}) AS x"""
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, **tables: str) -> DataFrame:
-    """The rows of a shared SQL text over the tables that it names."""
-    names = tables or {n: n for n in ("lineitem", "orders", "part", "supplier", "documents", "events", "labels", "conversations", "pages", "customer") if f"FROM {n}" in sql or f"JOIN {n}" in sql}
-    for name in names:
-        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+TABLES = ("lineitem", "orders", "part", "supplier", "documents", "events", "labels", "conversations", "pages", "customer")
+READS = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
+LITERAL = re.compile(r"('(?:[^']|'')*')")
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a shared SQL text over the tables that it reads; names inside literals are left alone."""
+    names: set[str] = set()
+
+    def bind(match: re.Match) -> str:
+        names.add(match[2])
+        return f"{match[1]} {{{match[2]}}}"
+
+    pieces = LITERAL.split(sql)
+    bound = "".join(piece if i % 2 else READS.sub(bind, piece) for i, piece in enumerate(pieces))
+    return spark.sql(bound, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})

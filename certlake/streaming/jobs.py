@@ -45,7 +45,11 @@ def drain(stream: DataFrame, key: str) -> DataFrame:
     Each batch goes to a folder of its own, so a batch that is run again replaces itself.
     """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="certlake-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="certlake-")
     path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def save(batch: DataFrame, number: int) -> None:

@@ -162,3 +162,20 @@ def metric_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every field that either run measured, with both values."""
     a, b = (df.select("field", F.col("value").alias(n)) for df, n in ((left, "before"), (right, "after")))
     return a.join(b, "field", "full").withColumn("change", F.round(F.col("after") - F.col("before"), 4))
+
+
+def profile_counts(profiles: DataFrame) -> DataFrame:
+    """Documents by quality class, by text layer, and over all; one pass of grouping sets (absent keys are null)."""
+    quality = F.coalesce(F.nullif(F.trim("quality"), F.lit("")), F.lit("unknown"))
+    rows = profiles.select(quality.alias("quality"), F.coalesce("has_text", F.lit(False)).alias("has_text"))
+    return rows.groupingSets([["quality"], ["has_text"], []], "quality", "has_text").agg(F.count("*").alias("n"))
+
+
+def with_default(rows: DataFrame, policies: DataFrame, key: str, default: str) -> DataFrame:
+    """Rows with the columns of their key's policy; of unknown and missing keys with those of the ``default`` one.
+
+    ``policies`` is a bounded registry, a row for each key, ``default`` among them.
+    """
+    known = F.broadcast(policies.select(F.col(key).alias("policy")))
+    keyed = rows.join(known, rows[key] == F.col("policy"), "left").withColumn("policy", F.coalesce("policy", F.lit(default)))
+    return keyed.join(F.broadcast(policies.withColumnRenamed(key, "policy")), "policy", "left")

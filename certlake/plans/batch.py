@@ -138,3 +138,20 @@ BEFORE, AFTER = ("SELECT lang AS field, round(avg(n_chars % 10), 2) AS value FRO
 def metric_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics that either of two runs has, side by side."""
     return batch.metric_names(view(spark, sf_dir, BEFORE), view(spark, sf_dir, AFTER))
+
+
+@query(f"""WITH p AS (SELECT coalesce(nullif(trim(quality), ''), 'unknown') AS quality, coalesce(has_text, false) AS has_text FROM ({PROFILES})) SELECT quality, has_text, count(*) AS n FROM p GROUP BY GROUPING SETS ((quality), (has_text), ())""")
+def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.profile_counts(view(spark, sf_dir, PROFILES))
+
+
+POLICIES = [("STRUCTURAL_STEEL", 4), ("PIPE", 4), ("WIRE_ROPE", 3)]
+CATEGORIES = f"SELECT doc_id, {pick('doc_id', ('PIPE', '', None, 'WIRE_ROPE', 'OTHER'))} AS category FROM documents"
+
+
+@query(f"""SELECT policy, n_mandatory, count(*) AS n FROM (SELECT CASE WHEN category IN ('PIPE', 'WIRE_ROPE') THEN category ELSE 'STRUCTURAL_STEEL' END AS policy, cast(CASE WHEN category = 'WIRE_ROPE' THEN 3 ELSE 4 END AS bigint) AS n_mandatory FROM ({CATEGORIES})) GROUP BY ALL""")
+def category_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the policy of their category, or the default one."""
+    policies = spark.createDataFrame(POLICIES, "category string, n_mandatory long")
+    rows = batch.with_default(view(spark, sf_dir, CATEGORIES), policies, "category", "STRUCTURAL_STEEL")
+    return rows.groupBy("policy", "n_mandatory").agg(F.count("*").alias("n"))

@@ -75,3 +75,9 @@ def test_children_are_replaced(spark):
 def test_empty_inputs(spark):
     assert batch.suppressed_groups(spark.createDataFrame([], "doc_id long, ordinal long, scope string, row_index long, field string")).count() == 0
     assert batch.text_statistics(spark.createDataFrame([], "doc_id long, chars long, noisy boolean")).count() == 0
+
+
+def test_unknown_keys_take_the_default(spark):
+    policies = spark.createDataFrame([("A", 1), ("B", 2)], "k string, least int")
+    rows = spark.createDataFrame([(1, "B"), (2, "x"), (3, None)], "doc_id long, k string")
+    assert {r.doc_id: (r.policy, r.least) for r in batch.with_default(rows, policies, "k", "A").collect()} == {1: ("B", 2), 2: ("A", 1), 3: ("A", 1)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import bloom_lm, bpe, cap_join, line_dedup, ngram_join, packing, quality, style_tree, topk, toxicity
+from certlake.llm import bloom_lm, bpe, cap_join, fim, line_dedup, ngram_join, packing, quality, resampling, style_tree, topk, toxicity
 from certlake.llm.common import fold
 
 
@@ -81,5 +81,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= config.threshold).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cap_join, op2_topk, op3_style_tree, op4_quality_classifier, op5_line_dedup, op6_ngram_join, op7_bloom_lm, op8_packing, op9_bpe, op10_toxicity)}
-ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, and restored, as digests."""
+    return fim.digest_table(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards ``benchmark``, and the ranks of the drawn twentieth."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (
+    op1_cap_join, op2_topk, op3_style_tree, op4_quality_classifier, op5_line_dedup, op6_ngram_join, op7_bloom_lm, op8_packing, op9_bpe, op10_toxicity,
+    op11_fim, op12_resampling,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op11_fim": fim.ORACLE}

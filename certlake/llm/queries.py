@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import bloom_lm, bpe, cap_join, fim, line_dedup, ngram_join, packing, quality, resampling, style_tree, topk, toxicity
+from certlake.llm import bloom_lm, bpe, cap_join, fim, line_dedup, ngram_join, packing, quality, resampling, style_tree, suffix_dedup, topk, toxicity
 from certlake.llm.common import fold
 
 
@@ -91,9 +91,14 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated passages of 200 bytes, as digests."""
+    return suffix_dedup.digest_table(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_cap_join, op2_topk, op3_style_tree, op4_quality_classifier, op5_line_dedup, op6_ngram_join, op7_bloom_lm, op8_packing, op9_bpe, op10_toxicity,
-    op11_fim, op12_resampling,
+    op11_fim, op12_resampling, op13_suffix_dedup,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op11_fim": fim.ORACLE}

@@ -13,9 +13,14 @@ UNIT = r"(?i)\s*(MPA|N/MM2|PSI|KSI|%|PCT|KG|MT|TONS|TON|PCS|MM|CM|M|FT)\s*$"
 MASS_OR_LENGTH = r"(?i)\s*(kilograms|kilogram|kgs|kg|grams|gram|g|tonnes|tonne|tons|ton|t|mt|mm|cm|m)\s*\.?$"
 
 
-def plausible(value: Column, kind: str) -> Column:
-    """Within the band of the kind; kinds without a band are always plausible."""
-    return value.between(*BANDS[kind]) if kind in BANDS else value.isNotNull()
+def plausible(value: Column, kind: str | Column) -> Column:
+    """Within the band of the kind; kinds without a band are always plausible.  The kind may differ by row."""
+    if isinstance(kind, str):
+        return value.between(*BANDS[kind]) if kind in BANDS else value.isNotNull()
+    out = F.when(F.lit(False), F.lit(None).cast("boolean"))
+    for name, band in BANDS.items():
+        out = out.when(kind == name, value.between(*band))
+    return out.otherwise(value.isNotNull())
 
 
 def suspicious(value: Column, band: tuple[float, float]) -> Column:
@@ -26,7 +31,7 @@ def _count(text: Column, sign: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
 
 
-def parse_locale(raw: Column, kind: str, locale: str = "auto") -> Column:
+def parse_locale(raw: Column, kind: str | Column, locale: str = "auto") -> Column:
     """struct<value, uncertain, promoted, reading> of a number whose separators may be decimal or thousands.
 
     Each pattern of separators gives one or two readings; the plausible band of the kind chooses.  A text
@@ -64,15 +69,16 @@ def _readings(digits: Column, locale: str) -> Column:
     return F.filter(F.array(first, second), lambda r: r["value"].isNotNull())
 
 
-def _choose(text: Column, digits: Column, readings: Column, kind: str) -> Column:
+def _choose(text: Column, digits: Column, readings: Column, kind: str | Column) -> Column:
     """The first plausible reading, else the first; certain if exactly one is plausible."""
     good = F.filter(readings, lambda r: plausible(r["value"], kind))
     blank = F.coalesce(text, F.lit("")) == ""
     empty = blank | (digits == "")
     three = F.regexp_like(digits, F.lit(r"^-?[0-9]+[.,][0-9]{3}$"))
+    banded = F.lit(kind in BANDS) if isinstance(kind, str) else F.coalesce(kind.isin(*BANDS), F.lit(False))
 
     def result(chosen: Column) -> Column:
-        doubt = (F.size(good) != 1) | ((chosen["name"] == "decimal") & three & F.lit(kind in BANDS))
+        doubt = (F.size(good) != 1) | ((chosen["name"] == "decimal") & three & banded)
         return F.struct(
             F.when(~empty, F.coalesce(chosen["value"], F.lit(0.0))).alias("value"),
             F.when(blank, False).when(empty, True).otherwise(F.coalesce(doubt, F.lit(True))).alias("uncertain"),

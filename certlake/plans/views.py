@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GRADES = ("S235JR", "s355 j2", "S355", "304/304L", "TP316L", "ASTM A312 TP317L", "S195T", "API5LX65", "Q999", "", "NOVOFIL SG2/NOVOBRONZE SG2", "S355J2+N / S355JR", "321", "S275JR+AR", "MAT TP304L X", "SRC-DRW02")
 
@@ -65,3 +66,15 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     pieces = LITERAL.split(sql)
     bound = "".join(piece if i % 2 else READS.sub(bind, piece) for i, piece in enumerate(pieces))
     return spark.sql(bound, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+
+
+def exploded(df: DataFrame, keys: list[str], variants: list[dict[str, str]]) -> DataFrame:
+    """For each row of ``df`` (named x) one row for each variant, a SQL text for each column; one scan serves all."""
+    cells = F.array(*(F.struct(*(F.expr(sql).alias(name) for name, sql in v.items())) for v in variants))
+    return df.alias("x").select(*keys, F.explode(cells).alias("cell")).select(*keys, "cell.*")
+
+
+def union_sql(source: str, keys: list[str], variants: list[dict[str, str]]) -> str:
+    """The same as one SQL text, a branch for each variant."""
+    branch = lambda v: f"SELECT {', '.join(f'x.{k}' for k in keys)}, {', '.join(f'{sql} AS {name}' for name, sql in v.items())} FROM {source} AS x"
+    return " UNION ALL ".join(map(branch, variants))

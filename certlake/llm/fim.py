@@ -52,7 +52,8 @@ def classes(points: np.ndarray, units: str) -> np.ndarray:
         raise ValueError(f"units are chars or words, not {units!r}")
     out = np.full(len(points), 3, dtype=np.int64)
     ascii_letter = ((points | 32) >= 97) & ((points | 32) <= 122)
-    out[ascii_letter | (points >= 0xC0)] = 0
+    sign = ((points >= 0x2000) & (points <= 0x2BFF)) | ((points >= 0x3000) & (points <= 0x303F))
+    out[ascii_letter | ((points >= 0xC0) & ~sign)] = 0
     out[(points >= 48) & (points <= 57)] = 1
     out[np.isin(points, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]) | ((points >= 0x2000) & (points <= 0x200A))] = 2
     return out

@@ -41,12 +41,14 @@ LONG = 48  # bytes from which a word's runs are hashed one by one
 
 @dataclass(frozen=True)
 class ResampleConfig:
-    """``percent`` of the rows with ``min_words`` words or more are drawn."""
+    """``percent`` of the rows with ``min_words`` words or more are drawn.  ``task_features``: features that a counting
+    task meets at least, so that its counts, a row for each bucket, are few beside them."""
 
     grams: int = 3
     buckets: int = 10_000
     min_words: int = 20
     percent: int = 5
+    task_features: int = 4_000_000
     seed: int = 42
 
 
@@ -151,7 +153,8 @@ def bucket_counts(texts: DataFrame, config: ResampleConfig) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "n"])
 
     out = np.zeros(config.buckets, dtype=np.int64)
-    for bucket, n in texts.select("copies", "buckets").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    tasks = 1 + texts.agg(F.coalesce(F.sum("n_features"), F.lit(0))).first()[0] // config.task_features
+    for bucket, n in texts.select("copies", "buckets").coalesce(tasks).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         out[bucket] = n
     return out
 
@@ -186,7 +189,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", config: Resam
     """(key, n_words, n_features, weight, score) for every row of ``docs``, whose ``text`` is drawn towards that of
     ``target``."""
     texts = materialize(hashed(collapse(docs), config), "hashed")
-    gain = gains(bucket_counts(texts, config), bucket_counts(hashed(collapse(target), config), config))
+    gain = gains(bucket_counts(texts, config), bucket_counts(materialize(hashed(collapse(target), config), "target"), config))
     rows = docs.select(F.col(f"`{key}`").alias("key"), _digest(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
     # A merge join, in which Spark splits the partitions of texts with many copies.
     joined = rows.hint("merge").join(weighed(texts, gain, config), "digest")

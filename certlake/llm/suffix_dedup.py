@@ -221,7 +221,7 @@ def _by_windows(many: DataFrame, config: RepeatConfig) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["a", "b", "chosen", "content", "n", "place"])
 
     seen = materialize(many.select("chosen", "content", "n", "windows", "bytes").mapInArrow(run, WINDOW), "windows")
-    twice = seen.groupBy("a", "b").agg(F.sum("n").alias("times")).where("times > 1").select("a", "b")
+    twice = materialize(seen.groupBy("a", "b").agg(F.sum("n").alias("times")).where("times > 1").select("a", "b"), "twice")
     back = seen.select("a", "b", "chosen", "content", "place").hint("merge").join(twice, ["a", "b"])
     return back.select("chosen", "content", F.col("place").alias("first"), F.col("place").alias("last"))
 
@@ -229,11 +229,12 @@ def _by_windows(many: DataFrame, config: RepeatConfig) -> DataFrame:
 def repeats(rows: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
     """(row, ranges): for each (row, text) with repeated windows, their ranges as (first, last) places."""
     all_fragments = materialize(fragments(rows, config), "fragments")
-    shared = all_fragments.groupBy("chosen").agg(F.count("*").alias("times")).where("times > 1").select("chosen")
+    # Counts are tables of their own: joined to one, Spark can split the partition of a string that stands everywhere.
+    shared = materialize(all_fragments.groupBy("chosen").agg(F.count("*").alias("times")).where("times > 1").select("chosen"), "shared")
     met = materialize(all_fragments.hint("merge").join(shared, "chosen"), "met")
     one = F.min(F.struct("row", "at", "windows")).alias("one")
     distinct = materialize(met.groupBy("chosen", "content").agg(F.count("*").alias("n"), one).select("chosen", "content", "n", "one.*"), "distinct")
-    kinds = distinct.groupBy("chosen").agg(F.count("*").alias("kinds"))
+    kinds = materialize(distinct.groupBy("chosen").agg(F.count("*").alias("kinds")), "kinds")
     grouped = distinct.hint("merge").join(kinds, "chosen")
     alone = grouped.where("kinds = 1 AND n > 1").select("chosen", "content", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
     wanted = grouped.where("kinds > 1").withColumn("many", F.col("kinds") > config.kinds)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlake.functions import labels, text
+from certlake.operators import identity
 from certlake.plans.registry import query
-from certlake.plans.views import pick, view
+from certlake.plans.views import LINES, pick, view
 from certlake.registries import values_sql
 
 TOKEN = text.TOKEN.replace("'", "''")
@@ -144,3 +145,35 @@ def labeled_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = done.select("doc_id", labels.fill_labelled(F.col("payload"), F.col("x"), F.col("combined")).alias("r"))
     conflicts = F.filter("r.tokens", lambda t: t.startswith("conflicting_labeled_candidates:"))
     return done.select("doc_id", *(F.element_at("r.payload", F.lit(f)).alias(f) for f in SHOWN), F.array_join(F.array_sort("r.filled"), "|").alias("filled"), F.array_join(F.array_sort(conflicts), "|").alias("conflicts"))
+
+
+CODES = ("", "M21", "12 mm", None, "7", "EN 10204")
+PRODUCTS = ("WELDWIRE SG2 / BRONZEWIRE SG2", "EN ISO 14341-A", "", None, "STEEL WIRE ROD - DIAM 5.5 mm", "Heat: 4711 Batch: B123", "S355J2", "Ø 12 mm", "PLATE S235JR 20 kg")
+MIXED_GRADES = ("SG2", "M21 / C1", "", None, "EN 10255", "HOT ROLLED PLATE S355J2", "12 mm", "S355J2", "EN ISO 14341-A / SG2", "G46 / S235JR", "Heat: 1 B: 2 Lot: L100")
+LIST_TEXTS = ("EN ISO 14341-A, M21", "", None, "EN 10025-2|en 10025-2|C1")
+IDENTITY_ROWS = f"""SELECT doc_id, row_index, {pick('p', CODES)} AS item_id, {pick('s', PRODUCTS)} AS product_name, {pick('q', (None, 'spool'))} AS product_details,
+  {pick('p + s', MIXED_GRADES)} AS grade, {pick('q', (None, '', '16 mm', None, ''))} AS dimensions, {pick('l', LIST_TEXTS)} AS listed, {pick('s', ('Cert', 'PO', 'Heat', 'Diameter', 'Kalite', 'Norm', '_x', 'Colour'))} AS extra_key,
+  {pick('p', ('X-9', '', '0.80 mm', 'H9001', None))} AS extra_value, {pick('q', ('H1', '', None))} AS heat_number FROM ({LINES}) AS x"""
+HEADERS_OF = f"""SELECT o_orderkey AS doc_id, {pick('o_custkey', ('STEEL WORKS', 'WIRE ROD COMPANY', None))} AS supplier_name, {pick('o_orderkey', ('WIRE ROD COMPANY', 'Product: COIL ROD Grade: S355J2', '', None, '12 mm', 'GALVANISED COIL S275JR'))} AS product_name,
+  {pick('o_custkey', ('S355J2', '', 'M21', 'EN 10255 / EN 1', 'ROUND BAR 316L', None, 'Grade: S195'))} AS header_grade, {pick('o_orderkey', (None, '3 mm', 'DIAM: 4 mm Heat: H77'))} AS size,
+  {pick('o_custkey', (None, 'EN 10025-2 / M21', ''))} AS standards, {pick('o_orderkey', ('H55', None, 'Heat: 4711 Batch: B123'))} AS header_heat_number, {pick('o_custkey', ('PO-1', ''))} AS "PO No" FROM orders"""
+
+
+def _identity_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = view(spark, sf_dir, IDENTITY_ROWS)
+    rows = rows.select(
+        "doc_id", "row_index", "item_id", "product_name", "product_details", "grade", "dimensions", F.array("listed").alias("standards"),
+        F.lit(None).cast("array<string>").alias("classifications"), F.create_map("extra_key", "extra_value").alias("extras"), "heat_number",
+    )
+    heads = view(spark, sf_dir, HEADERS_OF.replace('"PO No"', "`PO No`"))
+    keys = [c for c in heads.columns if c != "doc_id"]
+    return rows, heads.select("doc_id", F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.col(f"`{k}`") for k in keys))).alias("metadata"))
+
+
+@query()
+def identity_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with product, grade, standards, dimensions and identifiers kept apart, and the moves; the rules are
+    tested by worked examples."""
+    done = identity.identity_mapping(*_identity_inputs(spark, sf_dir))
+    joined = {c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "|") for c in ("standards", "classifications", "tokens")}
+    return done.withColumns(joined)

@@ -164,15 +164,13 @@ def alias_key(text: str) -> str:
     return "".join(c for c in text.strip().upper() if not c.isspace() and c not in "-_")
 
 
+NAMED = {alias_key(alias): (canonical, group) for canonical, group, aliases in GRADES for alias in (canonical, *aliases)}
+ALIAS_ROWS = [(key, canonical, group, ordinal) for ordinal, (key, (canonical, group)) in enumerate(NAMED.items())]
+
+
 def grades(spark: SparkSession) -> DataFrame:
     """(alias_key, canonical, family_group, ordinal): one row for each way to write a grade."""
-    rows, seen = [], {}
-    for canonical, group, aliases in GRADES:
-        for alias in (canonical, *aliases):
-            seen[alias_key(alias)] = (canonical, group)
-    for ordinal, (key, (canonical, group)) in enumerate(seen.items()):
-        rows.append((key, canonical, group, ordinal))
-    return spark.createDataFrame(rows, "alias_key string, canonical string, family_group string, ordinal int")
+    return spark.createDataFrame(ALIAS_ROWS, "alias_key string, canonical string, family_group string, ordinal int")
 
 
 def specs(spark: SparkSession) -> DataFrame:

@@ -64,7 +64,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         return f"{match[1]} {{{match[2]}}}"
 
     pieces = LITERAL.split(sql)
-    bound = "".join(piece if i % 2 else READS.sub(bind, piece) for i, piece in enumerate(pieces))
+    literal = lambda piece: piece.replace("{", "{{").replace("}", "}}")
+    bound = "".join(literal(piece) if i % 2 else READS.sub(bind, piece) for i, piece in enumerate(pieces))
     return spark.sql(bound, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 

@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TERMINAL = ("succeeded", "failed", "cancelled")
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -24,19 +25,58 @@ def windowed_metrics(events: DataFrame, late: str = "10 minutes", every: str = "
     return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """(job_id, status, n_events) of jobs that changed; once a job is over, later events don't change it."""
+class JobStates(StatefulProcessor):
+    """The status and number of events of each job.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, n = state.get if state.exists else (None, 0)
-        for pdf in batches:
-            for event in pdf.sort_values(["ts", "event_id"])["status"]:
-                n += 1
-                status = status if status in TERMINAL else event
-        state.update((status, n))
+    A job that is over keeps its status whatever comes later; ``keep_ms`` after its last event, by the watermark, a timer
+    drops its state, so the state holds jobs under way and those lately over.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        status, n = self.job.get() if self.job.exists() else (None, 0)
+        over, first, last = status in TERMINAL, None, None
+        for pdf in rows:
+            n += len(pdf)
+            ended = pdf[pdf["status"].isin(TERMINAL)]
+            for part, pick in ((ended, min), (pdf, max)):
+                if len(part):
+                    found = pick(zip(part["ts"], part["event_id"], part["status"], strict=True))
+                    if part is pdf:
+                        last = found if last is None else max(last, found)
+                    else:
+                        first = found if first is None else min(first, found)
+        status = status if over else (first or last)[2]
+        self.job.update((status, n))
+        if status in TERMINAL:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(last[0].timestamp() * 1000) + self.keep_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "n_events": [n]})
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, n_events long", "status string, n long", "update", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.job.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def job_states(events: DataFrame, keep: str = "7 days", late: str = "1 hour") -> DataFrame:
+    """(job_id, status, n_events) of jobs that changed; once a job is over, later events don't change it.
+
+    events: (job_id, status, ts, event_id).  Events later than ``late`` are dropped, and the state of a job goes
+    ``keep`` after it is over.
+    """
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    named = events.withWatermark("ts", late).groupBy("job_id")
+    return named.transformWithStateInPandas(JobStates(keep_ms), "job_id long, status string, n_events long", "Update", "EventTime")
 
 
 def drain(stream: DataFrame, key: str) -> DataFrame:
@@ -55,6 +95,7 @@ def drain(stream: DataFrame, key: str) -> DataFrame:
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # states with timers need this store
     query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.parquet(f"{path}/rows").drop("batch")

@@ -14,7 +14,8 @@ each chunk is one pass over the candidates.  Null vectors and vectors that hold
 no part, nor do rows without an id or vectors of no dimension; queries meet candidates of equal dimension only.
 An id is one query: where its rows differ the smallest vector asks, and none of its rows is a candidate for it.
 Other rows that repeat an id are candidates each.  Ties go to the smaller vec_id.  Other columns take no part.  An
-empty table gives an empty result.
+empty table gives an empty result.  A vector whose squared length in whole numbers reaches 2**62 is an error that names
+its id: below that no score leaves 64 bits, and beyond it scores would be wrong in silence.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ def whole_numbers(vectors: DataFrame, config: TopkConfig = TopkConfig()) -> Data
     """(vec_id, q): the vectors that take part, in whole numbers."""
     x = F.col("embedding")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & (F.size(x) > 0)
-    q = F.transform(x, lambda v: F.floor(v.cast("double") * config.scale).cast("long"))
+    square = F.aggregate(x, F.lit(0.0), lambda sum, v: sum + F.pow(F.floor(v.cast("double") * config.scale).cast("double"), F.lit(2.0)))
+    too_long = F.raise_error(F.concat(F.lit("vector too long for scores of 64 bits: vec_id "), F.col("vec_id").cast("string"))).cast("array<bigint>")
+    q = F.when(square < float(1 << 62), F.transform(x, lambda v: F.floor(v.cast("double") * config.scale).cast("long"))).otherwise(too_long)
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
 
 

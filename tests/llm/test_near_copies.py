@@ -218,3 +218,11 @@ def test_lines_above_the_ratio_go(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
     joined = line_dedup.drop_boilerplate(docs, config=line_dedup.LineConfig(broadcast_lines=-1))
     assert sorted(map(str, joined.collect())) == sorted(map(str, line_dedup.drop_boilerplate(docs).collect()))
+
+
+def test_topk_refuses_vectors_beyond_64_bits(spark):
+    rows = [(0, [1.0] * 64), (1, [1e6] * 64), (2, [-1e6] * 64), (3, [0.5] * 64)]
+    fine = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(fine).orderBy("rank").collect()] == [(1, 64 * 256 * 256 * 10**6), (3, 64 * 256 * 128), (2, -64 * 256 * 256 * 10**6)]
+    with pytest.raises(Exception, match="vec_id 7"):
+        topk.search(fine.union(spark.createDataFrame([(7, [1e18] * 64)], fine.schema))).collect()

@@ -87,12 +87,6 @@ def chain(gold: Column, pred: Column, names: list[str]) -> Column:
     return rules.otherwise(F.struct(F.lit(False).alias("match"), F.lit(names[-1]).alias("matcher")))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The element at index round-half-even(q * (n - 1)) of the sorted values; no interpolation."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.bround(F.lit(q) * (F.size(ordered) - 1)).cast("int"))
-
-
 def metrics(results: DataFrame, by: list[str]) -> DataFrame:
     """Counts and hits of compared fields (raw, match, critical) by group."""
     yes = lambda c: F.count_if(c)
@@ -142,8 +136,10 @@ def review_flags(gold_review: Column, pred_review: Column) -> Column:
 
 
 def batch_summary(runs: DataFrame) -> DataFrame:
-    """Counts by status and review, mean latency over finished runs, by bucket and over all (null bucket)."""
+    """Counts by status and review, latencies over finished runs, by bucket and over all (null bucket), in one pass."""
     ok = F.col("status") == "ok"
-    cells = [F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if(ok & F.col("review")).alias("n_review"), F.sum(F.when(ok, F.col("latency_ms"))).alias("latency_sum"), F.max(F.when(ok, F.col("latency_ms"))).alias("latency_max")]
     named = runs.withColumn("bucket", F.coalesce(F.when(F.trim("bucket") != "", F.col("bucket")), F.lit("unknown")))
-    return named.groupBy("bucket").agg(*cells).unionByName(named.agg(*cells).withColumn("bucket", F.lit(None).cast("string")))
+    return named.groupingSets([["bucket"], []], "bucket").agg(
+        F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if(ok & F.col("review")).alias("n_review"),
+        F.sum(F.when(ok, F.col("latency_ms"))).alias("latency_sum"), F.max(F.when(ok, F.col("latency_ms"))).alias("latency_max"),
+    )

@@ -49,6 +49,24 @@ def test_jobs_stay_over(spark, tmp_path):
     assert {r.job_id: (r.status, r.n_events) for r in jobs.drain(jobs.job_states(stream), "job_id").collect()} == {1: ("succeeded", 3), 2: ("queued", 1)}
 
 
+def test_states_of_finished_jobs_go_after_their_time(spark, tmp_path):
+    """Three triggers over one checkpoint: the watermark of later events lets the timers of finished jobs fire."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STORE)
+    day, held = 86_400, []
+    parts = [[(1, "queued", 1, 5), (1, "succeeded", 2, 10), (2, "queued", 3, 20)], [(1, "processing", 4, 30), (3, "queued", 5, 30 * day)], [(4, "queued", 6, 31 * day)]]
+    for k, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, "job_id long, status string, event_id long, at long").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = []
+        states = jobs.job_states(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+        run = states.writeStream.outputMode("update").foreachBatch(lambda b, n: found.extend(b.collect())).option("checkpointLocation", str(tmp_path / "state"))
+        run.trigger(availableNow=True).start().awaitTermination()
+        held.append({r.key.job_id for r in spark.read.format("statestore").option("stateVarName", "job").load(str(tmp_path / "state")).collect()})
+        if k == 1:
+            assert {(r.job_id, r.status, r.n_events) for r in found} == {(1, "succeeded", 3), (3, "queued", 1)}
+    assert held[0] == {1, 2} and held[-1] == {2, 3, 4}
+
+
 def test_windowed_metrics(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 1.5), (2, "a", 2.0), (4000, "b", 1.0)], "s long, event_type string, value double").select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_type", "value")
     df.write.parquet(str(tmp_path / "m"))

@@ -74,10 +74,10 @@ def test_shapes_and_headers(spark):
     assert one(spark, text.noisy_text(F.lit("é" * 50))) is False and one(spark, text.noisy_text(F.lit("word " * 10 + "~^~"))) is True and one(spark, text.noisy_text(F.lit("ab¤¤" * 20))) is True and one(spark, text.noisy_text(F.lit("short é"))) is False
 
 
-def test_labels_in_text():
-    found = list(labels.find_labels("Heat No: 410537, Lot: L-22 and Grade: S355J2. The order was late. Heat number 9"))
-    assert [(f, v) for f, _, v, _ in found] == [("heat_number", "410537"), ("lot_number", "L-22"), ("grade", "S355J2"), ("heat_number", "9")]
-    assert list(labels.find_labels(None)) == []
+def test_labels_in_text(spark):
+    found = one(spark, labels.labelled_identifiers(F.lit("Heat No: 410537, Lot: L-22 and Grade: S355J2. The order was late. Heat number 9"))).found
+    assert [(e.field, e.value) for e in found] == [("heat_number", "410537"), ("lot_number", "L-22"), ("grade", "S355J2. The order was late")]
+    assert one(spark, labels.labelled_identifiers(F.lit(None).cast("string"))).found == []
 
 
 def test_details_days_and_substitutions(spark):

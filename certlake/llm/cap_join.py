@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from certlake.llm.common import components, materialize
 
@@ -238,12 +237,10 @@ def _links(classes: DataFrame, dim: int, config: CapConfig) -> DataFrame:
     words = max(8, int(np.ceil((classes.count() * config.expected / (config.codes * config.load)) ** (1 / config.parts))))
     threshold = calibrate(max(dim, LEAST_DIM), words, config)
     filtered = materialize(_filters(classes, dim, threshold, words, config), "filters", compression="zstd")
-    of = Window.partitionBy("filter")
-    listed = filtered.select("rep", F.explode("filters").alias("filter")).withColumn("members", F.count("*").over(of))
-    met = listed.withColumn("who", F.bit_xor(F.xxhash64("rep")).over(of)).withColumn("least", F.min("rep").over(of)).where("members > 1")
-    met = materialize(met, "shared", compression="zstd")
-    first = met.groupBy("members", "who", "least").agg(F.min("filter").alias("filter")).select("filter")
-    met = materialize(met.join(first.hint("merge"), "filter", "left_semi").select("rep", "filter", "members"), "met", compression="zstd")
+    listed = filtered.select("rep", F.explode("filters").alias("filter"))
+    counts = listed.groupBy("filter").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("least")).where("members > 1")
+    first = counts.groupBy("members", "who", "least").agg(F.min("filter").alias("filter")).select("filter", "members")
+    met = materialize(listed.join(first.hint("merge"), "filter").select("rep", "filter", "members"), "met", compression="zstd")
     lists = met.groupBy("rep").agg(F.sort_array(F.collect_list("filter")).alias("filters"))
     rows = classes.select("rep", "copies", "vector").join(lists.hint("merge"), "rep")
     placed = met.withColumn("blocks", F.when(F.col("members") <= config.small, 1).otherwise(F.ceil(F.col("members") / F.lit(config.block))).cast("long"))

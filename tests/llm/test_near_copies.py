@@ -226,3 +226,14 @@ def test_topk_refuses_vectors_beyond_64_bits(spark):
     assert [(r.vec_id, r.score) for r in topk.search(fine).orderBy("rank").collect()] == [(1, 64 * 256 * 256 * 10**6), (3, 64 * 256 * 128), (2, -64 * 256 * 256 * 10**6)]
     with pytest.raises(Exception, match="vec_id 7"):
         topk.search(fine.union(spark.createDataFrame([(7, [1e18] * 64)], fine.schema))).collect()
+
+
+def test_near_equal_vectors_link_whatever_their_number(spark):
+    """A crowd of near-equal vectors, which share all their filters, and some vectors apart."""
+    rng = np.random.default_rng(11)
+    crowd = np.ones(16) + rng.normal(0, 0.01, (3000, 16))
+    apart = np.eye(16)[:4] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([crowd, apart]))]
+    got = {r.vec_id: r for r in cap_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {got[i].n_links for i in range(3000)} == {2999} and {got[i].component_id for i in range(3000)} == {0}
+    assert [got[i].n_links for i in range(3000, 3004)] == [0] * 4

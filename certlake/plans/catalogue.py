@@ -208,8 +208,7 @@ SELECT doc_id, a AS heat, b AS other FROM p WHERE len(list_filter(range(1, lengt
 def confusable_heats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document's heat numbers that a scan may confuse."""
     heats = view(spark, sf_dir, HEATS).where("heat <> ''").select("doc_id", text.canonical_identifier(F.col("heat")).alias("heat")).distinct()
-    pairs = heats.join(heats.withColumnRenamed("heat", "other"), "doc_id").where((F.col("heat") < F.col("other")) & (F.length("heat") == F.length("other")))
-    return pairs.where(text.confusable_heats(F.col("heat"), F.col("other")))
+    return validate.confusable_pairs(heats)
 
 
 # --- Row shapes

@@ -48,18 +48,38 @@ def review_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALUATED = f"""SELECT doc_id, lang, doc_id % 3 <> 0 AS verified_gold, doc_id % 10 = 0 AS prediction_missing, cast(n_chars % 12 AS bigint) AS field_hits, cast(13 AS bigint) AS field_total,
   cast(n_chars % 6 AS bigint) AS critical_hits, cast(CASE WHEN lang = 'de' THEN 0 ELSE 7 END AS bigint) AS critical_total, CASE WHEN n_chars % 4 = 0 THEN NULL ELSE n_chars % 3 = 0 END AS review,
   cast(CASE WHEN n_chars % 50 = 0 THEN 1 ELSE 0 END AS bigint) AS unsafe, cast(n_chars % 2 AS bigint) AS unsafe_total, cast(n_chars % 5 AS bigint) AS missing_required, cast(5 AS bigint) AS required_total,
-  cast(n_chars % 1000 AS bigint) AS latency_ms, n_chars AS tokens_in, {pick('n_chars', ('digital', '', 'scan', None))} AS bucket_name FROM documents"""
+  CASE WHEN n_chars % 11 > 0 THEN cast(n_chars % 1000 AS bigint) END AS latency_ms, n_chars AS tokens_in, n_chars % 300 AS tokens_out,
+  cast(n_chars % 3 AS bigint) AS document_type_hits, cast(CASE WHEN lang = 'fr' THEN 0 ELSE 3 END AS bigint) AS document_type_total, cast(doc_id % 2 AS bigint) AS processing_decision_hits, cast(1 AS bigint) AS processing_decision_total,
+  cast(n_chars % 4 AS bigint) AS traceability_hits, cast(CASE WHEN n_chars % 100 = 3 THEN 1 ELSE 3 END AS bigint) AS traceability_total, cast(n_chars % 7 AS bigint) AS extraction_misses, cast(CASE WHEN n_chars % 13 = 0 THEN 1 ELSE 0 END AS bigint) AS fail_closed,
+  n_chars % 17 = 0 AS schema_failure, CASE WHEN n_chars % 9 > 0 THEN cast(n_chars % 64 AS double) / 1024 END AS cost_usd, {pick('n_chars', ('digital', '', 'scan', None))} AS bucket_name FROM documents"""
 GOLD = "coalesce(sum({0}) FILTER (WHERE verified_gold), 0)"
 
 
-@query(f"""WITH e AS (SELECT *, CASE WHEN coalesce(trim(bucket_name), '') = '' THEN 'unknown' ELSE bucket_name END AS bucket FROM ({EVALUATED}))
-SELECT bucket, count(*) AS n_documents, count(*) FILTER (WHERE verified_gold) AS n_verified, count(*) FILTER (WHERE NOT prediction_missing) AS n_predictions,
-  CASE WHEN {GOLD.format('field_total')} > 0 THEN round({GOLD.format('field_hits')} / {GOLD.format('field_total')}, 4) END AS field_accuracy,
-  CASE WHEN {GOLD.format('critical_total')} > 0 THEN round({GOLD.format('critical_hits')} / {GOLD.format('critical_total')}, 4) END AS critical_accuracy,
-  coalesce(round(count(*) FILTER (WHERE NOT prediction_missing AND review) / nullif(count(*) FILTER (WHERE NOT prediction_missing AND review IS NOT NULL), 0), 4), 0) AS review_rate,
-  count(*) FILTER (WHERE NOT prediction_missing AND NOT review) AS auto_accepts, cast({GOLD.format('unsafe')} AS bigint) AS unsafe_accepts,
-  coalesce(round({GOLD.format('unsafe')} / nullif({GOLD.format('unsafe_total')}, 0), 4), 0) AS unsafe_rate, coalesce(round({GOLD.format('missing_required')} / nullif({GOLD.format('required_total')}, 0), 4), 0) AS missing_rate,
-  round(avg(latency_ms) FILTER (WHERE NOT prediction_missing), 2) AS mean_latency_ms, cast(coalesce(sum(tokens_in) FILTER (WHERE NOT prediction_missing), 0) AS bigint) AS tokens_in FROM e GROUP BY GROUPING SETS ((bucket), ())""")
+RATE = "coalesce(round({0} / nullif({1}, 0), 4), 0)"
+
+
+def _accuracy_sql(name: str) -> str:
+    hits, total = GOLD.format(f"{name}_hits"), GOLD.format(f"{name}_total")
+    return f"CASE WHEN {total} > 0 THEN round({hits} / {total}, 4) END AS {name}_accuracy"
+
+
+def _latency_sql(share: float) -> str:
+    return f"round(cast(v[cast(round_even((len(v) - 1) * {share}, 0) AS bigint) + 1] AS double), 1)"
+
+
+@query(f"""WITH e AS (SELECT *, NOT prediction_missing AS made, CASE WHEN coalesce(trim(bucket_name), '') = '' THEN 'unknown' ELSE bucket_name END AS bucket FROM ({EVALUATED})),
+a AS (SELECT bucket, count(*) AS n_documents, count(*) FILTER (WHERE verified_gold) AS n_verified, count(*) FILTER (WHERE made) AS n_predictions,
+  {', '.join(map(_accuracy_sql, ('field', 'critical', 'document_type', 'processing_decision')))},
+  {RATE.format('count(*) FILTER (WHERE made AND review)', 'count(*) FILTER (WHERE made AND review IS NOT NULL)')} AS review_rate,
+  count(*) FILTER (WHERE made AND NOT review) AS auto_accepts, cast({GOLD.format('unsafe')} AS bigint) AS unsafe_accepts,
+  {RATE.format(GOLD.format('unsafe'), GOLD.format('unsafe_total'))} AS unsafe_rate, cast({GOLD.format('fail_closed')} AS bigint) AS fail_closed_reviews, cast({GOLD.format('extraction_misses')} AS bigint) AS extraction_misses,
+  cast({GOLD.format('traceability_hits')} AS bigint) AS traceability_matches, cast(greatest(0, {GOLD.format('traceability_total')} - {GOLD.format('traceability_hits')}) AS bigint) AS traceability_misses,
+  cast({GOLD.format('traceability_total')} AS bigint) AS traceability_total, {RATE.format(GOLD.format('missing_required'), GOLD.format('required_total'))} AS missing_rate,
+  count(*) FILTER (WHERE made AND schema_failure) AS schema_failures, {RATE.format('count(*) FILTER (WHERE made AND schema_failure)', 'count(*) FILTER (WHERE made)')} AS schema_failure_rate,
+  round(avg(latency_ms) FILTER (WHERE made), 1) AS mean_latency_ms, cast(coalesce(sum(tokens_in) FILTER (WHERE made), 0) AS bigint) AS tokens_in, cast(coalesce(sum(tokens_out) FILTER (WHERE made), 0) AS bigint) AS tokens_out,
+  round(coalesce(sum(cost_usd) FILTER (WHERE made), 0), 6) AS cost_usd, coalesce(round(coalesce(sum(cost_usd) FILTER (WHERE made), 0) / nullif(count(*) FILTER (WHERE made), 0), 6), 0) AS cost_usd_per_document,
+  list_sort(list(latency_ms) FILTER (WHERE made AND latency_ms IS NOT NULL)) AS v FROM e GROUP BY GROUPING SETS ((bucket), ()))
+SELECT * EXCLUDE (v), {_latency_sql(0.5)} AS p50_latency_ms, {_latency_sql(0.95)} AS p95_latency_ms FROM a""")
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.evaluation_report(view(spark, sf_dir, EVALUATED), "bucket_name")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("catalogue", "policy", "tables", "report", "batch", "decision", "identity", "verify", "payloads", "totals", "reconcile", "checks")
+MODULES = ("catalogue", "policy", "tables", "report", "batch", "decision", "identity", "verify", "payloads", "totals", "reconcile", "checks", "certificates")
 
 
 def load() -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from certlake.functions import text
 from certlake.operators import gate, validate
 from certlake.plans.catalogue import REVIEWS, SAME, VALIDATED
 from certlake.plans.registry import query
@@ -101,3 +102,12 @@ def gated_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = gate.gate(rows, GATED_FIELDS)
     shown = F.transform("events", lambda e: F.concat(e["field"], F.lit("="), e["raw_candidate"], F.lit(":"), e["reason"], F.lit(":"), F.coalesce(e["confidence_source"], F.lit("-"))))
     return done.select("doc_id", "row_index", *(F.element_at("payload", F.lit(k)).alias(k) for k in ("heat_number", "heat_no", "batch_number", "batch", "item_id", "pipe_id")), F.array_join(shown, "|").alias("events"))
+
+
+SIZES = f"SELECT DISTINCT {pick('l_partkey', ('12 mm', ' ', None, ' Ø 5 '))} AS a, {pick('l_suppkey', ('', '3 x 4 mm', None))} AS b FROM lineitem"
+
+
+@query(f"SELECT a, b, nullif(array_to_string(list_filter([trim(a), trim(b)], lambda v: v <> ''), '; '), '') AS dimensions FROM ({SIZES})")
+def dimension_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of dimensions as one text."""
+    return view(spark, sf_dir, SIZES).withColumn("dimensions", text.dimension_text(F.array("a", "b")))

@@ -1,14 +1,20 @@
 """Exact top-k by inner product: an aggregation of sorted lists without random access.
 
 Components become whole numbers, floor(scale * x).  The candidates stay where they are, in blocks; in a block every
-dimension has a list sorted by value.  A query reads all lists from the end that serves the sign of its component,
-and the deeper the larger the component is, a round at a time.  Of each candidate it holds what was read, and from
-that a lower and an upper bound of the score: an unread entry gives no more than the last one read of its list, and
-all unread entries of a candidate take no more from it than the product of the lengths of what is unread of it and
-of the query.  Candidates whose upper bound is below the k-th lower bound, or below the k-th best
-score of the blocks before, can't qualify.  Reading stops when few others are left, and their final scores are
+dimension has lists sorted by value, from either end.  A query reads all lists from the end that serves the sign of its
+component, and the deeper the larger the component is, a round at a time.  What it read gives each candidate a lower and
+an upper bound of the score: an unread entry gives no more than the last one read of its list, and all unread entries
+of a candidate take no more from it than the product of the lengths of what is unread of it and of the query.
+Candidates whose upper bound is below the query's bar, the k-th best score of the blocks before, or, as long as there
+is none, below the k-th lower bound, can't qualify.  Reading stops when few others are left, and their final scores are
 resolved.  Each task gives every query its k best, and the k best of these are the answer.
 
+A task's blocks grow from a short one, as queries have no bar there.  A query begins each block at the depth that
+served in the block before, so that it mostly reads once.  Queries that begin alike read together, in steps of bounded
+size: their components are banded by size, and a step gathers the fronts of a band's lists and adds them up by
+candidate.  Every query meets every candidate's lists, so work grows as queries x candidates, and with vectors of no
+structure no exact bound can save that; what is saved are the ends of the lists.
+
 Queries are the rows whose ``vec_id`` is divisible by ``every``; they are broadcast in chunks of bounded size, and
 each chunk is one pass over the candidates.  Null vectors and vectors that hold null or non-finite components take
 no part, nor do rows without an id or vectors of no dimension; queries meet candidates of equal dimension only.
@@ -20,6 +26,7 @@ its id: below that no score leaves 64 bits, and beyond it scores would be wrong
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,71 +64,104 @@ def whole_numbers(vectors: DataFrame, config: TopkConfig = TopkConfig()) -> Data
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
 
 
+BAND = 8  # components of a query that are near in size, and read equally deep
+FIRST = 256  # candidates of a task's first block
+TOGETHER = 1 << 14  # cells of queries x candidates that read in one step
+RESOLVED = 1 << 20  # components that are resolved in one step
+
+
+def best_of(k: int, which: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(which, ids, scores, rank from 0): each query's k best."""
+    order = np.lexsort((ids, -scores, which))
+    which = which[order]
+    rank = np.arange(len(which)) - np.searchsorted(which, which)
+    return tuple(x[rank < k] for x in (which, ids[order], scores[order], rank))
+
+
 class Lists:
-    """A block of candidates with a list for each dimension, in ascending order of values."""
+    """A block of candidates with two lists for each dimension: from its largest value for positive components of
+    queries, and from its smallest for negative ones.  Both hold what a component of size one gains, and fall."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(np.ascontiguousarray(values.T), self.order, axis=1).astype(np.float64)
+        columns = np.ascontiguousarray(values.T)
+        order = np.argsort(columns, axis=1, kind="stable")
+        rising = np.take_along_axis(columns, order, axis=1).astype(np.float64)
+        self.order, self.sorted = np.concatenate([order[:, ::-1], order]), np.concatenate([rising[:, ::-1], -rising])
         self.square = (values.astype(np.float64) ** 2).sum(axis=1)
         self.largest = np.abs(values).max(axis=0, initial=0).astype(np.float64)
-        self.places, self.weights = np.zeros(values.size, dtype=np.int64), np.zeros(values.size)  # of the entries read
         self.read = 0  # entries that queries have read, and components resolved
 
     def search(self, query: np.ndarray, own: int, bar: float, config: TopkConfig) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, of those whose scores reach ``bar``."""
-        n, k = len(self.ids), config.k
-        dims = np.flatnonzero(query)
-        weight = np.abs(query[dims]) / (np.abs(query[dims]).mean() if len(dims) else 1.0)
-        square = query[dims].astype(np.float64) ** 2
-        slack = n * np.finfo(float).eps * float(np.abs(query) @ self.largest)
-        others = self.ids != own
-        known, runs, upto = np.zeros(n), [], 0
-        left, done = others, [0] * len(dims)
-
-        def summed(fill) -> np.ndarray:
-            """The sum over each candidate's read entries of what ``fill`` puts in for a run."""
-            for run in runs:
-                fill(*run)
-            return np.bincount(self.places[:upto], weights=self.weights[:upto], minlength=n)
-
-        def fill_of(each: np.ndarray):
-            def fill(i: int, d: int, run: slice, to: slice) -> None:
-                self.weights[to] = each[i]
-
-            return fill
-
-        def fill_squares(i: int, d: int, run: slice, to: slice) -> None:
-            np.multiply(self.sorted[d, run], self.sorted[d, run], out=self.weights[to])
-
-        for share in config.rounds:
-            depth, was = np.minimum(n, np.ceil(np.minimum(1.0, share * weight) * n)).astype(np.int64), upto
-            for i, (d, a, b) in enumerate(zip(dims.tolist(), done, depth.tolist(), strict=True)):
-                if a < b:
-                    run, to = slice(n - b, n - a) if query[d] > 0 else slice(a, b), slice(upto, upto + b - a)
-                    self.places[to] = self.order[d, run]
-                    np.multiply(self.sorted[d, run], query[d], out=self.weights[to])
-                    runs.append((i, d, run, to))
-                    upto += b - a
-            known += np.bincount(self.places[was:upto], weights=self.weights[was:upto], minlength=n)
-            done = depth.tolist()
-            # Nothing is unread behind the end of a list.
-            last = np.where(query[dims] > 0, self.sorted[dims, n - depth], self.sorted[dims, depth - 1]) * query[dims]
-            upper = known + last.sum() - summed(fill_of(last))
-            left = others & (upper >= bar - slack)
-            if left.sum() > max(4 * k, config.few * n) and others.sum() > k:
-                mine = np.maximum(square.sum() - summed(fill_of(square)), 0)
-                theirs = np.maximum(self.square - summed(fill_squares), 0)
-                lower = (known - np.sqrt(mine * theirs))[others]
-                left &= upper >= np.partition(lower, len(lower) - k)[len(lower) - k] - slack
-            if left.sum() <= max(4 * k, config.few * n):
+        return self.search_all(query[None], np.array([own]), np.array([bar]), np.zeros(1, np.int64), config)[1:3]
+
+    def search_all(self, queries: np.ndarray, owns: np.ndarray, bars: np.ndarray, begins: np.ndarray, config: TopkConfig) -> tuple[np.ndarray, ...]:
+        """``best_of`` all queries, of those whose scores reach their ``bars``.
+
+        A query leaves out the rounds before its place in ``begins``, which gets the place to begin at in a like block.
+        """
+        found, together = [(np.zeros(0, np.int64),) * 3], max(1, TOGETHER // len(self.ids))
+        for begin in np.unique(was := begins.copy()):
+            those = np.flatnonzero(was == begin)
+            for i in range(0, len(those), together):
+                open_ = those[i : i + together]
+                for place in range(begin, len(config.rounds)):
+                    left, read = self._left(queries[open_], owns[open_], bars[open_], config.rounds[place], config.k)
+                    count, few = left.sum(axis=1), max(4 * config.k, config.few * len(self.ids))
+                    ready = (count <= few) | (place + 1 == len(config.rounds))
+                    begins[open_] = np.maximum(0, place - (count <= few / 4))
+                    asks, whom = np.nonzero(left[ready])
+                    which = open_[ready][asks]
+                    self.read += read * ready.sum() + len(whom) * queries.shape[1]
+                    found.append(best_of(config.k, which, self.ids[whom], self._scores(queries, which, whom))[:3])
+                    open_ = open_[~ready]
+                    if not len(open_):
+                        break
+        return best_of(config.k, *(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def _scores(self, queries: np.ndarray, which: np.ndarray, whom: np.ndarray) -> np.ndarray:
+        """The scores of pairs of a query and a candidate."""
+        step = max(1, RESOLVED // queries.shape[1])
+        parts = [slice(i, i + step) for i in range(0, len(whom), step)]
+        return np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", queries[which[p]], self.values[whom[p]]) for p in parts)])
+
+    def _left(self, queries: np.ndarray, owns: np.ndarray, bars: np.ndarray, share: float, k: int) -> tuple[np.ndarray, int]:
+        """(who can still be among the k best of each query, entries that each has read)."""
+        n, m = len(self.ids), len(queries)
+        dims = np.argsort(-np.abs(queries), axis=1, kind="stable")
+        signed = np.take_along_axis(queries, dims, axis=1)
+        size, lists = np.abs(signed).astype(np.float64), np.where(signed > 0, dims, dims + queries.shape[1])
+        rounding = 8 * (queries.shape[1] + 2) * np.finfo(float).eps
+        slack = rounding * (np.abs(queries) @ self.largest)[:, None]
+        places = (np.arange(m) * n)[:, None, None]
+        square, barless = (size**2).sum(axis=1), bool((bars == -np.inf).any())
+        upper, unread, mine, theirs, read = np.zeros(m * n), np.zeros(m * n), np.repeat(square, n), np.tile(self.square, m), 0
+        for i in range(0, size.shape[1], BAND):
+            band, each = lists[:, i : i + BAND], size[:, i : i + BAND]
+            if not each.any():
                 break
-        left = np.flatnonzero(left)
-        self.read += upto + len(left) * len(dims)
-        scores = self.values[left] @ query
-        best = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left[best]], scores[best]
+            depth = min(n, math.ceil(min(1.0, share * each.mean() / size.mean()) * n))
+            read += depth * each.shape[1]
+            entries, gains = self.order[band, :depth], self.sorted[band, :depth]
+            entries += places
+            entries, last = entries.ravel(), gains[:, :, -1].copy()
+            most = np.repeat((last * each).sum(axis=1), n)
+            if barless:
+                unread += most - np.bincount(entries, np.repeat(last * each, depth), m * n)
+                mine -= np.bincount(entries, np.repeat(each**2, depth), m * n)
+                theirs -= np.bincount(entries, (gains**2).ravel(), m * n)
+            # An unread entry gives no more than the last one read; one that was read gives so much more than that.
+            gains -= last[:, :, None]
+            gains *= each[:, :, None]
+            upper += most + np.bincount(entries, gains.ravel(), m * n)
+        upper, others = upper.reshape(m, n), self.ids != owns[:, None]
+        left = others & (upper >= bars[:, None] - slack)
+        if barless and n > k:
+            mine, theirs = np.maximum(mine, 0) + rounding * np.repeat(square, n), np.maximum(theirs, 0) + rounding * np.tile(self.square, m)
+            lower = np.where(others, upper - (unread + np.sqrt(mine * theirs)).reshape(m, n), -np.inf)
+            left &= upper >= np.partition(lower, n - k, axis=1)[:, n - k, None] - slack
+        return left, read
 
 
 FOUND = "query_id long, vec_id long, score long"
@@ -141,21 +181,27 @@ def _pass(rows: DataFrame, queries: pa.Table, config: TopkConfig) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(asking)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = {dim: [] for dim in held.value}
-        best = {dim: [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids) for dim, (ids, _) in held.value.items()}
+        k = config.k
+        waiting, met = {dim: [] for dim in held.value}, dict.fromkeys(held.value, 0)
+        # Of each query: the k best ids and scores so far, how many there are, and the round to begin with.
+        state = {dim: (np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64), np.zeros(len(ids), np.int64), np.full(len(ids), max(0, len(config.rounds) - 2))) for dim, (ids, _) in held.value.items()}
 
-        def meet(dim: int) -> None:
+        def meet(dim: int, last: bool) -> None:
+            """Blocks grow from a short one, which gives every query a bar; what fills no block waits for more."""
             ids, values = (np.concatenate(x) for x in zip(*waiting[dim], strict=True))
-            waiting[dim] = []
-            for start in range(0, len(ids), config.block):
-                lists = Lists(ids[start : start + config.block], values[start : start + config.block])
-                for i, (own, query) in enumerate(zip(*held.value[dim], strict=True)):
-                    had, had_scores = best[dim][i]
-                    bar = float(had_scores[-1]) if len(had) == config.k else -np.inf
-                    found, scores = lists.search(query, own, bar, config)
-                    found, scores = np.concatenate([had, found]), np.concatenate([had_scores, scores])
-                    order = np.lexsort((found, -scores))[: config.k]
-                    best[dim][i] = found[order], scores[order]
+            (owns, queries), (best, scores, count, begins) = held.value[dim], state[dim]
+            start = 0
+            while start < len(ids) and (last or start + min(config.block, max(FIRST, met[dim])) <= len(ids)):
+                size = min(config.block, max(FIRST, met[dim]), len(ids) - start)
+                lists = Lists(ids[start : start + size], values[start : start + size])
+                bars = np.where(count == k, scores[:, k - 1].astype(np.float64), -np.inf)
+                found = lists.search_all(queries, owns, bars, begins, config)
+                had, rank = np.nonzero(np.arange(k) < count[:, None])
+                which, i, s, r = best_of(k, *(np.concatenate(x) for x in zip((had, best[had, rank], scores[had, rank]), found[:3], strict=True)))
+                best[which, r], scores[which, r] = i, s
+                count[:] = np.bincount(which, minlength=len(owns))
+                start, met[dim] = start + size, met[dim] + size
+            waiting[dim] = [(ids[start:], values[start:])] if start < len(ids) else []
 
         for batch in batches:
             for dim in held.value:
@@ -163,13 +209,14 @@ def _pass(rows: DataFrame, queries: pa.Table, config: TopkConfig) -> DataFrame:
                 if len(ids):
                     waiting[dim].append((ids, values))
                 if sum(len(w[0]) for w in waiting[dim]) >= config.block:
-                    meet(dim)
+                    meet(dim, last=False)
         for dim, (asks, _) in held.value.items():
             if waiting[dim]:
-                meet(dim)
-            sizes = [len(ids) for ids, _ in best[dim]]
-            if sum(sizes):
-                cells = [np.repeat(asks, sizes), *(np.concatenate(x) for x in zip(*best[dim], strict=True))]
+                meet(dim, last=True)
+            best, scores, count, _ = state[dim]
+            which, rank = np.nonzero(np.arange(config.k) < count[:, None])
+            if len(which):
+                cells = (asks[which], best[which, rank], scores[which, rank])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["query_id", "vec_id", "score"])
 
     found = materialize(rows.mapInArrow(search, FOUND), "found")

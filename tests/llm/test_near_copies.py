@@ -237,3 +237,25 @@ def test_near_equal_vectors_link_whatever_their_number(spark):
     got = {r.vec_id: r for r in cap_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert {got[i].n_links for i in range(3000)} == {2999} and {got[i].component_id for i in range(3000)} == {0}
     assert [got[i].n_links for i in range(3000, 3004)] == [0] * 4
+
+
+def test_queries_of_a_chunk_read_lists_together(monkeypatch):
+    """Steps of reading don't grow with the queries, and a like block is read once."""
+    draw, config, add, steps = np.random.default_rng(8), topk.TopkConfig(), np.bincount, []
+    monkeypatch.setattr(topk.np, "bincount", lambda *a: steps.append(1) or add(*a))
+    values = np.floor(256 * draw.normal(size=(512, 64)) / 8).astype(np.int64)
+    values[300:310] = values[5]
+    queries, owns, bars, begins = values[:64], np.arange(64), np.full(64, -np.inf), np.full(64, 3)
+    bands, best = 64 // topk.BAND, []
+    for start in (0, 256):
+        lists, was = topk.Lists(np.arange(start, start + 256), values[start : start + 256]), len(steps)
+        which, ids, scores, rank = lists.search_all(queries, owns, bars, begins, config)
+        assert len(steps) - was <= (2 * 4 * bands if start == 0 else 5 * 4 * bands) < 64 * 3
+        best += zip(which.tolist(), (-scores).tolist(), ids.tolist(), strict=True)
+        if start == 0:
+            assert rank.tolist() == [0, 1, 2, 3, 4] * 64
+            bars = scores[rank == 4].astype(float)
+    product = queries @ values.T
+    for i in range(64):
+        want = sorted((-s, j) for j, s in enumerate(product[i].tolist()) if j != i)[:5]
+        assert sorted((s, j) for w, s, j in best if w == i)[:5] == want

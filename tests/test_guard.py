@@ -84,6 +84,36 @@ def test_matches_are_those_of_all_pairs(spark):
     assert found > 40
 
 
+def test_numbered_names_match_like_all_pairs(spark):
+    draw = random.Random(9)
+    frames = ["gmbh supplier", "tubi nord", "x", "", "mill of the far north", "ab cd"]
+    numbered = lambda: " ".join(sorted(f"{draw.choice(frames)} {draw.choice(['', str(draw.randint(0, 99)), f'{draw.randint(0, 400):09d}', str(draw.randint(10**11, 10**12))])}".split()))
+    master = sorted({numbered() for _ in range(120)} - {""})
+    names = sorted({"".join(draw.choice("0123456789x") if draw.random() < 0.06 else c for c in draw.choice(master)) for _ in range(150)} | {numbered() for _ in range(60)})
+    name_of = {r.raw: r.name for r in spark.createDataFrame([(n,) for n in {*names, *master}], "raw string").select("raw", suppliers.sorted_words(F.col("raw")).alias("name")).collect()}
+    got = suppliers.best_matches(spark.createDataFrame([(n,) for n in names], "raw string"), spark.createDataFrame([(m,) for m in master], "raw string")).collect()
+    assert sorted(r.raw for r in got) == names
+    kinds = set()
+    for r in got:
+        best = min((-plain_ratio(name_of[r.raw], name_of[m]), m) for m in master) if name_of[r.raw] else (0.0, None)
+        want = (best[1], -best[0]) if -best[0] >= suppliers.REVIEW else (None, None)
+        assert r.match == want[0] and (r.score is None if want[1] is None else abs(r.score - want[1]) < 1e-9), (r, best)
+        kinds.add((r.band, any(c.isalpha() for c in r.raw), r.raw == r.match))
+    assert len(kinds) >= 7, kinds
+
+
+def test_names_that_differ_in_numbers_meet_no_master_of_other_letters(spark):
+    names = spark.createDataFrame([(f"{i:09d} {form} supplier",) for i in range(300) for form in ("spa", "steelworks")] + [("000000007 gmbh suplier",)], "raw string")
+    master = spark.createDataFrame([(f"{i:09d} gmbh supplier",) for i in range(300)], "raw string")
+    sought, known = (df.withColumnRenamed("raw", "name") for df in (names, master))
+    met = suppliers._met(sought, known, suppliers.REVIEW)
+    # All pairs are 180,300; only the name with like letters meets any.
+    assert {r.a for r in met.collect()} == {"000000007 gmbh suplier"}
+    got = {r.raw: r for r in suppliers.best_matches(names, master).collect()}
+    assert len(got) == 601 and [r.raw for r in got.values() if r.match] == ["000000007 gmbh suplier"]
+    assert got["000000007 gmbh suplier"].match == "000000007 gmbh supplier"
+
+
 def test_pairs_fall_into_bands(spark):
     pairs = [("ACME SPA", "acme spa", "accept"), ("NORD STEEL WORKS", "Works Nord Steel", "accept"), ("NORD STEEL WORKS", "NORD STEL WORK", "review"), ("NORD STEEL", "SUD TUBI", "reject"), (None, "", "accept"), ("a", None, "reject")]
     got = suppliers.judged(spark.createDataFrame(pairs, "g string, p string, want string").withColumnsRenamed({"g": "gold", "p": "pred"}), "gold", "pred").collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from certlake.operators import guard, suppliers
 from certlake.registries import IDENTIFIER_LOOKALIKES
+from tests.conftest import TINY
 
 
 def one_apart(a, b):
@@ -31,6 +32,38 @@ def test_conflicts_are_those_of_all_pairs(spark):
     assert 10 < len(got) < 110
 
 
+def test_many_candidates_conflict_like_few(spark):
+    draw = random.Random(7)
+    groups = {g: ["".join(draw.choice(signs) for _ in range(draw.randint(0, 6))) for _ in range(draw.randint(1, 500))] for g, signs in enumerate(["ACDEFHJK", "0OQD", "6GX", "B8", "KMN0", "TUVWXYZ1", "AEJ4"] * 4)}
+    codes = {g: sorted({*values} - {""}) for g, values in groups.items()}
+    rows = spark.createDataFrame([(g, v) for g, v in codes.items() if v], "g int, codes array<string>")
+    want = {g: any(one_apart(a, b) for a, b in itertools.combinations(v, 2)) for g, v in codes.items() if v}
+    assert {r.g: r.c for r in rows.select("g", guard.any_conflict(F.col("codes")).alias("c")).collect()} == want
+    few = guard.FEW
+    try:
+        guard.FEW = 1
+        assert {r.g: r.c for r in rows.select("g", guard.any_conflict(F.col("codes")).alias("c")).collect()} == want
+    finally:
+        guard.FEW = few
+    assert {True, False} == {w for g, w in want.items() if len(codes[g]) > few}
+
+
+def test_rows_with_their_candidates_are_judged_without_a_shuffle(spark):
+    from certlake.plans.verify import identifier_assessment
+
+    plan = identifier_assessment(spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1, plan
+    fields = [(1, 0, "heat_number", ["A1", " B2 ", None], [(2, "C3", "z"), (1, " C3", "y"), (0, "A1", "x"), (3, " ", "w"), (1, "9O1", "v"), (0, "901", "u")]), (2, None, "heat_number", ["901"], [(0, "9O1", "x")]), (3, 0, "heat_number", [" "], [(0, "901", "x"), (1, "9O1", "x")])]
+    rows = spark.createDataFrame(fields, "doc_id int, row_index int, field string, accepted array<string>, candidates array<struct<ordinal:int,value:string,source:string>>")
+    got = {(r.doc_id, r.value): (r.conflict, [(c.value, c.source) for c in r.candidates]) for r in guard.assess_gathered(rows).collect()}
+    others = [("901", "u"), ("A1", "x"), ("9O1", "v"), ("C3", "y")]
+    assert got == {(1, "A1"): (True, others), (1, "B2"): (True, others), (2, "901"): (False, [])}
+    again = [(i, d, n, f, v) for d, n, f, values, _ in fields for i, v in enumerate(values)]
+    own = spark.createDataFrame(again, "i int, doc_id int, row_index int, field string, value string").drop("i")
+    read = spark.createDataFrame([(d, n, f, *c) for d, n, f, _, cs in fields for c in cs], "doc_id int, row_index int, field string, ordinal int, value string, source string")
+    assert {(r.doc_id, r.value): (r.conflict, [(c.value, c.source) for c in r.candidates]) for r in guard.assess(own, read).collect()} == got
+
+
 def test_assessment_lists_other_candidates_once(spark):
     accepted = spark.createDataFrame([(1, 0, "heat_number", "812003694"), (1, 1, "heat_number", " AB-12 "), (1, -1, "lot_number", "8120O3694"), (2, 0, "item_id", "8120O3694"), (2, 1, "heat_number", "")], "doc_id int, row_index int, field string, value string")
     others = spark.createDataFrame(
